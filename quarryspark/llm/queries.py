@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .quality_rules import op4_quality_rules
 from .sharding import op9_feistel_sharding
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op9_feistel_sharding": op9_feistel_sharding,
 }
 
