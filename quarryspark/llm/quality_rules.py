@@ -32,9 +32,9 @@ SYMBOLS = "#*$%&|<>"
 #: Statistics of the method, the share of rows an estimate is made from, and concentration steps per start.
 P, H_SHARE, STEPS, MIN_GROUP = 5, 0.75, 3, 30
 UNIT = 1000  # fixed-point units of a transformed statistic
-FLOOR = (500, 300, 450, 600, 700)  # least standard deviations, in those units
-#: Chi-squared quantiles with five degrees of freedom (fixed values): 0.75, 0.975, and the rejection limit.
-CHI_75, CHI_975, CHI_REJECT = 6.6257, 12.8325, 30.8562
+FLOOR = (500, 300, 450, 1000, 1000)  # least standard deviations, in those units
+#: Chi-squared quantiles with five degrees of freedom (fixed values): 0.75, 0.975, and 1 - 1e-7, the rejection limit.
+CHI_75, CHI_975, CHI_REJECT = 6.6257, 12.8325, 40.8630
 #: P(chi2 with 7 degrees < CHI_75): the consistency factor of a 0.75 subset is 0.75 over it.
 CONSISTENT_75, CONSISTENT_975 = 0.75 / 0.5309, 0.975 / 0.9239
 BUCKETS = 24  # distance buckets per unit of log

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .language_id import op2_language_id
 from .quality_rules import op4_quality_rules
 from .sharding import op9_feistel_sharding
 
 QUERIES = {
-    "op5_exact_dedup": op5_exact_dedup,
+    "op2_language_id": op2_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op5_exact_dedup": op5_exact_dedup,
     "op9_feistel_sharding": op9_feistel_sharding,
 }
 
