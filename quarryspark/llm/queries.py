@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op2_language_id
+from .packing import op3_best_fit_packing
 from .quality_rules import op4_quality_rules
 from .sharding import op9_feistel_sharding
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_feistel_sharding": op9_feistel_sharding,
