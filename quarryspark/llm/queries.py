@@ -6,6 +6,7 @@ from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op2_language_id
 from .packing import op3_best_fit_packing
 from .quality_rules import op4_quality_rules
+from .sentence_pieces import op7_sentence_pieces
 from .sharding import op9_feistel_sharding
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_sentence_pieces": op7_sentence_pieces,
     "op9_feistel_sharding": op9_feistel_sharding,
 }
 
