@@ -55,6 +55,24 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: Bits of one bitmap of ``bitmap_construct_agg``, and the bound of a broadcast filter (8 MB).
+BITMAP_BITS, MAX_BITMAPS = 32768, 2048
+
+
+def may_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` (a long of both frames) may be one of ``hits``; none that is gets lost.
+
+    A bitmap filter of 64 bits a hit, up to a fixed size; beyond that it lets more rows pass.
+    """
+    maps = min(MAX_BITMAPS, max(1, -(-n_hits * 64 // BITMAP_BITS)))
+    place = F.pmod(key, F.lit(maps * BITMAP_BITS))
+    bits = hits.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / BITMAP_BITS).alias("_b")).agg(F.bitmap_construct_agg((F.col("_p") % BITMAP_BITS).cast("long")).alias("_bits"))
+    marked = rows.withColumn("_p", place).withColumn("_m", F.floor(F.col("_p") / BITMAP_BITS))
+    marked = marked.join(F.broadcast(bits), F.col("_m") == F.col("_b"))  # at most MAX_BITMAPS rows of 4 kB
+    byte = "cast(conv(hex(substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return marked.where(f"shiftright({byte}, cast(_p % 8 as int)) & 1 = 1").select(*rows.columns)
+
+
 def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left-join ``rows`` with one row per group, where some groups may hold a large share of ``rows``.
 

@@ -23,10 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import left_join_groups, lower_ascii, shared_dir, stored, table
-
-#: Bits of one bitmap of ``bitmap_construct_agg``, and the bound of the broadcast filter (8 MB).
-BITMAP_BITS, MAX_BITMAPS = 32768, 2048
+from .common import left_join_groups, lower_ascii, may_hit, shared_dir, stored, table
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -65,17 +62,6 @@ class DigestIndex:
         self._write(rows, f"{self.path}/L1-{len(old)}-{uuid.uuid4().hex[:8]}")
 
 
-def _may_hit(texts: DataFrame, hits: DataFrame, n_hits: int) -> DataFrame:
-    """Rows of ``texts`` whose digest may be among ``hits``: 64 bits per hit, within the bound of the broadcast."""
-    maps = min(MAX_BITMAPS, max(1, -(-n_hits * 64 // BITMAP_BITS)))
-    place = F.pmod(F.xxhash64("digest"), F.lit(maps * BITMAP_BITS))
-    bits = hits.select(place.alias("_p")).select(F.floor(F.col("_p") / BITMAP_BITS).alias("_b"), (F.col("_p") % BITMAP_BITS).cast("long").alias("_i")).groupBy("_b").agg(F.bitmap_construct_agg("_i").alias("_bits"))
-    rows = texts.withColumn("_p", place).withColumn("_m", F.floor(F.col("_p") / BITMAP_BITS))
-    rows = rows.join(F.broadcast(bits), F.col("_m") == F.col("_b"))  # at most MAX_BITMAPS rows of 4 kB
-    byte = "cast(conv(hex(substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return rows.where(f"shiftright({byte}, cast(_p % 8 as int)) & 1 = 1").select(*texts.columns)
-
-
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -84,7 +70,7 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     groups = stored(index.merged().where("group_size > 1"), "digest-groups")
     total, n_hits = index.read().count(), groups.count()
 
-    seen = _may_hit(digests(docs), groups, n_hits).groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
+    seen = may_hit(digests(docs), groups, F.xxhash64("digest"), n_hits).groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
     collided = stored(seen.where("differ").select("digest"), "digest-collisions")
     rows = index.read().select("doc_id", "digest")
     if not collided.isEmpty():  # one digest for several texts: those rows are grouped by text

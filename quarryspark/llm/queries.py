@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
 from .language_id import op2_language_id
+from .minhash import op10_minhash_near_dedup
 from .packing import op3_best_fit_packing
+from .pii import op1_pii
 from .quality_rules import op4_quality_rules
 from .sentence_pieces import op7_sentence_pieces
 from .sharding import op9_feistel_sharding
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op9_feistel_sharding": op9_feistel_sharding,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 SQL = {
