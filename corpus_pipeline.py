@@ -1,12 +1,72 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+Language identification drops documents without a language, exact dedup keeps one of equal texts, near dedup
+one of each linked group, personal data are replaced by their kind, and best-fit packing places what is left.
+All stages but the last return the columns of ``documents``. Rows that repeat a doc_id share their fate in the
+dedup stages. A document leaves a dedup stage through a bitmap filter and an anti join of the few texts that it
+names, so the text of kept documents is not shuffled.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryspark.llm.common import stored, table, without
+from quarryspark.llm.exact_dedup import exact_dedup
+from quarryspark.llm.language_id import of_known_language
+from quarryspark.llm.minhash import near_duplicates
+from quarryspark.llm.packing import pack
+from quarryspark.llm.pii import redact
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; those without a letter go."""
+    return of_known_language(docs)
+
+
+def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    gone = stored(verdict.where("not kept").select("doc_id"), "pipeline-gone")
+    return without(docs, gone, gone.count()).select(*docs.columns)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one of the largest doc_id."""
+    return _kept(docs, exact_dedup(docs))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one of the smallest doc_id."""
+    return _kept(docs, near_duplicates(docs))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with [KIND] in place of personal data, and n_chars of the new text."""
+    clean = redact(docs)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece: its document, its tokens' checksum, its sequence and its place there."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_duplicates),
+    ("near_dedup", near_duplicate_groups),
+    ("pii", personal_data),
+    ("packing", packing),
+]
 
-STAGES: list = []
+#: Models and tokenizers have no SQL form; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -59,18 +59,32 @@ def lower_ascii(text: Column) -> Column:
 BITMAP_BITS, MAX_BITMAPS = 32768, 2048
 
 
-def may_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataFrame:
-    """Rows of ``rows`` whose ``key`` (a long of both frames) may be one of ``hits``; none that is gets lost.
+def mark_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataFrame:
+    """``rows`` with ``_hit``: false only where ``key`` (a long of both frames) is certainly none of ``hits``.
 
-    A bitmap filter of 64 bits a hit, up to a fixed size; beyond that it lets more rows pass.
+    A bitmap filter of 64 bits a hit, up to a fixed size; beyond that it says true more often.
     """
     maps = min(MAX_BITMAPS, max(1, -(-n_hits * 64 // BITMAP_BITS)))
     place = F.pmod(key, F.lit(maps * BITMAP_BITS))
     bits = hits.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / BITMAP_BITS).alias("_b")).agg(F.bitmap_construct_agg((F.col("_p") % BITMAP_BITS).cast("long")).alias("_bits"))
     marked = rows.withColumn("_p", place).withColumn("_m", F.floor(F.col("_p") / BITMAP_BITS))
-    marked = marked.join(F.broadcast(bits), F.col("_m") == F.col("_b"))  # at most MAX_BITMAPS rows of 4 kB
+    marked = marked.join(F.broadcast(bits), F.col("_m") == F.col("_b"), "left")  # at most MAX_BITMAPS rows of 4 kB
     byte = "cast(conv(hex(substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
-    return marked.where(f"shiftright({byte}, cast(_p % 8 as int)) & 1 = 1").select(*rows.columns)
+    return marked.withColumn("_hit", F.expr(f"coalesce(shiftright({byte}, cast(_p % 8 as int)) & 1 = 1, false)")).select(*rows.columns, "_hit")
+
+
+def may_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataFrame:
+    """Rows of ``rows`` whose ``key`` may be one of ``hits``; none that is gets lost."""
+    return mark_hit(rows, hits, key, n_hits).where("_hit").drop("_hit")
+
+
+def without(rows: DataFrame, gone: DataFrame, n_gone: int) -> DataFrame:
+    """``rows`` whose doc_id (a long) is not in ``gone``: only rows that the bitmap names are shuffled for the exact test."""
+    if not n_gone:
+        return rows
+    marked = mark_hit(rows, gone, F.xxhash64("doc_id"), n_gone)
+    tested = marked.where("_hit").drop("_hit").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    return marked.where("not _hit").drop("_hit").unionByName(tested)
 
 
 def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

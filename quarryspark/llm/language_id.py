@@ -200,5 +200,20 @@ def identify_language(docs: DataFrame, sample: list[tuple[str, str]] | None = No
     return rows.mapInPandas(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def of_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that get a language (not ``und``), with their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(training_sample(docs))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parser = _parser(sent.value)
+        for b in batches:
+            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            for part in by_size(texts, BATCH_CHARS):
+                langs, _ = parser.predict(texts[part])
+                yield b.iloc[part][[x != "und" for x in langs]]
+
+    return docs.mapInPandas(keep, docs.schema)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))

@@ -10,6 +10,7 @@ from .pii import op1_pii
 from .quality_rules import op4_quality_rules
 from .sentence_pieces import op7_sentence_pieces
 from .sharding import op9_feistel_sharding
+from .suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_sentence_pieces": op7_sentence_pieces,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_feistel_sharding": op9_feistel_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
