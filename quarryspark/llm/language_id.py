@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -204,15 +205,15 @@ def of_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that get a language (not ``und``), with their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(training_sample(docs))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(sent.value)
         for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+            texts = [t or "" for t in b.column("text").to_pylist()]
             for part in by_size(texts, BATCH_CHARS):
                 langs, _ = parser.predict(texts[part])
-                yield b.iloc[part][[x != "und" for x in langs]]
+                yield b.slice(part.start, part.stop - part.start).filter(pa.array([x != "und" for x in langs]))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

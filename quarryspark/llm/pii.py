@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,41 +238,37 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join(out) + text[at:]
 
 
-def _scan(rows: DataFrame, make, schema: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(trained())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b["_text"].tolist()
-            yield make(b, texts, find_spans(texts, *sent.value))
-
-    return rows.mapInPandas(run, schema)
-
-
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per row of ``docs``."""
+    sent = docs.sparkSession.sparkContext.broadcast(trained())
 
-    def make(b: pd.DataFrame, _: list[str], found: list) -> pd.DataFrame:
-        out = {"doc_id": b["doc_id"]}
-        for kind in KINDS[:4]:
-            out[f"n_{kind}"] = [sum(k == kind for *_, k in base) for base, _ in found]
-        out["base_sha256"] = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
-        out["spans"] = [written(every) for _, every in found]
-        return pd.DataFrame(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = find_spans(b["text"].tolist(), *sent.value)
+            out = {"doc_id": b["doc_id"]}
+            for kind in KINDS[:4]:
+                out[f"n_{kind}"] = [sum(k == kind for *_, k in base) for base, _ in found]
+            out["base_sha256"] = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]
+            out["spans"] = [written(every) for _, every in found]
+            yield pd.DataFrame(out)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    return _scan(rows, make, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with the personal data in ``text`` replaced by its kind; null texts stay null, other columns too."""
+    """``docs`` with the personal data in ``text`` replaced by its kind; null texts stay null, other columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(trained())
 
-    def make(b: pd.DataFrame, texts: list[str], found: list) -> pd.DataFrame:
-        new = [None if null else redacted(t, every) for t, (_, every), null in zip(texts, found, b["_null"], strict=True)]
-        return b.assign(text=new).drop(columns=["_text", "_null"])[list(docs.columns)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index("text")
+            texts = b.column(at).to_pylist()
+            found = find_spans([t or "" for t in texts], *sent.value)
+            new = [None if t is None else redacted(t, every) for t, (_, every) in zip(texts, found, strict=True)]
+            yield b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
 
-    rows = docs.withColumns({"_text": F.coalesce(F.col("text").cast("string"), F.lit("")), "_null": F.col("text").isNull()})
-    return _scan(rows, make, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
