@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP5_SQL, op5_exact_dedup
+from .html_wrappers import op6_html_wrappers
 from .language_id import op2_language_id
 from .minhash import op10_minhash_near_dedup
 from .packing import op3_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_html_wrappers": op6_html_wrappers,
     "op7_sentence_pieces": op7_sentence_pieces,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_feistel_sharding": op9_feistel_sharding,
