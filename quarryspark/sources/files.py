@@ -150,7 +150,7 @@ def http_get(url: str, timeout: float = 30.0) -> str:
 def page_text(html: Column) -> Column:
     """Text of a page without scripts, styles, comments, tables and page furniture; blocks on lines of their own."""
     c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for name in ("script", "style", "noscript", "template", "head", "nav", "header", "footer", "aside", "form", "table"):
+    for name in ("script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "table"):
         c = F.regexp_replace(c, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     c = F.regexp_replace(c, r"(?i)</?(p|div|h[1-6]|li|ul|ol|article|section|main|br|blockquote|pre|dd|dt|body|html)\b[^>]*>", "\n")
     c = F.regexp_replace(c, r"<[^>]+>", "")
