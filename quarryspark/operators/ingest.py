@@ -39,7 +39,7 @@ def transcripts(segments: DataFrame, videos: DataFrame, load: Callable[[], Embed
 def pages(rows: DataFrame, load: Callable[[], Embedder] | None = None, at: Column | None = None) -> DataFrame:
     """Chunks of web pages (source_id, url, html). Pages without text give none; see ``empty_pages``."""
     rows = rows.withColumns({"title": T.page_title(F.col("html"), F.col("url")), "domain": T.net_location(F.col("url")), "text": page_text(F.col("html"))}).drop("html")
-    rows = chunk_pages(rows.where(~T.is_blank(F.col("text"))))
+    rows = chunk_pages(rows)
     return _finished(rows.withColumn("event_at", F.current_timestamp() if at is None else at), "web", load or hashing_embedder())
 
 

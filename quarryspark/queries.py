@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Small tables of one file are dealt out to all cores before work that costs much per row; others are as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 # --- vectors ---------------------------------------------------------------------------------------------------
 
 _VECTORS = """
@@ -218,14 +224,14 @@ def page_domain(spark, sf_dir):
 @query()
 def page_chunks(spark, sf_dir):
     """Pages to chunks of the chunk table: text, title, domain, splitter, embedder."""
-    p = table(spark, sf_dir, "pages").select(T.content_id(F.col("url"), F.col("page_id")).alias("source_id"), "url", "html")
+    p = spread(table(spark, sf_dir, "pages")).select(T.content_id(F.col("url"), F.col("page_id")).alias("source_id"), "url", "html")
     return ingest.pages(p, at=F.lit("2024-01-01").cast("timestamp")).select("chunk_id", "source_id", "chunk_index", "text", "title", "domain", F.size("embedding").alias("dimensions"))
 
 
 @query()
 def text_chunks(spark, sf_dir):
     """Documents to chunks of at most 1500 characters that overlap by at most 200."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(0).alias("seg_idx"), "text")
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("source_id"), F.lit(0).alias("seg_idx"), "text")
     return chunking.chunk_documents(d).select("source_id", "chunk_index", "char_start", "text")
 
 
@@ -322,7 +328,7 @@ def latency_percentiles(spark, sf_dir):
 def fact_containment(spark, sf_dir):
     """All documents that contain a fact: one automaton reads every text once."""
     facts = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "fact")
-    return evaluation.containing(table(spark, sf_dir, "documents"), facts, "doc_id", "item_id", ignore_case=False)
+    return evaluation.containing(spread(table(spark, sf_dir, "documents")), facts, "doc_id", "item_id", ignore_case=False)
 
 
 _BM25 = """
@@ -338,7 +344,7 @@ bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 def _bm25(spark, sf_dir, k):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return ranking.bm25(q, table(spark, sf_dir, "documents").select("doc_id", "text"), k, doc_id="doc_id")
+    return ranking.bm25(q, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), k, doc_id="doc_id")
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bm WHERE rank <= 5")
@@ -378,8 +384,8 @@ def event_windows(spark, sf_dir):
 @query()
 def agent_answers(spark, sf_dir):
     """Every question of a user, answered from the chunks of all pages and documents."""
-    p = table(spark, sf_dir, "pages").select(T.content_id(F.col("url"), F.col("page_id")).alias("source_id"), "url", "html")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("seg_idx"), "text", F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_heading"), F.col("source").alias("filename"))
+    p = spread(table(spark, sf_dir, "pages")).select(T.content_id(F.col("url"), F.col("page_id")).alias("source_id"), "url", "html")
+    d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("seg_idx"), "text", F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_heading"), F.col("source").alias("filename"))
     at = F.lit("2024-01-01").cast("timestamp")
     chunks = ingest.pages(p, at=at).unionByName(ingest.documents(d, at=at)).persist()
     m = table(spark, sf_dir, "conversations").where("role = 'user'")
