@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as a regular expression's class body: Unicode's, and the four separators U+001C to U+001F.
+WHITE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 CITATION = r"(?i)\[(PDF|YouTube|Web)\s*[—–-]\s*([^\]]+?)\]"
 
 
 def is_blank(c: Column) -> Column:
     """True for null and for text of white space only, in the Unicode sense."""
-    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
+    return ~F.coalesce(c.rlike(f"[^{WHITE}]"), F.lit(False))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def words(c: Column) -> Column:
     """Words between white space, none of them empty; null gives none."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"[{WHITE}]+"), "")
 
 
 def page_title(html: Column, url: Column) -> Column:

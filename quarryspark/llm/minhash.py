@@ -10,14 +10,13 @@ Steps:
 1. One narrow pass computes per document the size of its set, a digest of the set and the collections. Documents
    with one set are one node (the smallest doc_id) from here on: copies never meet in a table.
 2. Tables: a map-side partial aggregate finds the keys that two nodes share; a bitmap filter drops other keys
-   before they are shuffled again. In each table a leader is drawn per key; members are paired with leaders,
-   never with one another, so a key of m members makes m - 1 candidates. Since a node has a row in every table,
-   no key holds more than one row in 120.
-3. Verification on full sets, in rounds: each node goes with the leader that it shares most keys with; links are
-   merged into components; candidates within one component need no check any more. The last round checks all
-   candidates that are left.
-4. Keys whose members are still in several components get the pairs across components checked too, so no link
-   that a table shows is lost to the choice of the leader.
+   before they are shuffled again. Since a node has a row in every table, no key holds more than one row in 120.
+3. Rounds: a key whose members are all in one component is done. In the others a leader is drawn, and members
+   of other components are compared with it on full sets, each node with the LEADERS that it shares most keys
+   with. Links merge components. Members never pair with one another, so a large group costs a few comparisons
+   per member and round, and after the first rounds nearly all keys are done.
+4. Keys that still hold several components get every pair across components compared, once each, so no link that
+   a table shows is lost to the choice of leaders.
 
 Defined cases: null, empty and word-less texts have an empty set and no links; one word is a set of its own;
 rows that repeat a doc_id count as one document if their texts differ, null doc_ids too; an empty table gives
@@ -33,13 +32,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import drop_stored, left_join_groups, may_hit, stored, table
 from .components import components
 
 COLLECTIONS, ROWS, SEED = 16, 3, 7
 PERCENT = 80  # least similarity
-ROUNDS = 3  # rounds of one leader a node before all candidates are checked
+ROUNDS, LEADERS = 5, 3  # rounds with leaders, and leaders that a node is compared with in one
 CACHE_WORDS = 1_000_000
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
@@ -139,68 +139,65 @@ def _close(na: str, nb: str):
 
 
 def table_keys(nodes: DataFrame) -> DataFrame:
-    """key, node, n: one row per table."""
+    """node, n, table, key: one row per table, a table for each pair i < j of collections in order."""
     pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
-    return nodes.select("node", "n", F.explode(F.array(*[F.xxhash64(F.lit(i * 100 + j), F.col("sub")[i], F.col("sub")[j]) for i, j in pairs])).alias("key"))
+    return nodes.select("node", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i * 100 + j), F.col("sub")[i], F.col("sub")[j]) for i, j in pairs])).alias("table", "key"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) links that join all nodes of a component; ``nodes`` has node, n, digest, sub."""
+    """(node, component) of the nodes that are linked; ``nodes`` has node, n, digest, sub."""
     keys = table_keys(nodes)
-    # leader of a key: the member whose number is least after scrambling with the key
-    drawn = keys.groupBy("key").agg(F.count("*").alias("m"), F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("x"))
-    shared = stored(drawn.where("m > 1").select("key", F.col("x").bitwiseXOR(F.col("key")).alias("leader")), "minhash-shared")
-    n_shared = shared.count()
-    members = stored(may_hit(keys, shared.select("key"), F.col("key"), n_shared).join(shared, "key"), "minhash-members")
-
-    size = nodes.select(F.col("node").alias("leader"), F.col("n").alias("nl"))
-    pairs = members.where("node <> leader").groupBy("node", "leader", "n").agg(F.count("*").alias("shared"))
-    pairs = pairs.join(size, "leader").where(_close("n", "nl")).select(F.col("node").alias("a"), F.col("leader").alias("b"), "shared")
-    pairs = stored(pairs, "minhash-candidates")
+    shared = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "minhash-shared")
+    members = stored(may_hit(keys, shared, F.col("key"), shared.count()).join(shared, "key").select("key", "table", "node", "n"), "minhash-members")
     in_tables = stored(members.select("node").distinct().join(nodes.select("node", "digest"), "node"), "minhash-nodes")
     sets = stored(full_sets(docs, in_tables, in_tables.count()), "minhash-sets")
-
-    links, labels = None, None
-    for turn in range(ROUNDS + 1):
-        left = pairs if labels is None else _across(pairs, labels)
-        if turn < ROUNDS:
-            left = stored(left, "minhash-left")
-            now = left.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-            rest = left.join(now, ["a", "b"], "left_anti")
-        else:
-            now, rest = left, None
-        links, labels = _merge(links, labels, verified(now, sets))
-        if rest is None:
-            break
-        pairs = stored(rest, "minhash-rest")
-        if pairs.isEmpty():
+    labels = tested = None
+    for turn in range(ROUNDS):
+        members, old = stored(_mixed(members, labels), "minhash-mixed"), members
+        drop_stored(old)
+        # the first leader is the same in all keys that share it; later ones are drawn for each key anew
+        scramble = F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
+        lead = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(scramble)).alias("x")).select("key", F.col("x").bitwiseXOR(scramble).alias("leader"))
+        lead = lead.join(members.select("key", F.col("node").alias("leader"), F.col("component").alias("leader_component"), F.col("n").alias("leader_n")), ["key", "leader"])
+        pairs = members.join(lead, "key").where("component <> leader_component").where(_close("n", "leader_n"))
+        pairs = pairs.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        best = F.row_number().over(W.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
+        now = stored(pairs.withColumn("r", best).where(F.col("r") <= LEADERS).select("a", "b"), "minhash-candidates")
+        if now.isEmpty():
             break
-
-    # keys that still hold several components: every pair across components that no leader was part of
-    own = labels.select(F.col("node"), F.col("component"))
-    named = members.select("key", "node", "n", "leader").join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    named = stored(named.join(mixed, "key", "left_semi").where("node <> leader"), "minhash-mixed")
-    other = named.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component")])
-    cross = named.join(other, "key").where(F.col("component") < F.col("component2")).where(_close("n", "n2"))
-    cross = cross.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    links, labels = _merge(links, labels, verified(cross, sets))
-    for frame in (sets, members, shared):
+        tested = now if tested is None else tested.unionByName(now)
+        labels = _merged(labels, verified(now, sets))
+    # what is left are keys of several components: every pair across them, once, in the first table where it meets
+    members = stored(_mixed(members, labels).join(nodes.select("node", "sub"), "node"), "minhash-across")
+    other = members.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "sub")])
+    agree = f"filter(sequence(0, {COLLECTIONS - 1}), i -> sub[i] = sub2[i])"
+    place = f"s.i * ({2 * COLLECTIONS - 1} - s.i) div 2 + j - s.i - 1"  # of the pair (s.i, j) in the order of table_keys
+    first = F.expr(f"aggregate(slice({agree}, 1, 2), named_struct('i', -1, 't', -1), (s, j) -> if(s.i < 0, named_struct('i', j, 't', -1), named_struct('i', s.i, 't', cast({place} as int))), s -> s.t)")
+    cross = members.join(other, "key").where(F.col("component") < F.col("component2")).where(_close("n", "n2")).where(first == F.col("table"))
+    cross = stored(cross.select(F.col("node").alias("a"), F.col("node2").alias("b")), "minhash-cross")
+    labels = _merged(labels, verified(cross, sets))
+    for frame in (sets, members, shared, cross):
         drop_stored(frame)
     return labels
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not in one component yet."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where("ca is null or cb is null or ca <> cb").select(*pairs.columns)
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """key, table, node, n, component of the keys whose members are in several components."""
+    rows = members.select("key", "table", "node", "n")
+    if labels is None:
+        rows = rows.withColumn("component", F.col("node"))
+    else:
+        rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key", "left_semi")
 
 
-def _merge(links: DataFrame | None, labels: DataFrame | None, new: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links so far as stars, and the labels they give."""
+def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
+    """The labels that all links so far give, and ``new`` (a, b)."""
     every = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    labels = stored(components(every), "minhash-labels")
-    return every, labels
+    return stored(components(every), "minhash-labels")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

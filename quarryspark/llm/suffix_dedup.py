@@ -9,12 +9,13 @@ steps, each exact, so that only the places where that is hard reach the suffix s
    with its hash; hashes that one run has are out (most of the text).
 3. Runs that are equal as a whole to an earlier run are removed: the inside of a long repeat costs one row per
    run, however often it occurs.
-4. Different runs with one hash, the edges of repeats, go to the suffix sort. Positions 1 and 2 modulo 3 are the
-   difference cover: their ``TRIPLE``-byte prefixes (triples of symbols) are sorted and named by rank; the triple
-   of names at distances of 33 bytes spells LENGTH bytes, which is all the depth that is asked for, so the recursion
-   on names ends after that one level. Any two suffixes have a distance under 3 at which both are in the cover,
-   so the remaining suffixes merge with the named ones by the bytes up to there and the names from there on.
-   Neighbours in that order with equal prefixes are repeats; all but the first occurrence are covered.
+4. Different runs with one hash, the edges of repeats, go to the suffix sort. Suffixes are sampled at one place
+   in BLOCK, counted from the place of the least hash: since equal windows have it at equal places, that cover
+   meets any two equal suffixes at the same distance, where a cover blind to the text takes two places in three.
+   The triples of SYMBOL bytes at the sampled places are sorted and named by rank. A triple spells all of the
+   LENGTH bytes but BLOCK - 1, so there is nothing to recurse for; the remaining suffixes merge with the sampled
+   ones by the name, the distance to it and the few bytes around. Of suffixes with equal prefixes, neighbours in
+   that order, all but the first are covered.
 5. Covered stretches are united per document and cut out of its bytes.
 
 Only thin rows are shuffled; texts are scanned again where bytes are needed, behind a bitmap filter. A passage
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from .common import BITMAP_BITS, MAX_BITMAPS, drop_stored, left_join_groups, may_hit, stored, table, without
 from .sharding import numbered
 
-LENGTH, GRAM, TRIPLE, STRIDE = 100, 48, 34, 33
+LENGTH, GRAM, BLOCK, SYMBOL = 100, 48, 8, 31
+CORE = LENGTH - BLOCK + 1  # bytes that all windows of a block share: a triple of symbols
 WINDOW = LENGTH - GRAM + 1  # grams in a window
 MOST = 64  # windows in a run at most
 BATCH_BYTES = 2_000_000
@@ -54,13 +56,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """For all runs: text, first window, windows, least hash, digest of the run's bytes, may it repeat within."""
-    size = np.fromiter(map(len, texts), np.int64, len(texts))
-    n = int(size.sum())
-    if n < LENGTH:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    raw = b"".join(texts) + bytes(GRAM)
+def _grams(raw: bytes, n: int) -> np.ndarray:
+    """Hashes of the GRAM bytes from each of the first ``n`` places on; ``raw`` has GRAM bytes more."""
     word = np.ndarray((n + GRAM - 8,), "<u8", raw, strides=(1,))
     h = word[:n] * _A
     for k in range(8, GRAM, 8):
@@ -70,6 +67,17 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     h ^= h >> np.uint64(29)
     h *= _C
     h ^= h >> np.uint64(32)
+    return h
+
+
+def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """For all runs: text, first window, windows, least hash, digest of the run's bytes, may it repeat within."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    n = int(size.sum())
+    if n < LENGTH:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    raw = b"".join(texts) + bytes(GRAM)
+    h = _grams(raw, n)
     least, span = h, 1
     while span * 2 <= WINDOW:
         least = np.minimum(least[:-span], least[span:])
@@ -144,8 +152,29 @@ def _bitmap(values: DataFrame, n: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def edge_runs(firsts: DataFrame, hard: DataFrame) -> DataFrame:
-    """seg, doc_id, start, windows, raw of the first of each kind of run whose hash several kinds share.
+def blocks(texts: list[bytes], whose: np.ndarray, at: np.ndarray, count: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(run, first window, windows, core) of the blocks that runs fall into.
+
+    A window's anchor is the first place of its least hash, a property of its bytes; windows whose anchors lie
+    BLOCK * b up to BLOCK * b + BLOCK - 1 bytes behind their start make a block. All windows of a block contain
+    the CORE bytes from ``core`` on, and equal windows have equal places in their blocks.
+    """
+    for r, (w, a, c, least) in enumerate(zip(whose.tolist(), at.tolist(), count.tolist(), v.tolist(), strict=True)):
+        n = c + LENGTH - 1
+        raw = texts[w][a : a + n]
+        h = _grams(raw + bytes(GRAM), n)[: n - GRAM + 1]
+        places = np.flatnonzero((h >> np.uint64(1)).view(np.int64) == least)
+        starts = np.arange(c)
+        anchor = places[np.searchsorted(places, starts)]
+        core = anchor - (anchor - starts) // BLOCK * BLOCK
+        first = np.flatnonzero(np.diff(core, prepend=-1))
+        for f, m in zip(first.tolist(), np.diff(first, append=c).tolist(), strict=True):
+            yield r, a + f, m, a + int(core[f])
+
+
+def edge_blocks(firsts: DataFrame, hard: DataFrame) -> DataFrame:
+    """doc_id, start, windows, at (of the core in raw), raw: the blocks of the first of each kind of run whose hash
+    several kinds share.
 
     ``hard`` has v, digest, doc_id, start. The bytes come from a second scan behind a bitmap of the hashes.
     """
@@ -161,34 +190,39 @@ def edge_runs(firsts: DataFrame, hard: DataFrame) -> DataFrame:
                 p = v.view(np.uint64) % mod
                 i = np.flatnonzero((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
                 part = raw[s]
-                yield pd.DataFrame({"doc_id": ids[s][whose[i]], "start": at[i].astype(np.int32), "windows": count[i].astype(np.int16), "v": v[i], "digest": digest[i], "raw": [part[w][a : a + c + LENGTH - 1] for w, a, c in zip(whose[i], at[i], count[i], strict=True)]})
+                whose, at, count, v, digest = whose[i], at[i], count[i], v[i], digest[i]
+                rows = [(r, f, m, core - f, part[whose[r]][f : f + m + LENGTH - 1]) for r, f, m, core in blocks(part, whose, at, count, v)]
+                r = np.array([x[0] for x in rows], np.int64)
+                out = pd.DataFrame([x[1:] for x in rows], columns=["first", "m", "at", "raw"])
+                yield out.assign(doc_id=ids[s][whose[r]], start=at[r], v=v[r], digest=digest[r])[["doc_id", "start", "v", "digest", "first", "m", "at", "raw"]]
 
-    found = firsts.mapInPandas(run, "doc_id long, start int, windows short, v long, digest long, raw binary")
+    found = firsts.mapInPandas(run, "doc_id long, start int, v long, digest long, first int, m int, at int, raw binary")
     found = found.join(hard, ["v", "digest", "doc_id", "start"], "left_semi")
-    return found.select(F.xxhash64("doc_id", "start").alias("seg"), "doc_id", "start", F.col("windows").cast("int").alias("windows"), "raw")
+    return found.select("doc_id", F.col("first").alias("start"), F.col("m").alias("windows"), "at", "raw")
 
 
 def covered_windows(edges: DataFrame, order: Column) -> DataFrame:
-    """doc_id, start of windows in ``edges`` that equal an earlier one: the difference-cover suffix sort."""
-    # the cover: prefixes of the sampled positions, sorted and named by their rank
-    sampled = edges.select("seg", F.explode(F.expr(f"filter(sequence(0, windows - 1 + {2 * STRIDE}), i -> i % 3 <> 0)")).alias("i"), "raw")
-    sampled = sampled.select("seg", "i", F.expr(f"substring(raw, i + 1, {TRIPLE})").alias("triple"))
-    names, _ = numbered(sampled.select("triple").groupBy("triple").agg(F.count("*").alias("uses")), ["triple"])
-    named = sampled.join(names.select("triple", F.col("row_number").alias("name")), "triple").groupBy("seg").agg(F.map_from_entries(F.collect_list(F.struct("i", "name"))).alias("name"))
-    wide = edges.join(named, "seg").select("doc_id", "start", "raw", "name", F.explode(F.expr("sequence(0, windows - 1)")).alias("i"))
-
-    def key(kind: int, names_at: tuple[int, ...], bytes_at: tuple[int, ...]) -> Column:
-        at = [F.col("name")[F.col("i") + k] for k in names_at] + [F.expr(f"substring(raw, i + {k + 1}, 1)") for k in bytes_at]
-        return F.struct(F.lit(kind).alias("kind"), F.to_json(F.struct(*[x.cast("string") if n < len(names_at) else F.hex(x) for n, x in enumerate(at)])).alias("key"))
-
-    # two suffixes meet at the distance d at which both are in the cover: d = 0 for 1 and 2, 1 for 0 and 1, 2 for 0 and 2
-    by = [key(0, (0, 33, 66), ()), key(1, (1, 34, 64), (0, 98, 99)), key(2, (2, 35, 65), (0, 1, 99))]
-    keys = F.when(F.col("i") % 3 == 0, F.array(by[1], by[2])).when(F.col("i") % 3 == 1, F.array(by[0], by[1])).otherwise(F.array(by[0], by[2]))
-    rows = wide.select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.explode(keys).alias("k")).withColumn("key", F.unhex(F.sha2(F.concat_ws(":", F.col("k.kind"), F.col("k.key")), 256))).drop("k")
-    rows = stored(rows.withColumn("order", order), "suffix-order")
-    groups = stored(rows.groupBy("key").agg(F.min("order").alias("first"), F.count("*").alias("uses")).where("uses > 1"), "suffix-groups")
-    marked = left_join_groups(may_hit(rows, groups, F.xxhash64("key"), groups.count()), groups, "key", "uses", rows.count())
-    return marked.where("order > first").select("doc_id", "start")
+    """doc_id, a, b: windows of ``edges`` (as of ``edge_blocks``) that equal an earlier one, by the suffix sort."""
+    rows = edges.withColumns({"core": F.expr(f"substring(raw, at + 1, {CORE})"), "order": order}).withColumns({"c": F.xxhash64("core"), "x": F.xxhash64("raw", "at")})
+    kinds = rows.groupBy("c").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("order").alias("first")).where("m > 1")
+    kinds = stored(kinds, "suffix-cores")
+    n = kinds.count()
+    near = stored(may_hit(rows, kinds, F.col("c"), n).join(kinds.select("c", "lo", "hi", "first"), "c"), "suffix-blocks")
+    same = near.where("lo = hi and order > first").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("b"))
+
+    # the cover: the triples of symbols at the sampled positions, sorted and named by their rank
+    several = near.where("lo <> hi")
+    triple = [F.expr(f"substring(core, {1 + k * SYMBOL}, {SYMBOL})").alias(f"s{k}") for k in range(3)]
+    names, _ = numbered(several.select(*triple).groupBy("s0", "s1", "s2").agg(F.count("*").alias("uses")), ["s0", "s1", "s2"])
+    several = several.select("doc_id", "start", "windows", "at", "raw", "order", *triple).join(names.select("s0", "s1", "s2", F.col("row_number").alias("name")), ["s0", "s1", "s2"])
+    # the other suffixes merge with them: by the name of the core, the distance to it, and the bytes around it
+    each = several.select("doc_id", "name", F.explode(F.expr("sequence(0, windows - 1)")).alias("i"), "start", "at", "raw", "order")
+    around = F.concat(F.expr("substring(raw, i + 1, at - i)"), F.expr(f"substring(raw, at + {CORE} + 1, i + {LENGTH} - at - {CORE})"))
+    each = each.select("doc_id", (F.col("start") + F.col("i")).cast("int").alias("a"), (F.col("order") + F.col("i")).alias("order"), "name", (F.col("at") - F.col("i")).cast("byte").alias("distance"), around.alias("around"))
+    each = stored(each.withColumn("key", F.encode(F.concat_ws(":", "name", "distance", F.hex("around")), "UTF-8")).drop("name", "distance", "around"), "suffix-order")
+    groups = stored(each.groupBy("key").agg(F.min("order").alias("first"), F.count("*").alias("uses")).where("uses > 1"), "suffix-groups")
+    marked = left_join_groups(may_hit(each, groups, F.xxhash64("key"), groups.count()), groups, "key", "uses", each.count())
+    return same.unionByName(marked.where("order > first").select("doc_id", "a", (F.col("a") + LENGTH).cast("int").alias("b")))
 
 
 def _order(docs: DataFrame) -> Column:
@@ -239,9 +273,8 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
     several = kinds.groupBy("v").agg(F.count("*").alias("m"), F.max("within").alias("within")).where("m > 1 or within").select("v")
     hard = near.join(several, "v", "left_semi").withColumn("order", order).join(kinds.drop("within"), ["v", "digest"]).where("order = first").select("v", "digest", "doc_id", "start")
-    edges = stored(edge_runs(firsts, stored(hard, "suffix-hard")), "suffix-edges")
-    single = covered_windows(edges, order).select("doc_id", F.col("start").cast("int").alias("a"), (F.col("start") + LENGTH).cast("int").alias("b"))
-    cut = stored(_united(whole.unionByName(single)), "suffix-cut")
+    edges = stored(edge_blocks(firsts, stored(hard, "suffix-hard")), "suffix-edges")
+    cut = stored(_united(whole.unionByName(covered_windows(edges, order))), "suffix-cut")
     return thin.join(cut, "doc_id", "left").select("doc_id", "n_bytes", "digest", "later", "cut")
 
 
