@@ -11,12 +11,14 @@ Steps:
    with one set are one node (the smallest doc_id) from here on: copies never meet in a table.
 2. Tables: a map-side partial aggregate finds the keys that two nodes share; a bitmap filter drops other keys
    before they are shuffled again. Since a node has a row in every table, no key holds more than one row in 120.
-3. Rounds: a key whose members are all in one component is done. In the others a leader is drawn, and members
-   of other components are compared with it on full sets, each node with the LEADERS that it shares most keys
-   with. Links merge components. Members never pair with one another, so a large group costs a few comparisons
-   per member and round, and after the first rounds nearly all keys are done.
+3. Rounds: a key whose members are all in one component is done. In the others a leader is drawn from the key's
+   main (largest) component, and members of other components are compared with it on full sets, each node with the
+   LEADERS that it shares most keys with. Links merge components. Members never pair with one another, so a large
+   group costs a few comparisons per member and round, and after the first rounds nearly all members of a key are
+   in its main component. Rounds end when step 4 has FEW pairs a row at most, or when they stop helping.
 4. Keys that still hold several components get every pair across components compared, once each, so no link that
-   a table shows is lost to the choice of leaders.
+   a table shows is lost to the choice of leaders. Members outside the main component meet the others; those
+   inside never meet one another.
 
 Defined cases: null, empty and word-less texts have an empty set and no links; one word is a set of its own;
 rows that repeat a doc_id count as one document if their texts differ, null doc_ids too; an empty table gives
@@ -38,8 +40,11 @@ from .common import drop_stored, left_join_groups, may_hit, stored, table
 from .components import components
 
 COLLECTIONS, ROWS, SEED = 16, 3, 7
+PAIRS = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]  # of the tables, in order
 PERCENT = 80  # least similarity
-ROUNDS, LEADERS = 5, 3  # rounds with leaders, and leaders that a node is compared with in one
+ROUNDS, LEADERS = 5, 3  # most rounds with leaders, and leaders that a node is compared with in one
+FEW, HELP = 8, 0.8  # pairs a row that end the rounds; a round helps if it leaves less than this share of the pairs
+BROADCAST = 100_000  # rows outside main components (200 bytes each) up to which they are sent to all tasks
 CACHE_WORDS = 1_000_000
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
@@ -126,8 +131,11 @@ def full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
     return sets.join(nodes, ["node", "digest"], "left_semi").dropDuplicates(["node"]).select("node", "set")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose full sets are similar enough."""
+def verified(pairs: DataFrame, sets: DataFrame, n_nodes: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose full sets are similar enough. Sets of nodes in no pair are not shuffled."""
+    n = 2 * pairs.count()
+    if n * 2 < n_nodes:
+        sets = may_hit(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")), F.xxhash64("node"), n)
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("common") * 100 >= PERCENT * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
@@ -140,8 +148,7 @@ def _close(na: str, nb: str):
 
 def table_keys(nodes: DataFrame) -> DataFrame:
     """node, n, table, key: one row per table, a table for each pair i < j of collections in order."""
-    pairs = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
-    return nodes.select("node", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i * 100 + j), F.col("sub")[i], F.col("sub")[j]) for i, j in pairs])).alias("table", "key"))
+    return nodes.select("node", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i * 100 + j), F.col("sub")[i], F.col("sub")[j]) for i, j in PAIRS])).alias("table", "key"))
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -150,48 +157,68 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "minhash-shared")
     members = stored(may_hit(keys, shared, F.col("key"), shared.count()).join(shared, "key").select("key", "table", "node", "n"), "minhash-members")
     in_tables = stored(members.select("node").distinct().join(nodes.select("node", "digest"), "node"), "minhash-nodes")
-    sets = stored(full_sets(docs, in_tables, in_tables.count()), "minhash-sets")
-    labels = tested = None
-    for turn in range(ROUNDS):
+    n_nodes = in_tables.count()
+    sets = stored(full_sets(docs, in_tables, n_nodes), "minhash-sets")
+    labels = tested = before = None
+    for turn in range(ROUNDS + 1):
         members, old = stored(_mixed(members, labels), "minhash-mixed"), members
         drop_stored(old)
+        out = F.col("component") != F.col("main")
+        rows, outside, left = members.agg(F.count("*"), F.count_if(out), F.coalesce(F.sum(F.when(out, F.col("m"))), F.lit(0))).first()
+        if turn == ROUNDS or turn and (left <= FEW * rows or left > HELP * before):
+            break
+        before = left
         # the first leader is the same in all keys that share it; later ones are drawn for each key anew
         scramble = F.lit(0).cast("long") if turn == 0 else F.xxhash64("key", F.lit(turn))
-        lead = members.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(scramble)).alias("x")).select("key", F.col("x").bitwiseXOR(scramble).alias("leader"))
-        lead = lead.join(members.select("key", F.col("node").alias("leader"), F.col("component").alias("leader_component"), F.col("n").alias("leader_n")), ["key", "leader"])
+        lead = members.where("component = main").groupBy("key").agg(F.min(F.struct(F.col("node").bitwiseXOR(scramble).alias("x"), "node", "component", "n")).alias("l"))
+        lead = lead.select("key", F.col("l.node").alias("leader"), F.col("l.component").alias("leader_component"), F.col("l.n").alias("leader_n"))
         pairs = members.join(lead, "key").where("component <> leader_component").where(_close("n", "leader_n"))
         pairs = pairs.groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         best = F.row_number().over(W.partitionBy("a").orderBy(F.col("shared").desc(), "b"))
         now = stored(pairs.withColumn("r", best).where(F.col("r") <= LEADERS).select("a", "b"), "minhash-candidates")
-        if now.isEmpty():
-            break
         tested = now if tested is None else tested.unionByName(now)
-        labels = _merged(labels, verified(now, sets))
-    # what is left are keys of several components: every pair across them, once, in the first table where it meets
-    members = stored(_mixed(members, labels).join(nodes.select("node", "sub"), "node"), "minhash-across")
-    other = members.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "sub")])
-    agree = f"filter(sequence(0, {COLLECTIONS - 1}), i -> sub[i] = sub2[i])"
-    place = f"s.i * ({2 * COLLECTIONS - 1} - s.i) div 2 + j - s.i - 1"  # of the pair (s.i, j) in the order of table_keys
-    first = F.expr(f"aggregate(slice({agree}, 1, 2), named_struct('i', -1, 't', -1), (s, j) -> if(s.i < 0, named_struct('i', j, 't', -1), named_struct('i', s.i, 't', cast({place} as int))), s -> s.t)")
-    cross = members.join(other, "key").where(F.col("component") < F.col("component2")).where(_close("n", "n2")).where(first == F.col("table"))
-    cross = stored(cross.select(F.col("node").alias("a"), F.col("node2").alias("b")), "minhash-cross")
-    labels = _merged(labels, verified(cross, sets))
-    for frame in (sets, members, shared, cross):
+        labels = _merged(labels, verified(now, sets, n_nodes))
+    if rows:  # keys of several components: every pair across them, once, in the first table where it meets
+        members = stored(_with_lower(members.join(nodes.select("node", "sub"), "node")).drop("sub"), "minhash-across")
+        cross = _across(members, outside)
+        cross = stored(cross.select(F.col("node").alias("a"), F.col("node2").alias("b")), "minhash-cross")
+        labels = _merged(labels, verified(cross, sets, n_nodes))
+        drop_stored(cross)
+    for frame in (sets, members, shared):
         drop_stored(frame)
     return labels
 
 
+def _with_lower(members: DataFrame) -> DataFrame:
+    """``members`` with ``lower``: what they have in the collections in front of their table's second one, but its first."""
+    first, second = (F.element_at(F.array(*[F.lit(p[k]) for p in PAIRS]), F.col("table") + 1) for k in (0, 1))
+    rows = members.withColumns({"i": first, "j": second})
+    lower = F.expr("transform(filter(sequence(0, j), k -> k < j and k <> i), k -> xxhash64(k, sub[k]))")
+    return rows.withColumn("lower", lower).drop("i", "j")
+
+
+def _across(members: DataFrame, outside: int) -> DataFrame:
+    """The pairs across components that share a key, each in the first table where it meets: none of ``lower`` agrees."""
+    few = members.where("component <> main")
+    few = F.broadcast(few) if outside <= BROADCAST else few
+    other = members.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "lower")])
+    pairs = few.join(other, "key").where("component <> component2 and (component2 = main or component < component2)")
+    return pairs.where(_close("n", "n2")).where(~F.arrays_overlap("lower", "lower2"))
+
+
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """key, table, node, n, component of the keys whose members are in several components."""
+    """key, table, node, n, component, m (rows of the key), main (its largest component) of the keys of several components."""
     rows = members.select("key", "table", "node", "n")
     if labels is None:
         rows = rows.withColumn("component", F.col("node"))
     else:
         rows = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    return rows.join(several, "key", "left_semi")
+    each = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
+    several = each.groupBy("key").agg(F.max(F.struct("c", (-F.col("component")).alias("least"))).alias("top"), F.sum("c").alias("m")).where("m > top.c")
+    several = several.select("key", "m", (-F.col("top.least")).alias("main"))
+    return rows.join(several, "key")
 
 
 def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
