@@ -15,7 +15,7 @@ aggregate per (group, bucket), and the estimates join back as one small row per
 
 Defined cases: null text has no words (and fails the base rules); null lang or source form groups of their
 own; groups under ``MIN_GROUP`` rows have no estimate, and their rows pass the method; variances have a floor
-(``FLOOR``), so statistics that don't vary within a group reject nothing small; an empty table gives no rows;
+(``FLOOR``, used where a group's variance is less), so statistics that don't vary within a group reject nothing small; an empty table gives no rows;
 repeated rows each get a row; other columns are ignored.
 """
 
@@ -32,9 +32,12 @@ SYMBOLS = "#*$%&|<>"
 #: Statistics of the method, the share of rows an estimate is made from, and concentration steps per start.
 P, H_SHARE, STEPS, MIN_GROUP = 5, 0.75, 3, 30
 UNIT = 1000  # fixed-point units of a transformed statistic
-FLOOR = (500, 300, 450, 1000, 1000)  # least standard deviations, in those units
-#: Chi-squared quantiles with five degrees of freedom (fixed values): 0.75, 0.975, and 1 - 1e-7, the rejection limit.
-CHI_75, CHI_975, CHI_REJECT = 6.6257, 12.8325, 40.8630
+#: Least standard deviations given the statistics in front, in those units: for statistics that hardly vary in a group.
+#: Each is small enough that its statistic alone can exceed the limit: from a centre without any, 7 % of symbols, 23 % of
+#: duplicate lines or 15 % of repeated words do, and from a mean word length of 5, one of 1.
+FLOOR = (500, 200, 450, 700, 600)
+#: Chi-squared quantiles with five degrees of freedom (fixed values): 0.75, 0.975, and 0.999, the rejection limit.
+CHI_75, CHI_975, CHI_REJECT = 6.6257, 12.8325, 20.5150
 #: P(chi2 with 7 degrees < CHI_75): the consistency factor of a 0.75 subset is 0.75 over it.
 CONSISTENT_75, CONSISTENT_975 = 0.75 / 0.5309, 0.975 / 0.9239
 BUCKETS = 24  # distance buckets per unit of log
@@ -96,10 +99,9 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     for i in range(P):
         for j in range(i + 1):
             cov = factor * (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
-            cov = cov + float(FLOOR[i] ** 2) if i == j else cov
             for k in range(j):
                 cov = cov - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
-            e = e.withColumn(f"c_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(1.0))) if i == j else cov / F.col(f"c_{j}_{j}"))
+            e = e.withColumn(f"c_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(float(FLOOR[i] ** 2)))) if i == j else cov / F.col(f"c_{j}_{j}"))
     det = sum((F.log(f"c_{i}_{i}") for i in range(1, P)), F.log("c_0_0"))
     return e.select("g", *[f"m{i}" for i in range(P)], *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)], det.alias("det"))
 
@@ -132,7 +134,7 @@ def _median_start(rows: DataFrame) -> DataFrame:
     dev = dev.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, F.col("x"))).alias(f"d{i}") for i in range(P)])
     both = mid.where(F.col("n") >= MIN_GROUP).join(dev, "g")
     zero = {f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)}
-    diagonal = {f"c_{i}_{i}": F.sqrt(F.pow(1.4826 * F.col(f"d{i}"), 2) + float(FLOOR[i] ** 2)) for i in range(P)}
+    diagonal = {f"c_{i}_{i}": F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(FLOOR[i]))) for i in range(P)}
     return both.withColumns(zero | diagonal).select("g", *[f"m{i}" for i in range(P)], *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("det"))
 
 

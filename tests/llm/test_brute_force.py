@@ -164,6 +164,22 @@ def test_op4_estimate_is_robust(spark):
     assert quality_rules._with_distance(rows, quality_rules.robust_estimates(rows)).where(f"d2 > {quality_rules.CHI_REJECT}").count() == 80
 
 
+def test_op4_each_statistic_alone_rejects(spark):
+    r = random.Random(44)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(2, 8)))
+    good = ["\n".join(" ".join(word() for _ in range(10)) for _ in range(r.randint(5, 40))) for _ in range(200)]
+    pair = [word() for _ in range(4)]
+    duplicates = "\n".join(pair[i] for i in (0, 1, 2, 3, 0, 2, 1, 3, 1, 0, 3, 2, 2, 0, 3, 1, 1, 3, 0, 0, 2, 3, 3, 1))
+    symbols = "\n".join(" ".join(word() + ("#" if k % 2 else "") for k in range(10)) for _ in range(12))
+    letters = "\n".join(" ".join(r.choice(string.ascii_letters) for _ in range(10)) for _ in range(12))
+    bad = [duplicates, symbols, letters]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(good + bad)], "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(docs).collect()}
+    assert not any(got[i]["base_failed"] for i in got)
+    assert [got[200 + k]["kept"] for k in range(len(bad))] == [False] * len(bad)
+    assert sum(got[i]["kept"] for i in range(200)) >= 198
+
+
 def test_op7_round_trip_and_best_score(docs):
     c = sentence_pieces.PieceCoder(public("piece_bpe_32k.model"))
     r = random.Random(6)
