@@ -14,7 +14,7 @@ All of it is DataFrame functions. A group needs no task of its own: every pass o
 aggregate per (group, bucket), and the estimates join back as one small row per group.
 
 Defined cases: null text has no words (and fails the base rules); null lang or source form groups of their
-own; groups under ``MIN_GROUP`` rows have no estimate, and their rows pass the method; variances have a floor
+own; groups under ``MIN_GROUP`` rows are judged by the estimate of their language, languages under it by that of all rows; variances have a floor
 (``FLOOR``, used where a group's variance is less), so statistics that don't vary within a group reject nothing small; an empty table gives no rows;
 repeated rows each get a row; other columns are ignored.
 """
@@ -40,6 +40,7 @@ FLOOR = (500, 200, 450, 700, 600)
 CHI_75, CHI_975, CHI_REJECT = 6.6257, 12.8325, 20.5150
 #: P(chi2 with 7 degrees < CHI_75): the consistency factor of a 0.75 subset is 0.75 over it.
 CONSISTENT_75, CONSISTENT_975 = 0.75 / 0.5309, 0.975 / 0.9239
+ALL = "all"  # the group of all rows; others are JSON
 BUCKETS = 24  # distance buckets per unit of log
 
 
@@ -94,8 +95,7 @@ def _moments() -> list[Column]:
 
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
     """g, centre m*, Cholesky factor c_*, log determinant, from n, s*, q_* of each group."""
-    e = sums.where(F.col("n") >= MIN_GROUP * 0.5)
-    e = e.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+    e = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
     for i in range(P):
         for j in range(i + 1):
             cov = factor * (F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
@@ -116,7 +116,7 @@ def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
     return per.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
 
 
-def _median_start(rows: DataFrame) -> DataFrame:
+def _median_start(rows: DataFrame, least: int) -> DataFrame:
     """An estimate with coordinate-wise medians and absolute deviations, on a grid of 1/20 unit."""
     grid = UNIT // 20
 
@@ -132,20 +132,20 @@ def _median_start(rows: DataFrame) -> DataFrame:
     mid = stored(mid, "mcd-medians")
     dev = medians([F.abs(F.col(f"v{i}") - F.col(f"m{i}")) for i in range(P)], rows.join(mid.drop("n"), "g"))
     dev = dev.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, F.col("x"))).alias(f"d{i}") for i in range(P)])
-    both = mid.where(F.col("n") >= MIN_GROUP).join(dev, "g")
+    both = mid.where(F.col("n") >= least).join(dev, "g")
     zero = {f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)}
     diagonal = {f"c_{i}_{i}": F.greatest(1.4826 * F.col(f"d{i}"), F.lit(float(FLOOR[i]))) for i in range(P)}
     return both.withColumns(zero | diagonal).select("g", *[f"m{i}" for i in range(P)], *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)], F.lit(0.0).alias("det"))
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """One row per group: centre, Cholesky factor and determinant of the reweighted MCD estimate.
+def robust_estimates(rows: DataFrame, least: int = MIN_GROUP) -> DataFrame:
+    """One row per group of ``least`` rows: centre, Cholesky factor and determinant of the reweighted MCD estimate.
 
     ``rows`` has g (group) and v0..v4 (longs).
     """
-    everything = rows.groupBy("g").agg(*_moments()).where(F.col("n") >= MIN_GROUP)
+    everything = rows.groupBy("g").agg(*_moments()).where(F.col("n") >= least)
     best = []
-    for start in (_estimate(everything, 1.0), _median_start(rows)):
+    for start in (_estimate(everything, 1.0), _median_start(rows, least)):
         est = stored(start, "mcd-start")
         for _ in range(STEPS):
             est = stored(_estimate(_concentrate(rows, est), CONSISTENT_75), "mcd-step")
@@ -157,15 +157,34 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     return stored(_estimate(near, CONSISTENT_975), "mcd-estimate")
 
 
+def _estimates(rows: DataFrame) -> DataFrame:
+    """As ``robust_estimates``, for each g of ``rows`` (g, l, v0..v4): small groups get the estimate of their language
+    (l), small languages that of all rows."""
+    sizes = stored(rows.groupBy("g", "l").agg(F.count("*").alias("n")), "quality-groups")
+    own = robust_estimates(rows)
+    small = sizes.where(F.col("n") < MIN_GROUP).select("g", "l")
+    if small.isEmpty():
+        return own
+    needed = small.select("l").distinct().join(sizes.groupBy("l").agg(F.sum("n").alias("n")), "l")
+    needed = stored(needed.select("l", (F.col("n") < MIN_GROUP).alias("rare")), "quality-languages")
+    values = [f"v{i}" for i in range(P)]
+    pooled = rows.join(needed.where("not rare"), "l", "left_semi").select(F.col("l").alias("g"), *values)
+    if not needed.where("rare").isEmpty():
+        pooled = pooled.unionByName(rows.select(F.lit(ALL).alias("g"), *values))
+    wider = robust_estimates(pooled, 1).withColumnRenamed("g", "_w")
+    small = small.join(needed, "l").withColumn("_w", F.when(F.col("rare"), F.lit(ALL)).otherwise(F.col("l")))
+    return own.unionByName(small.join(wider, "_w").select(*own.columns))
+
+
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """The statistics of every document, base_failed, kept and distance2 (null: no estimate)."""
+    """The statistics of every document, base_failed, kept and distance2 (null: no row of the group passes the base rules)."""
     stats = text_statistics(docs)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    stats = stats.withColumns({"base_failed": failed, "g": F.to_json(F.struct("lang", "source"))} | {f"v{i}": x for i, x in enumerate(transformed())})
+    stats = stats.withColumns({"base_failed": failed, "g": F.to_json(F.struct("lang", "source")), "l": F.to_json(F.struct("lang"))} | {f"v{i}": x for i, x in enumerate(transformed())})
     stats = stored(stats, "quality-statistics")
-    rows = stats.where(~F.col("base_failed")).select("g", *[f"v{i}" for i in range(P)])
-    scored = _with_distance(stats, robust_estimates(rows))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CHI_REJECT, F.lit(True))
+    rows = stats.where(~F.col("base_failed")).select("g", "l", *[f"v{i}" for i in range(P)])
+    scored = _with_distance(stats, _estimates(rows))
+    kept = ~F.col("base_failed") & (F.col("d2") <= CHI_REJECT)
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
 
 

@@ -180,6 +180,19 @@ def test_op4_each_statistic_alone_rejects(spark):
     assert sum(got[i]["kept"] for i in range(200)) >= 198
 
 
+def test_op4_small_groups_are_judged(spark):
+    r = random.Random(45)
+    word = lambda: "".join(r.choice(string.ascii_lowercase) for _ in range(r.randint(2, 8)))
+    good = [(i, "\n".join(" ".join(word() for _ in range(10)) for _ in range(r.randint(5, 40))), "en", f"s{i % 20}") for i in range(80)]
+    junk = " ".join(r.choice(string.ascii_letters) for _ in range(120))
+    bad = [(80, junk, "en", "s1"), (81, junk, "en", None), (82, junk, None, None), (83, junk, "xx", "s1")]
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in quality_rules.quality_rules(docs).collect()}
+    assert all(x["base_failed"] or x["distance2"] is not None for x in got.values())
+    assert not any(got[i]["base_failed"] or got[i]["kept"] for i in range(80, 84))
+    assert sum(got[i]["kept"] for i in range(80)) >= 78
+
+
 def test_op7_round_trip_and_best_score(docs):
     c = sentence_pieces.PieceCoder(public("piece_bpe_32k.model"))
     r = random.Random(6)
