@@ -107,7 +107,7 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         span *= 2
     peak = np.maximum(peak[:n], peak[WINDOW - span : n + WINDOW - span])
     places = np.flatnonzero(peak == h)
-    twin = np.flatnonzero((h[places[1:]] == h[places[:-1]]) & (np.diff(places) < WINDOW))
+    twin = np.flatnonzero((h[places[1:]] == h[places[:-1]]) & (np.diff(places) <= WINDOW))
     within = np.zeros(len(start) + 1, np.int64)
     if len(twin):
         low = np.maximum(np.searchsorted(start, places[twin + 1] - WINDOW + 1, side="right") - 1, 0)
