@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -130,6 +131,76 @@ def long_duration_windows(segments: DataFrame, by: list[str], limit: float = 60.
     return rows.mapInPandas(run, f"{fields}, chunk_index int, text string, timestamp_start long, timestamp_end long")
 
 
+NO_START = -(1 << 62)  # the bucket of events without a start
+
+
+def stretches(events: DataFrame, by: list[str], limit: float) -> DataFrame:
+    """``events`` with _stretch: numbers, per ``by``, of stretches that gaps of at least ``limit`` part.
+
+    Gaps are found between buckets of ``limit`` seconds: a partial aggregate, of as many rows as the time span has buckets,
+    however many events there are. Where an event has no start, no gap is certain, and all of its ``by`` is one stretch.
+    """
+    rows = events.withColumn("_b", F.coalesce(F.floor(F.col("start") / limit).cast("long"), F.lit(NO_START)))
+    whole = W.partitionBy(*by)
+    w = whole.orderBy("_b")
+    thin = rows.groupBy(*by, "_b").agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    thin = thin.withColumns({"new": F.coalesce((F.col("lo") - F.lag("hi").over(w) >= limit).cast("long"), F.lit(0)), "least": F.min("_b").over(whole)})
+    thin = thin.withColumn("_stretch", F.when(F.col("least") == NO_START, 0).otherwise(F.sum("new").over(w)).cast("long"))
+    return _null_safe(rows, thin.select(*by, "_b", "_stretch"), [*by, "_b"]).drop("_b")
+
+
+def _null_safe(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """A join in which null keys meet; the keys stay once."""
+    other = other.withColumnsRenamed({c: f"_o_{c}" for c in keys})
+    on = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in keys]
+    return rows.join(other, on).drop(*[f"_o_{c}" for c in keys])
+
+
+def timed_windows(events: DataFrame, by: list[str], limit: float, order: list[str]) -> DataFrame:
+    """As ``duration_windows``, for events in an ``order`` that has no start before an earlier one, and no negative durations.
+
+    A gap of at least ``limit`` between starts ends a window for certain, so the stretches between gaps are dealt to tasks by
+    themselves; sorted rows stream through, and one window is held at a time.
+    """
+    names = [*by, "_stretch"]
+    fields = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, texts, start, end, types = None, 0, [], None, None, []
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = [*types, pa.int64(), pa.string(), pa.float64(), pa.float64()]
+            columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [*names, "n", "text", "start", "end"])
+
+        for b in batches:
+            types = [b.schema.field(c).type for c in names]
+            done = []
+            for *k, s, d, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                stop = None if s is None else s + (d or 0.0)
+                if texts and (k != key or (stop is not None and start is not None and stop - start >= limit)):
+                    done.append((*key, n, " ".join(texts), start, end))
+                    texts, n = [], n + 1
+                if k != key:
+                    key, n = k, 0
+                if not texts:
+                    start = s
+                texts.append(t or "")
+                end = stop
+            yield out(done)
+        if texts:
+            yield out([(*key, n, " ".join(texts), start, end)])
+
+    rows = stretches(events, by, limit).repartition(*names).sortWithinPartitions(*names, *order)
+    rows = rows.select(*names, F.col("start").cast("double"), F.col("duration").cast("double"), "text")
+    found = rows.mapInArrow(run, f"{fields}, _stretch long, n long, text string, start double, end double")
+    before = W.partitionBy(*by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    counts = found.groupBy(*names).agg(F.count("*").alias("_n"))
+    counts = counts.select(*names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    index = (F.col("_before") + F.col("n")).cast("int").alias("chunk_index")
+    return _null_safe(found, counts, names).select(*by, index, "text", T.whole_seconds(F.col("start")).alias("timestamp_start"), T.whole_seconds(F.col("end")).alias("timestamp_end"))
+
+
 def sections(paragraphs: DataFrame, by: str = "source_id") -> DataFrame:
     """by, seg_idx, section_heading, text: paragraphs under the heading in front of them.
 

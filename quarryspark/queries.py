@@ -123,7 +123,7 @@ def semantic_cache(spark, sf_dir):
 
 def _document_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    n = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    n = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))  # in the order of chunks; nothing needs the numbers themselves
     none = F.lit(None).cast("string")
     return d.select(F.col("source").alias("source_id"), F.lit("pdf").alias("source_type"), n.alias("chunk_index"), F.concat("source", F.lit(".txt")).alias("filename"), none.alias("title"), none.alias("url"), F.lit(None).cast("timestamp").alias("event_at"), F.concat_ws("_", "source", F.col("doc_id").cast("string")).alias("chunk_id"))
 
@@ -243,8 +243,8 @@ SELECT user_id, chunk_index, string_agg(event_type, ' ' ORDER BY n) AS text, rou
 def time_chunks(spark, sf_dir):
     """Greedy windows of an hour over the events of each user."""
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    e = table(spark, sf_dir, "events").select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).alias("pos"), F.col("event_type").alias("text"), seconds.alias("start"), F.lit(0.0).alias("duration"))
-    return chunking.duration_windows(e, ["user_id"], 3600.0)
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("text"), seconds.alias("start"), F.lit(0.0).alias("duration"))
+    return chunking.timed_windows(e, ["user_id"], 3600.0, ["ts", "event_id"])
 
 
 @query("""WITH m AS (SELECT *, sum((role = 'user')::INT) OVER w AS seg_idx, last_value(CASE WHEN role = 'user' THEN trim(text) END IGNORE NULLS) OVER w AS heading FROM conversations
