@@ -15,6 +15,8 @@ from ..schemas import SOURCE_TYPES
 K = 5
 #: Queries that are sent to the tasks at once: at 384 dimensions 25 MB. More queries make more blocks.
 BLOCK = 8192
+#: Queries whose distances to a batch are held at once.
+SLICE = 512
 
 
 def _blocks(queries: DataFrame, key: str) -> Iterator[tuple[list, np.ndarray]]:
@@ -30,11 +32,26 @@ def _blocks(queries: DataFrame, key: str) -> Iterator[tuple[list, np.ndarray]]:
         yield keys, np.array(vectors, np.float64)
 
 
+def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` least distances of each row of ``d`` and their ids, ties by id (null first), in that order.
+
+    ``ids`` is one array for all rows, or one a row.
+    """
+    if ids.ndim == 1:
+        order = np.argsort(pd.factorize(ids, sort=True)[0], kind="stable")
+        d, ids = d[:, order], ids[order]
+        at = np.argsort(d, axis=1, kind="stable")[:, :k]
+        return np.take_along_axis(d, at, 1), ids[at]
+    rank = pd.factorize(ids.reshape(-1), sort=True)[0].reshape(ids.shape)
+    at = np.lexsort((rank, d), axis=1)[:, :k]
+    return np.take_along_axis(d, at, 1), np.take_along_axis(ids, at, 1)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "chunk_id", group_col: str = "source_type", query_col: str = "query_id") -> DataFrame:
     """query, group, id, distance, rank: the ``k`` nearest rows of each group for each query, ties by id.
 
-    ``vectors`` has id, group and embedding. Each task keeps the best ``k`` of its batches per query and group,
-    from a matrix product with a block of queries; only those candidates are shuffled.
+    ``vectors`` has id, group and embedding. Each task keeps exactly ``k`` rows of its batches per query and group,
+    ties by id, from a matrix product with a block of queries; only those candidates are shuffled.
     """
     spark = vectors.sparkSession
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
@@ -53,18 +70,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "c
                     v = np.stack(b["embedding"].to_numpy()[at]).astype(np.float64)
                     ids = b[id_col].to_numpy()[at]
                     norm = np.linalg.norm(v, axis=1)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = 1 - (unit @ v.T) / norm
-                    d[:, norm == 0] = np.inf
+                    found = []
+                    for q in range(0, len(keys), SLICE):
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            d = 1 - (unit[q : q + SLICE] @ v.T) / norm
+                        d[:, norm == 0] = np.inf
+                        found.append(_least(d, ids, k))
+                    d, ids = (np.vstack(x) for x in zip(*found, strict=True))
                     if group in kept:
-                        d, ids = np.hstack([kept[group][0], d]), np.hstack([kept[group][1], np.broadcast_to(ids, (len(keys), len(ids)))])
-                    else:
-                        ids = np.broadcast_to(ids, (len(keys), len(ids)))
-                    if d.shape[1] > k:
-                        cut = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-                        width = int((d <= cut).sum(1).max())  # rows that tie with the last stay
-                        order = np.argsort(d, axis=1, kind="stable")[:, :width]
-                        d, ids = np.take_along_axis(d, order, 1), np.take_along_axis(ids, order, 1)
+                        d, ids = _least(np.hstack([kept[group][0], d]), np.hstack([kept[group][1], ids]), k)
                     kept[group] = (d, ids)
             for group, (d, ids) in kept.items():
                 n = d.shape[1]
