@@ -9,6 +9,9 @@
   (``min(text) = max(text)`` per digest, again with map-side partials, so a group of any size sends one
   text per task). Digests with different texts, should any exist, are regrouped by the text itself.
 
+``exact_dedup`` flushes one run, so it needs no compaction and no look-up behind the Bloom filters; these serve an
+index that several flushes fill.
+
 All steps are DataFrame operations; no Python runs on the executors.
 
 Defined cases: null text counts as the empty text, all such rows are one group; rows that repeat both
