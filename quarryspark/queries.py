@@ -411,4 +411,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn_top5(spark, sf_dir)
 
 
-__all__ = ["QUERIES", "SQL", "entry", "files"]
+from . import table_queries  # noqa: E402  registers its queries
+
+__all__ = ["QUERIES", "SQL", "entry", "files", "table_queries"]
