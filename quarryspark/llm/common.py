@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session sets none (tests, local runs) a temporary folder is used.
+    Only where the session sets none and executors run on this machine (tests) a temporary folder is used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='quarryspark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -78,12 +80,17 @@ def may_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataF
     return mark_hit(rows, hits, key, n_hits).where("_hit").drop("_hit")
 
 
-def without(rows: DataFrame, gone: DataFrame, n_gone: int) -> DataFrame:
-    """``rows`` whose doc_id (a long) is not in ``gone``: only rows that the bitmap names are shuffled for the exact test."""
+def without(rows: DataFrame, gone: DataFrame, n_gone: int, mark: Column | None = None) -> DataFrame:
+    """``rows`` that are not in ``gone`` by doc_id (a long, nulls too) and, where given, by ``mark`` (its column of ``gone``
+    has that name). Only rows whose doc_id the bitmap names are shuffled for the exact test."""
     if not n_gone:
         return rows
-    marked = mark_hit(rows, gone, F.xxhash64("doc_id"), n_gone)
-    tested = marked.where("_hit").drop("_hit").join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    marked = mark_hit(rows, gone, F.xxhash64(F.col("doc_id").cast("long")), n_gone)
+    named = gone.select(F.col("doc_id").alias("_gone"), *([F.col("mark").alias("_gone_mark")] if mark is not None else [])).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
+    if mark is not None:
+        same = same & (mark == F.col("_gone_mark"))
+    tested = marked.where("_hit").drop("_hit").join(named, same, "left_anti")
     return marked.where("not _hit").drop("_hit").unionByName(tested)
 
 
@@ -91,13 +98,15 @@ def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, to
     """Left-join ``rows`` with one row per group, where some groups may hold a large share of ``rows``.
 
     Groups over a thousandth of ``total`` number a thousand at most; these are broadcast. Rows they
-    match leave the shuffle join through a key of their own, so no task gets more than a thousandth
-    of the rows by one key. ``key`` is a binary column.
+    match leave the shuffle join through keys of their own, so no task gets more than a thousandth
+    of the rows by one key. ``key`` is a binary or long column.
     """
     values = [c for c in groups.columns if c != key]
     heavy = groups.where(F.col(size) * 1000 > F.lit(total)).select(F.col(key).alias("_hk"), *[F.col(c).alias(f"_h_{c}") for c in values])
     light = groups.where(F.col(size) * 1000 <= F.lit(total)).select(F.col(key).alias("_lk"), *[F.col(c).alias(f"_l_{c}") for c in values])
     dealt = rows.join(F.broadcast(heavy), F.col(key) == F.col("_hk"), "left")
-    dealt = dealt.withColumn("_jk", F.when(F.col("_hk").isNull(), F.col(key)).otherwise(F.encode(F.uuid(), "UTF-8")))
-    out = dealt.join(light, F.col("_jk") == F.col("_lk"), "left")
+    spread = F.xxhash64(F.uuid()) if rows.schema[key].dataType.typeName() == "long" else F.encode(F.uuid(), "UTF-8")
+    dealt = dealt.withColumns({"_jk": F.when(F.col("_hk").isNull(), F.col(key)).otherwise(spread), "_jh": F.col("_hk").isNotNull()})
+    light = light.withColumn("_lh", F.lit(False))
+    out = dealt.join(light, (F.col("_jk") == F.col("_lk")) & (F.col("_jh") == F.col("_lh")), "left")
     return out.select(*rows.columns, *[F.coalesce(f"_h_{c}", f"_l_{c}").alias(c) for c in values])

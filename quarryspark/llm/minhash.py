@@ -16,13 +16,20 @@ Steps:
    LEADERS that it shares most keys with. Links merge components. Members never pair with one another, so a large
    group costs a few comparisons per member and round, and after the first rounds nearly all members of a key are
    in its main component. Rounds end when step 4 has FEW pairs a row at most, or when they stop helping.
-4. Keys that still hold several components get every pair across components compared, once each, so no link that
+4. Keys that still hold several components get the pairs across components compared, once each, so no link that
    a table shows is lost to the choice of leaders. Members outside the main component meet the others; those
-   inside never meet one another.
+   inside never meet one another. Two exact bounds keep edited copies of one text that are too far off from
+   meeting all others: a shingle that no other member of these keys has is in no intersection, and the bits in
+   which two parity sketches differ (a bit per hash value: whether the set has an odd number of shingles there)
+   are at most the shingles in which the sets differ.
+
+A node is a distinct set and has a number of its own, whatever the doc_ids of its rows; a component's name is
+the smallest doc_id in it.
 
 Defined cases: null, empty and word-less texts have an empty set and no links; one word is a set of its own;
-rows that repeat a doc_id count as one document if their texts differ, null doc_ids too; an empty table gives
-no rows; other columns are ignored.
+rows that repeat a doc_id with different texts are different documents of one name; a null doc_id is nobody's
+smallest, a component of nulls has a null name and its rows stay; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -42,11 +49,12 @@ from .components import components
 COLLECTIONS, ROWS, SEED = 16, 3, 7
 PAIRS = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]  # of the tables, in order
 PERCENT = 80  # least similarity
+WIDTH = 2  # words of a shingle
 ROUNDS, LEADERS = 5, 3  # most rounds with leaders, and leaders that a node is compared with in one
 FEW, HELP = 8, 0.8  # pairs a row that end the rounds; a round helps if it leaves less than this share of the pairs
-BROADCAST = 100_000  # rows outside main components (200 bytes each) up to which they are sent to all tasks
-CACHE_WORDS = 1_000_000
-NO_ID = -(1 << 63)  # stands for a null doc_id
+SKETCH = 16  # longs of a parity sketch; sets of more shingles than its bits have a second one of two bits a shingle at least
+CROWD = 32  # nodes at a main component from which sketches are carried; results don't depend on it
+CACHE_WORDS = 200_000  # words whose hash a worker keeps
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 
@@ -69,15 +77,19 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the two-word shingles of a text."""
+def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``width``-word shingles of a text; fewer words are one shingle."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, and just the contract's white space
     if len(_hashes) > CACHE_WORDS:
         _hashes.clear()
     w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    if len(w) < 2:
-        return _mix(w * _M[1] + np.uint64(1))
-    return np.unique(_mix(w[:-1] * _M[0] + _mix(w[1:] * _M[1])))
+    if not len(w):
+        return w
+    k = min(width, len(w))
+    h = np.full(len(w) - k + 1, np.uint64(k))
+    for i in range(k):
+        h = _mix(h * _M[0] + w[i : len(w) - k + 1 + i])
+    return np.unique(h)
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -98,37 +110,59 @@ def collections_of(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    """doc_id, mark (hash of the text: with doc_id, it tells rows apart), text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "mark")
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, digest (of the set; null if empty), sub (array of collections)."""
+def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, mark, n, digest (of the set; null if empty), sub (array of collections)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = _coefficients()
         for batch in batches:
             n, digest, sub = [], [], []
             for t in batch["text"]:
-                s = shingle_set(t)
+                s = shingle_set(t, width)
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                digest.append(_digest(s) if len(s) else None)
                 sub.append(collections_of(s, a, b) if len(s) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": n, "digest": digest, "sub": sub})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "mark": batch["mark"], "n": n, "digest": digest, "sub": sub}).astype({"doc_id": "Int64"})
+        _hashes.clear()
+
+    return _texts(docs).mapInPandas(run, "doc_id long, mark long, n long, digest binary, sub array<long>")
+
+
+def sketch(s: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the number of shingles per hash value modulo ``bits`` (a power of two), as longs."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-    return _texts(docs).mapInPandas(run, "doc_id long, n long, digest binary, sub array<long>")
 
+def _wide(s: np.ndarray) -> np.ndarray:
+    return sketch(s, 1 << (2 * len(s) - 1).bit_length()) if len(s) > SKETCH * 64 else np.zeros(0, np.int64)
 
-def full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
-    """node, set (array of long) of the documents that ``nodes`` (node, digest) names."""
+
+def full_sets(docs: DataFrame, nodes: DataFrame, n_nodes: int, width: int = WIDTH) -> DataFrame:
+    """node, set (array of long), narrow and wide (its sketches) of ``nodes`` (node, digest, row: hash of one of its rows). Only those rows are read again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["doc_id"], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "set": [s.view(np.int64) for s in sets]})
+            sets = [shingle_set(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"digest": [_digest(s) for s in sets], "set": [s.view(np.int64) for s in sets], "narrow": [sketch(s, SKETCH * 64) for s in sets], "wide": [_wide(s) for s in sets]})
+        _hashes.clear()
 
-    near = may_hit(_texts(docs), nodes.select(F.col("node").alias("doc_id")), F.xxhash64("doc_id"), n_nodes)
-    sets = near.mapInPandas(run, "node long, digest binary, set array<long>")
-    return sets.join(nodes, ["node", "digest"], "left_semi").dropDuplicates(["node"]).select("node", "set")
+    near = may_hit(_texts(docs).withColumn("row", _row()), nodes.select("row"), F.col("row"), n_nodes)
+    sets = near.select("text").mapInPandas(run, "digest binary, set array<long>, narrow array<long>, wide array<long>")
+    return sets.join(nodes.select("node", "digest"), "digest").dropDuplicates(["node"]).drop("digest")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, n_nodes: int) -> DataFrame:
@@ -151,20 +185,20 @@ def table_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", F.posexplode(F.array(*[F.xxhash64(F.lit(i * 100 + j), F.col("sub")[i], F.col("sub")[j]) for i, j in PAIRS])).alias("table", "key"))
 
 
-def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that are linked; ``nodes`` has node, n, digest, sub."""
+def near_links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(node, component) of the nodes that are linked; ``nodes`` has node, n, digest, row, sub."""
     keys = table_keys(nodes)
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "minhash-shared")
     members = stored(may_hit(keys, shared, F.col("key"), shared.count()).join(shared, "key").select("key", "table", "node", "n"), "minhash-members")
-    in_tables = stored(members.select("node").distinct().join(nodes.select("node", "digest"), "node"), "minhash-nodes")
+    in_tables = stored(members.select("node").distinct().join(nodes.select("node", "digest", "row"), "node"), "minhash-nodes")
     n_nodes = in_tables.count()
-    sets = stored(full_sets(docs, in_tables, n_nodes), "minhash-sets")
+    sets = stored(full_sets(docs, in_tables, n_nodes, width), "minhash-sets")
     labels = tested = before = None
     for turn in range(ROUNDS + 1):
         members, old = stored(_mixed(members, labels), "minhash-mixed"), members
         drop_stored(old)
         out = F.col("component") != F.col("main")
-        rows, outside, left = members.agg(F.count("*"), F.count_if(out), F.coalesce(F.sum(F.when(out, F.col("m"))), F.lit(0))).first()
+        rows, left = members.agg(F.count("*"), F.coalesce(F.sum(F.when(out, F.col("m"))), F.lit(0))).first()
         if turn == ROUNDS or turn and (left <= FEW * rows or left > HELP * before):
             break
         before = left
@@ -180,32 +214,57 @@ def near_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         now = stored(pairs.withColumn("r", best).where(F.col("r") <= LEADERS).select("a", "b"), "minhash-candidates")
         tested = now if tested is None else tested.unionByName(now)
         labels = _merged(labels, verified(now, sets, n_nodes))
-    if rows:  # keys of several components: every pair across them, once, in the first table where it meets
-        members = stored(_with_lower(members.join(nodes.select("node", "sub"), "node")).drop("sub"), "minhash-across")
-        cross = _across(members, outside)
-        cross = stored(cross.select(F.col("node").alias("a"), F.col("node2").alias("b")), "minhash-cross")
+    if rows:  # keys of several components: the pairs across them, once, in the first table where they meet
+        bounds = _bounds(members, sets, n_nodes)
+        able = members.join(bounds, ["main", "node"]).join(nodes.select("node", "sub"), "node")
+        able = stored(able, "minhash-across")
+        cross = stored(_across(able), "minhash-cross")
         labels = _merged(labels, verified(cross, sets, n_nodes))
-        drop_stored(cross)
-    for frame in (sets, members, shared):
+        for frame in (able, cross, bounds):
+            drop_stored(frame)
+    for frame in (sets, members, shared, in_tables, *([tested] if tested is not None else [])):
         drop_stored(frame)
     return labels
 
 
-def _with_lower(members: DataFrame) -> DataFrame:
-    """``members`` with ``lower``: what they have in the collections in front of their table's second one, but its first."""
-    first, second = (F.element_at(F.array(*[F.lit(p[k]) for p in PAIRS]), F.col("table") + 1) for k in (0, 1))
-    rows = members.withColumns({"i": first, "j": second})
-    lower = F.expr("transform(filter(sequence(0, j), k -> k < j and k <> i), k -> xxhash64(k, sub[k]))")
-    return rows.withColumn("lower", lower).drop("i", "j")
-
-
-def _across(members: DataFrame, outside: int) -> DataFrame:
-    """The pairs across components that share a key, each in the first table where it meets: none of ``lower`` agrees."""
-    few = members.where("component <> main")
-    few = F.broadcast(few) if outside <= BROADCAST else few
-    other = members.select("key", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "component", "lower")])
-    pairs = few.join(other, "key").where("component <> component2 and (component2 = main or component < component2)")
-    return pairs.where(_close("n", "n2")).where(~F.arrays_overlap("lower", "lower2"))
+def _bounds(members: DataFrame, sets: DataFrame, n_nodes: int) -> DataFrame:
+    """(main, node, s, narrow, wide) of the nodes that may have a link: s shingles that some other node of ``members``
+    has, too, and the sketches (null at main components of few nodes)."""
+    at = stored(members.groupBy("main", "node").agg(F.first("n").alias("n")), "minhash-at-main")
+    nodes = stored(at.groupBy("node").agg(F.first("n").alias("n")), "minhash-mixed-nodes")
+    n = nodes.count()
+    near = may_hit(sets, nodes, F.xxhash64("node"), n) if n * 2 < n_nodes else sets
+    near = near.join(nodes, "node", "left_semi")
+    alone = near.select("node", F.explode("set").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.first("node").alias("node"))
+    alone = alone.where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    s = nodes.join(alone, "node", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+    s = stored(s.where(F.col("s") * 100 >= PERCENT * F.col("n")).select("node", "s"), "minhash-shared-sizes")
+    at = at.join(s, "node").select("main", "node", "s")
+    crowds = at.groupBy("main").agg(F.count("*").alias("nodes")).where(F.col("nodes") >= CROWD).select("main")
+    crowded = stored(at.join(crowds, "main", "left_semi").select("main", "node"), "minhash-crowds").join(near.select("node", "narrow", "wide"), "node")
+    return stored(at.join(crowded, ["main", "node"], "left"), "minhash-bounds")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """(a, b): pairs across components that share a key, each in the first table where it meets: no collection in front
+    of the table's second one, but its first, agrees. Arrays are laid out as columns, for compiled conditions."""
+    share = lambda common, n, m: common * (100 + PERCENT) >= PERCENT * (n + m)
+    least = members.groupBy("key").agg(F.min("n").alias("least"))  # a partner has that many shingles at least
+    partner = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+    able = members.join(least, "key").where(share(F.col("s"), F.col("n"), partner))
+    flat = {f"c{k}": F.get("sub", F.lit(k)) for k in range(COLLECTIONS)} | {f"k{k}": F.get("narrow", F.lit(k)) for k in range(SKETCH)}
+    able = able.withColumns(flat).select("key", "table", "node", "n", "s", "component", "main", "wide", *flat)
+    few = able.where("component <> main").withColumns({x: F.element_at(F.array(*[F.lit(p[y]) for p in PAIRS]), F.col("table") + 1) for y, x in enumerate("ij")})
+    other = able.drop("table", "main")
+    pairs = few.join(other.select("key", *[F.col(c).alias(f"{c}_") for c in other.columns if c != "key"]), "key")
+    pairs = pairs.where("component <> component_ and (component_ = main or component < component_)").where(_close("n", "n_"))
+    pairs = pairs.where(" and ".join(f"not (c{k} = c{k}_ and i <> {k} and j > {k})" for k in range(COLLECTIONS)))
+    differ = F.expr(" + ".join(f"bit_count(k{k} ^ k{k}_)" for k in range(SKETCH)))
+    wide = F.aggregate(F.zip_with("wide", "wide_", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    most = (100 - PERCENT) * (F.col("n") + F.col("n_"))  # (100 + PERCENT) times the shingles in which similar sets differ
+    pairs = pairs.where(share(F.least("s", "s_"), F.col("n"), F.col("n_"))).where(F.coalesce(differ * (100 + PERCENT) <= most, F.lit(True)))
+    pairs = pairs.where(F.coalesce((F.size("wide") == 0) | (F.size("wide") != F.size("wide_")) | (wide * (100 + PERCENT) <= most), F.lit(True)))
+    return pairs.select(F.col("node").alias("a"), F.col("node_").alias("b"))
 
 
 def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -227,18 +286,24 @@ def _merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     return stored(components(every), "minhash-labels")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    rows = stored(signatures(docs), "minhash-signatures")
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sub").alias("sub"))
+def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id, and first (the row is its component's least by doc_id and mark): a row per row of ``docs``."""
+    rows = stored(signatures(docs, width), "minhash-signatures")
+    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("name"), F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "mark")).alias("least"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sub").alias("sub"))
+    classes = classes.withColumns({"node": F.monotonically_increasing_id(), "row": F.xxhash64("least.doc_id", "least.mark")})
     classes = stored(classes, "minhash-classes")
-    labels = near_links(docs, classes)
-    named = classes.join(labels, "node", "left").select("digest", "size", F.coalesce("component", "node").alias("component"), "node")
-    named = stored(named.where("size > 1 or component <> node").select("digest", "size", "component"), "minhash-named")
-    out = left_join_groups(rows.select("doc_id", "n", "digest"), named, "digest", "size", rows.count())
-    back = lambda c: F.when(F.col(c) == NO_ID, F.lit(None).cast("long")).otherwise(F.col(c))
-    out = out.withColumn("component", F.coalesce("component", "doc_id"))
-    return out.select(back("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), back("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    labels = near_links(docs, classes, width)
+    named = stored(classes.join(labels, "node", "left").select("digest", "size", "name", "least", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked")), "minhash-named")
+    whole = named.where("linked").groupBy("component").agg(F.min("name").alias("all"), F.min("least").alias("all_least"))
+    named = named.where("linked or size > 1").join(whole, "component", "left").select("digest", "size", F.coalesce("all", "name").alias("component_id"), F.coalesce("all_least", "least").alias("least"))
+    out = left_join_groups(rows.select("doc_id", "mark", "n", "digest"), stored(named, "minhash-groups"), "digest", "size", rows.count())
+    first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    return near_groups(docs, width).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

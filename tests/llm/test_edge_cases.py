@@ -104,3 +104,19 @@ def test_pipeline_of_odd_rows(spark, odd, tmp_path):
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == ids
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).where(F.lit(True)).count() == 0
+
+
+def test_repeated_and_null_ids_in_the_pipeline(spark):
+    """A row is judged by its text, not by the company of its doc_id."""
+    rows = [(1, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (9, "h i j k l m n"), (None, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(corpus_pipeline.exact_duplicates(spark, docs, "").collect())
+    assert got == [(5, "a b c d e f g"), (9, "h i j k l m n")]
+    base = [f"w{i}" for i in range(60)]
+    x, y = " ".join(base), " ".join(w + "y" for w in base)
+    near = [(7, x), (7, y), (8, x + " z"), (9, y + " z"), (None, x + " q"), (None, "alone in the world")]
+    docs = spark.createDataFrame(near, "doc_id long, text string")
+    got = {(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_groups(spark, docs, "").collect()}
+    assert got == {(7, x), (7, y), (None, "alone in the world")}
+    found = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in minhash.near_duplicates(docs).collect())
+    assert found == [(0, 0), (0, 7), (7, 7), (7, 7), (8, 7), (9, 7)]
