@@ -2,20 +2,21 @@
 
 Language identification drops documents without a language, exact dedup keeps one of equal texts, near dedup
 one of each linked group, personal data are replaced by their kind, and best-fit packing places what is left.
-All stages but the last return the columns of ``documents``. Rows that repeat a doc_id share their fate in the
-dedup stages. A document leaves a dedup stage through a bitmap filter and an anti join of the few texts that it
-names, so the text of kept documents is not shuffled.
+All stages but the last return the columns of ``documents``. A row is known by its doc_id, null or not, and the hash
+of its text, so rows that repeat a doc_id with other texts are judged each by its own; rows that repeat both share
+their fate. A document leaves a dedup stage through a bitmap filter and an anti join of the few rows that it
+names, so the text of kept documents is not shuffled. Near duplicates share 80 % of their five-word shingles.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryspark.llm.common import stored, table, without
+from quarryspark.llm.common import drop_stored, lower_ascii, stored, table, without
 from quarryspark.llm.exact_dedup import exact_dedup
 from quarryspark.llm.language_id import of_known_language
-from quarryspark.llm.minhash import near_duplicates
+from quarryspark.llm.minhash import near_groups
 from quarryspark.llm.packing import pack
 from quarryspark.llm.pii import redact
 
@@ -25,19 +26,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return of_known_language(docs)
 
 
-def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    gone = stored(verdict.where("not kept").select("doc_id"), "pipeline-gone")
-    return without(docs, gone, gone.count()).select(*docs.columns)
+SHINGLE = 5  # words
+
+
+def _without(docs: DataFrame, gone: DataFrame, mark: Column) -> DataFrame:
+    """``docs`` but the rows of ``gone`` (doc_id, mark)."""
+    gone = stored(gone, "pipeline-gone")
+    return without(docs, gone, gone.count(), mark).select(*docs.columns)
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one of the largest doc_id."""
-    return _kept(docs, exact_dedup(docs))
+    gone = exact_dedup(docs).where("not kept").select("doc_id", F.col("text_sha256").alias("mark"))
+    return _without(docs, gone, F.sha2(lower_ascii(_text()), 256))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of the smallest doc_id."""
-    return _kept(docs, near_duplicates(docs))
+    return _without(docs, near_groups(docs, SHINGLE).where("not first").select("doc_id", "mark"), F.xxhash64(_text()))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
