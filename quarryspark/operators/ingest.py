@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..schemas import CHUNKS, conform
 from ..sources.files import page_text
 from ..sources.models import Embedder, embedded, hashing_embedder
-from .chunking import chunk_documents, chunk_pages, duration_windows
+from .chunking import chunk_documents, chunk_pages, long_duration_windows
 
 
 def _finished(rows: DataFrame, kind: str, load: Callable[[], Embedder]) -> DataFrame:
@@ -32,7 +32,7 @@ def transcripts(segments: DataFrame, videos: DataFrame, load: Callable[[], Embed
     """Chunks of timed transcripts; ``videos`` has source_id, url and html (null: not fetched). Blank chunks stay."""
     title, channel = T.video_metadata(F.coalesce("html", F.lit("")), F.col("url"))
     meta = videos.select("source_id", F.col("url").alias("video_url"), T.video_id(F.col("url")).alias("video_id"), title.alias("title"), channel.alias("channel"))
-    rows = duration_windows(segments, ["source_id"], limit).join(meta, "source_id")
+    rows = long_duration_windows(segments, ["source_id"], limit).join(meta, "source_id")
     return _finished(rows.withColumn("event_at", F.current_timestamp() if at is None else at), "youtube", load or hashing_embedder())
 
 

@@ -361,11 +361,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, rank FROM r WHERE rank <= 5""")
 def rrf(spark, sf_dir):
     """BM25 and the count of shared words, fused by reciprocal ranks."""
-    q = table(spark, sf_dir, "benchmark")
-    terms = q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.words(F.lower("text")))).alias("term"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("term"))
-    counts = d.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
-    overlap = counts.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("n").desc(), "doc_id"))).where("rank <= 15")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    overlap = ranking.shared_words(q, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 15, doc_id="doc_id")
     out = ranking.fused([_bm25(spark, sf_dir, 15), overlap], 5, doc_id="doc_id")
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
