@@ -3,11 +3,13 @@
 1. ``tokenized``: one narrow pass turns each text into token ids, ends it with id 0 and cuts documents of more
    than ``CAPACITY`` tokens into pieces. A piece also gets its rank among the pieces of its length in its task.
 2. ``plan``: only the histogram of lengths (``CAPACITY`` rows at most, whatever the input) reaches the driver.
-   The linear program has a variable per configuration (a multiset of lengths that fits a sequence). It is
-   solved by multiplicative weights: prices per length start at length / capacity, a knapsack dynamic program
-   over the capacity prices the best configurations, these are used, and the prices of the lengths that they
-   cover fall. The fractional solution is rounded down, the rest of the histogram goes through the program
-   again, and what remains in the end is placed by best fit.
+   The linear program has a variable per configuration (a multiset of lengths that fills a sequence) and a row per
+   length. It is solved by multiplicative weights: prices per length start at length / capacity, a knapsack dynamic
+   program over the capacity prices the configurations, those of best price that hold the least covered lengths
+   are used, and the prices of the lengths that they cover fall, so that all lengths are covered alike. Prices over
+   the best price are a dual solution, which bounds the number of sequences from below. The fractional solution is rounded
+   down, and what remains, a mixture of all lengths, is placed by best fit: each piece, the longest first, where
+   least room is left.
 3. ``place``: ranks become global by one offset per (task, length); a piece finds sequence and offset in the
    plan by its length and rank. No group is gathered anywhere: a length that a third of all pieces share is
    spread over all tasks.
@@ -18,6 +20,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 import zlib
@@ -33,9 +36,9 @@ from pyspark.sql.window import Window as W
 from .common import stored, table
 
 CAPACITY, END = 2048, 0
-CACHE_WORDS = 1_000_000  # entries of a worker's word cache before it starts anew
-#: Rounds of the program on what is left, steps of each, configurations taken from one pricing.
-ROUNDS, STEPS, TAKEN = 3, 60, 24
+CACHE_WORDS = 200_000  # entries of a worker's word cache before it starts anew
+#: Most pricings, configurations taken from one, the share of a length that one use covers at most, and how fast prices fall.
+STEPS, TAKEN, SHARE, RATE = 240, 48, 0.1, 0.4
 
 _LETTER, _NUMBER, _SPACE = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
@@ -64,9 +67,9 @@ class WordEncoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a word
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self._start_anew()
+        self.start_anew()
 
-    def _start_anew(self) -> None:
+    def start_anew(self) -> None:
         self.number, self.first, self.size, self.flat = _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _words(self, text: str) -> list[str]:
@@ -99,7 +102,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.number) > CACHE_WORDS:
-            self._start_anew()
+            self.start_anew()
         words = [self._words(t) for t in texts]
         count = np.fromiter(map(len, words), np.int64, len(words))
         known = len(self.number)
@@ -142,58 +145,83 @@ def tokenized(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> D
                         rows.append((doc_id, k, start, n, zlib.crc32(piece.tobytes()), part, seen[n]) + ((piece.astype(np.int64),) if with_ids else ()))
                         seen[n] += 1
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank"] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
+        encoder.start_anew()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, _part int, _rank long" + ", ids array<long>" * with_ids)
 
 
 def price(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value of every capacity and the index of an item that reaches it (-1: none)."""
-    best, item = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    """Unbounded knapsack: the best value of lengths that add up to each capacity (none: -inf), and the index of an item of it."""
+    best, item = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+    best[0] = 0.0
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         k = fits[c]
-        best[c], item[c] = best[c - 1], -1
         if k:
             got = value[:k] + best[c - lengths[:k]]
-            j = int(got.argmax())
-            if got[j] > best[c]:
-                best[c], item[c] = got[j], j
+            j = k - 1 - int(got[::-1].argmax())  # of equals the longest: short ones fill gaps later
+            best[c], item[c] = got[j], j if got[j] > -np.inf else -1
     return best, item
 
 
-def solve(lengths: np.ndarray, count: np.ndarray, capacity: int) -> list[tuple[dict[int, int], float]]:
-    """Configurations {index of length: times} with fractional uses, by multiplicative weights."""
-    weight, covered, uses = np.ones(len(lengths)), np.zeros(len(lengths)), {}
+def solve(lengths: np.ndarray, count: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Full configurations {index of length: times} with fractional uses, by multiplicative weights, and the best dual bound."""
+    weight, covered, uses, bound = np.ones(len(lengths)), np.zeros(len(lengths)), {}, 0.0
     for _ in range(STEPS):
         value = lengths / capacity * weight
         best, item = price(lengths, value, capacity)
-        # the configurations of best price that hold the lengths least covered so far
+        if best.max() <= 0:
+            break
+        bound = max(bound, float(value @ count / best.max()))  # value / best price: no configuration is worth over 1
         for first in np.argsort(covered, kind="stable")[:TAKEN]:
             config, c = {int(first): 1}, capacity - int(lengths[first])
+            if best[c] == -np.inf:
+                continue
             while c > 0:
-                if item[c] < 0:
-                    c -= 1
-                    continue
                 j = int(item[c])
                 config[j] = config.get(j, 0) + 1
                 c -= int(lengths[j])
-            times = np.array(list(config.values()))
-            index = np.array(list(config))
-            step = float((count[index] / times).min()) / STEPS * 4
+            index, times = np.array(list(config)), np.array(list(config.values()))
+            if (times > count[index]).any():  # more pieces than there are: dearer from now on
+                weight[index[times > count[index]]] *= 0.7
+                continue
+            step = float((count[index] / times).min()) * SHARE
             key = tuple(sorted(config.items()))
             uses[key] = uses.get(key, 0.0) + step
             gain = times * step / count[index]
             covered[index] += gain
-            weight[index] *= np.exp(-0.5 * gain)
+            weight[index] *= np.exp(-RATE * gain)
         if covered.min() >= 1:
             break
-    return [(dict(k), x / max(1.0, covered[list(dict(k))].max())) for k, x in uses.items()]
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], int]:
-    """([lengths], times) per configuration used, and the number of sequences."""
-    left, used = dict(histogram), []
+    return [(dict(k), x / max(1.0, covered[list(dict(k))].max())) for k, x in uses.items()], bound
+
+
+def best_fit(pieces: list[int], capacity: int) -> list[list[int]]:
+    """Each piece, the longest first, goes where the least room is left that holds it."""
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms, out = [], []  # rooms: sorted, those that some sequence has left
+    for n in sorted(pieces, reverse=True):
+        at = bisect.bisect_left(rooms, n)
+        if at < len(rooms):
+            room = rooms[at]
+            i = by_room[room].pop()
+            if not by_room[room]:
+                del rooms[at]
+        else:
+            room, i = capacity, len(out)
+            out.append([])
+        out[i].append(n)
+        if room > n:
+            if not by_room[room - n]:
+                bisect.insort(rooms, room - n)
+            by_room[room - n].append(i)
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], int, float]:
+    """([lengths], times) per configuration used, the number of sequences, and a number that no packing goes below."""
+    left, used, bound = dict(histogram), [], sum(n * k for n, k in histogram.items()) / capacity
 
     def take(config: list[int], times: int) -> None:
         used.append((config, times))
@@ -202,44 +230,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
             if not left[n]:
                 del left[n]
 
-    if capacity in left:
-        take([capacity], left[capacity])
-    for _ in range(ROUNDS):
-        if sum(left.values()) < 50:
-            break
-        lengths = np.array(sorted(left))
-        count = np.array([left[int(n)] for n in lengths], float)
-        found = solve(lengths, count, capacity)
-        fill = [sum(int(lengths[i]) * k for i, k in config.items()) for config, _ in found]
-        for at in sorted(range(len(found)), key=lambda i: (-fill[i], -len(found[i][0]))):
-            config, x = found[at]
-            times = min([round(x)] + [left.get(int(lengths[i]), 0) // k for i, k in config.items()])
-            if times > 0 and fill[at] >= 0.995 * capacity:
+    full = left.get(capacity, 0)
+    if full:
+        take([capacity], full)
+    if left:
+        lengths = np.array(sorted(left), np.int64)
+        found, least = solve(lengths, np.array([left[int(n)] for n in lengths], float), capacity)
+        bound = max(bound, full + least)
+        for config, x in sorted(found, key=lambda f: -f[1]):
+            times = min([int(x)] + [left.get(int(lengths[i]), 0) // k for i, k in config.items()])
+            if times > 0:
                 take([int(lengths[i]) for i, k in config.items() for _ in range(k)], times)
-    # best fit: the largest piece that is left, then always the largest that still fits
-    rest = np.zeros(capacity + 1, np.int64)
-    for n, k in left.items():
-        rest[n] = k
-    while rest.any():
-        config, room = [], capacity
-        while room:
-            fits = np.flatnonzero(rest[: room + 1])
-            if not len(fits):
-                break
-            n = int(fits[-1])
-            # as many whole copies of this sequence as the histogram allows come out of one step below
-            config.append(n)
-            rest[n] -= 1
-            room -= n
-        times = 1
-        need = {n: config.count(n) for n in set(config)}
-        more = min(int(rest[n]) // k for n, k in need.items())
-        if more > 0:
-            times += more
-            for n, k in need.items():
-                rest[n] -= k * more
-        used.append((config, times))
-    return used, sum(k for _, k in used)
+    # what rounding down leaves: a sequence for each configuration at most, and lengths that fill none
+    used += [(config, 1) for config in best_fit([n for n, k in left.items() for _ in range(k)], capacity)]
+    return used, sum(k for _, k in used), bound
 
 
 def slots(used: list[tuple[list[int], int]], capacity: int = CAPACITY) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -264,7 +268,7 @@ def place(pieces: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", "length", before.alias("_before"))
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # CAPACITY rows at most
-    used, _ = plan(histogram)
+    used, _, _ = plan(histogram)
     sent = spark.sparkContext.broadcast(slots(used))
     fields = [f for f in pieces.schema.fields if not f.name.startswith("_")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
