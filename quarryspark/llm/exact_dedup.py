@@ -1,17 +1,18 @@
 """Operator 5, exact dedup: a log-structured merge index of text digests.
 
-* **Memtable flush.** Each task sorts the (digest, identifier) pairs of its share and writes them as one
-  sorted run. Parquet keeps a Bloom filter and min/max of the digest per run, for later look-ups.
-* **Compaction.** Runs merge into one level: per digest one identifier stays (``keep`` says the smallest or
-  the largest) with the number of rows. A map-side partial aggregate takes hot digests apart.
+* **Memtable flush.** Each task sorts the (digest, identifier) pairs of its share, its memtable, and writes them as
+  one sorted run: level 0 has as many runs as the flush has tasks, whose digests overlap. Parquet keeps a Bloom
+  filter and min/max of the digest per run.
+* **Compaction.** Runs merge into one level of sorted runs with disjoint ranges of digests: per digest one identifier
+  stays (``keep`` says the smallest or the largest) with the number of rows. A map-side partial aggregate takes hot
+  digests apart. More flushes may follow and be compacted with what is there.
+* **Look-up.** Digests are looked up in the compacted level: a bitmap filter of its digests that several rows have lets
+  most rows through without a look, and the rest join it, hot digests by broadcast.
 * **Byte verification.** A digest hit is only a candidate. A fixed-size bitmap filter of the digests that
   were hit lets a second scan drop nearly every text without copies; what is left is compared byte for byte
   (``min(text) = max(text)`` per digest, again with map-side partials, so a group of any size sends one
   text per task). Digests with different texts, should any exist, are regrouped by the text itself.
 
-``exact_dedup`` flushes one run, so it needs no compaction and no look-up behind the Bloom filters; these serve an
-index that several flushes fill.
-
 All steps are DataFrame operations; no Python runs on the executors.
 
 Defined cases: null text counts as the empty text, all such rows are one group; rows that repeat both
@@ -47,9 +48,16 @@ class DigestIndex:
         self._write(rows, f"{self.path}/L0-{len(self.runs)}")
 
     def _write(self, rows: DataFrame, path: str) -> None:
+        """Each partition of ``rows`` as one sorted run."""
         rows.sortWithinPartitions("digest", "doc_id").write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(path)
         self.runs.append(path)
 
+    def look_up(self, docs: DataFrame) -> DataFrame:
+        """doc_id and keep_id of those of ``docs`` whose digest the index has, behind a bitmap filter of it."""
+        there = self.merged()
+        new = digests(docs).select("doc_id", "digest")
+        return may_hit(new, there, F.xxhash64("digest"), there.count()).join(there, "digest").select("doc_id", "digest", "keep_id")
+
     def read(self) -> DataFrame:
         return self.spark.read.schema("digest binary, doc_id long, n long").parquet(*self.runs)
 
@@ -59,10 +67,10 @@ class DigestIndex:
         return self.read().groupBy("digest").agg(best.alias("keep_id"), F.sum("n").alias("group_size"))
 
     def compact(self) -> None:
-        """Replace all runs by one: per digest the kept identifier and the row count."""
+        """Replace all runs by one level of disjoint ranges: per digest the kept identifier and the row count."""
         rows = self.merged().select("digest", F.col("keep_id").alias("doc_id"), F.col("group_size").alias("n"))
         self.runs, old = [], self.runs
-        self._write(rows, f"{self.path}/L1-{len(old)}-{uuid.uuid4().hex[:8]}")
+        self._write(rows.repartitionByRange("digest"), f"{self.path}/L1-{len(old)}-{uuid.uuid4().hex[:8]}")
 
 
 def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
@@ -70,12 +78,15 @@ def exact_dedup(docs: DataFrame, keep: str = "largest") -> DataFrame:
     spark = docs.sparkSession
     index = DigestIndex(spark, keep=keep)
     index.flush(docs)
-    groups = stored(index.merged().where("group_size > 1"), "digest-groups")
-    total, n_hits = index.read().count(), groups.count()
+    entries = index.read()
+    index.compact()
+    level = index.read()  # a digest once
+    groups = level.where("n > 1").select("digest", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"))
+    total, n_hits = entries.count(), groups.count()
 
     seen = may_hit(digests(docs), groups, F.xxhash64("digest"), n_hits).groupBy("digest").agg((F.min("text") != F.max("text")).alias("differ"))
     collided = stored(seen.where("differ").select("digest"), "digest-collisions")
-    rows = index.read().select("doc_id", "digest")
+    rows = entries.select("doc_id", "digest")
     if not collided.isEmpty():  # one digest for several texts: those rows are grouped by text
         best = F.max("doc_id") if keep == "largest" else F.min("doc_id")
         odd = digests(docs).join(collided, "digest", "left_semi")
