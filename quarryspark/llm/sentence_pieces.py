@@ -5,7 +5,7 @@ found; characters without a piece become the pieces of their UTF-8 bytes. Decodi
 pieces, turns markers into blanks and drops the first, which gives the text back exactly: a marker character
 that stands in the text itself is encoded by its bytes.
 
-No piece holds a marker behind another character, or a line break, so the best segmentation of a text is that
+No piece holds a marker behind another character, or a line break (others are refused), so the best segmentation of a text is that
 of its stretches (blanks and the word behind them). Stretches recur; each worker keeps the ids of those it has
 seen, up to ``CACHE`` of them. New ones go through the trie in lock-step as arrays, grouped by length. The pass
 is narrow: no shuffle, whole texts, memory bounded by the batch and the cache.
@@ -35,7 +35,7 @@ from .common import table
 from .language_id import by_size
 
 MARKER = "▁"
-CACHE, BATCH_CHARS, LANES = 1_000_000, 2_000_000, 20_000
+CACHE, BATCH_CHARS, LANES = 200_000, 1_000_000, 20_000
 UNKNOWN_BELOW = 10.0  # an unknown character scores this much below the worst piece
 _STRETCH = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 
@@ -54,6 +54,8 @@ def load_pieces(path: str) -> tuple[dict[str, int], dict[str, float], list[int],
         elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
             out.append(b"")
         else:
+            if MARKER in piece.lstrip(MARKER) or "\n" in piece:
+                raise ValueError(f"piece {piece!r}: pieces with a marker behind another character or a line break aren't supported")
             ids[piece], rank[piece] = i, model.get_score(i)
             out.append(piece.replace(MARKER, " ").encode())
     if min(rank.values()) < -1000:  # merge ranks: 0, -1, -2, ...; characters that no merge makes come last
