@@ -45,7 +45,7 @@ class DigestIndex:
 
     def flush(self, docs: DataFrame) -> None:
         rows = digests(docs).select("digest", "doc_id", F.lit(1).cast("long").alias("n"))
-        self._write(rows, f"{self.path}/L0-{len(self.runs)}")
+        self._write(rows, f"{self.path}/L0-{uuid.uuid4().hex}")
 
     def _write(self, rows: DataFrame, path: str) -> None:
         """Each partition of ``rows`` as one sorted run."""
