@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html as entities
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -147,17 +149,47 @@ def http_get(url: str, timeout: float = 30.0) -> str:
         return r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
 
 
+_RAW = ("script", "style", "noscript", "template", "title")  # no markup inside
+_FURNITURE = {"head", "nav", "header", "footer", "aside", "form", "table"}
+_BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "article", "section", "main", "br", "blockquote", "pre", "dd", "dt", "body", "html"}
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)\b[^>]*>|<[^>]+>", re.DOTALL)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
+
+
+def text_of_page(page: str) -> str:
+    """One scan: text outside of scripts, styles, comments, tables and page furniture (nested ones too), a line a block."""
+    out: list[str] = []
+    inside, depth, at = "", 0, 0  # the outermost element that is left out
+    while m := _TAG.search(page, at):
+        if not inside:
+            out.append(page[at : m.start()])
+        at = m.end()
+        name = (m[2] or "").lower()
+        if name in _RAW_END and not m[1]:
+            end = _RAW_END[name].search(page, at)
+            at = end.end() if end else at
+        elif inside:
+            if name == inside:
+                depth += -1 if m[1] else 1
+                inside = inside if depth else ""
+        elif name in _FURNITURE and not m[1]:
+            inside, depth = name, 1
+        elif name in _BLOCKS:
+            out.append("\n")
+    if not inside:
+        out.append(page[at:])
+    text = re.sub(r"[ \t\x0b\f\r\xa0]+", " ", entities.unescape("".join(out)))
+    return re.sub(r" ?\n[ \n]*", "\n", text)
+
+
 def page_text(html: Column) -> Column:
     """Text of a page without scripts, styles, comments, tables and page furniture; blocks on lines of their own."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    for name in ("script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "table"):
-        c = F.regexp_replace(c, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
-    c = F.regexp_replace(c, r"(?i)</?(p|div|h[1-6]|li|ul|ol|article|section|main|br|blockquote|pre|dd|dt|body|html)\b[^>]*>", "\n")
-    c = F.regexp_replace(c, r"<[^>]+>", "")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    c = F.regexp_replace(c, r"[ \t\x0b\f\r ]+", " ")
-    return T.strip(F.regexp_replace(c, r" ?\n[ \n]*", "\n"))
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda p: text_of_page(p) if isinstance(p, str) else None)
+
+    return T.strip(run(html))
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
