@@ -83,6 +83,25 @@ def orphans(conversations: DataFrame, folders: DataFrame) -> DataFrame:
     return conversations.where(F.col("folder_id").isNotNull()).join(ids, "folder_id", "left_anti")
 
 
+def create_folders(folders: DataFrame, requests: DataFrame) -> DataFrame:
+    """All folders of ``requests`` (id, name, created_at) are added at once, so plans don't grow with each."""
+    return folders.unionByName(requests.select("id", T.strip(F.col("name")).alias("name"), "created_at"), allowMissingColumns=True)
+
+
+def start_all(conversations: DataFrame, requests: DataFrame) -> DataFrame:
+    """A new conversation for each request (id, query, user_id, created_at)."""
+    new = requests.select("id", T.conversation_title(F.col("query")).alias("title"), "user_id", F.lit(None).cast("string").alias("folder_id"), "created_at")
+    return conversations.unionByName(new, allowMissingColumns=True)
+
+
+def add_turns(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """Both messages of each of ``turns`` (conversation_id, query, answer, created_at, turn)."""
+    both = F.array(*[F.struct(F.lit(role).alias("role"), F.col(text).alias("content"), (F.col("turn") + k).cast("long").alias("turn")) for k, (role, text) in enumerate((("user", "query"), ("assistant", "answer")))])
+    new = turns.select("conversation_id", "created_at", F.inline(both))
+    new = new.withColumn("id", F.concat_ws("-", "conversation_id", F.col("turn").cast("string")))
+    return messages.unionByName(new, allowMissingColumns=True)
+
+
 def start(conversations: DataFrame, conversation_id: str, query: str, user_id: str, at) -> DataFrame:
     """A new conversation, its title the first 100 characters of the query."""
     return _with(conversations, CONVERSATIONS, (conversation_id, query[:100], user_id, None, at))

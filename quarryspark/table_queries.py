@@ -365,6 +365,30 @@ def added_turns(spark, sf_dir):
     return conversations.add_turn(m, "n", "How?", "So.", None, 0).select(F.col("conversation_id").alias("conv_id"), "turn", "role", F.col("content").alias("text"))
 
 
+@query("""SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+SELECT conv_id, 1000, 'user', left(text, 20) FROM conversations WHERE turn = 0 UNION ALL SELECT conv_id, 1001, 'assistant', role || ' asked' FROM conversations WHERE turn = 0)""")
+def added_turns_of_all(spark, sf_dir):
+    """A turn is added to every conversation at once."""
+    m = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    store = m.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").cast("string").alias("conversation_id"), "role", F.col("text").alias("content"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.col("turn").cast("long").alias("turn"))
+    turns = m.where("turn = 0").select(F.col("conv_id").cast("string").alias("conversation_id"), F.substring("text", 1, 20).alias("query"), F.concat("role", F.lit(" asked")).alias("answer"), F.lit("2024-01-02").cast("timestamp").alias("created_at"), F.lit(1000).alias("turn"))
+    return conversations.add_turns(store, turns).select(F.col("conversation_id").cast("long").alias("conv_id"), "turn", "role", F.col("content").alias("text"))
+
+
+@query("""SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region""")
+def added_folders(spark, sf_dir):
+    """A folder for each region, at once."""
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.concat(F.lit(" "), "r_name", F.lit(" ")).alias("name"), F.lit("2024-01-02").cast("timestamp").alias("created_at"))
+    return conversations.create_folders(_folders(spark, sf_dir), r).select("id", "name")
+
+
+@query("""SELECT c_custkey::VARCHAR AS id, c_name AS title, (c_custkey % 10)::VARCHAR AS user_id FROM customer UNION ALL SELECT 'new-' || conv_id, left(text, 100), role FROM conversations WHERE turn = 0""")
+def started_conversations(spark, sf_dir):
+    """New conversations with the beginning of their first question as title."""
+    q = table(spark, sf_dir, "conversations").where("turn = 0").select(F.concat(F.lit("new-"), "conv_id").alias("id"), F.col("text").alias("query"), F.col("role").alias("user_id"), F.lit("2024-01-02").cast("timestamp").alias("created_at"))
+    return conversations.start_all(_conversations(spark, sf_dir), q).select("id", "title", "user_id")
+
+
 @query("""SELECT conv_id, turn FROM conversations WHERE turn % 3 = 1""")
 def role_violations(spark, sf_dir):
     """Messages whose role breaks the table's rule."""
