@@ -9,8 +9,9 @@ steps, each exact, so that only the places where that is hard reach the suffix s
    with its hash; hashes that one run has are out (most of the text).
 3. Runs that are equal as a whole to an earlier run are removed: the inside of a long repeat costs one row per
    run, however often it occurs.
-4. Different runs with one hash, the edges of repeats, go to the suffix sort. Suffixes are sampled at one place
-   in BLOCK, counted from the place of the least hash: since equal windows have it at equal places, that cover
+4. Different runs with one hash, the edges of repeats, go to the suffix sort, with their bytes (the texts that
+   have such runs are joined with the places of these, so only the bytes of edges go on). Suffixes are sampled at one
+   place in BLOCK, counted from the place of the least hash: since equal windows have it at equal places, that cover
    meets any two equal suffixes at the same distance, where a cover blind to the text takes two places in three.
    The triples of SYMBOL bytes at the sampled places are sorted and named by rank. A triple spells all of the
    LENGTH bytes but BLOCK - 1, so there is nothing to recurse for; the remaining suffixes merge with the sampled
@@ -18,12 +19,14 @@ steps, each exact, so that only the places where that is hard reach the suffix s
    that order, all but the first are covered.
 5. Covered stretches are united per document and cut out of its bytes.
 
-Only thin rows are shuffled; texts are scanned again where bytes are needed, behind a bitmap filter. A passage
-that many documents share meets in map-side partial minima, never in one task.
+A passage that many documents share meets in map-side partial minima, and its rows take what was found about it by a
+broadcast of the few heavy keys, never in one task. Texts are hashed in parts of PART bytes, so memory doesn't grow
+with the longest text. Whole documents, whole runs and whole blocks are compared by hashes of 256, 127 and 128 bits;
+windows in the suffix order by their bytes.
 
 Defined cases: null text has no bytes; texts under LENGTH bytes lose nothing; the first of equal rows (smallest
-doc_id) stays, of rows equal in doc_id and text all stay; a null doc_id comes first; ``doc_id`` names one text
-(different texts under one id are cut alike); an empty table gives no rows; other columns are ignored.
+doc_id) stays, of rows equal in doc_id and text all stay; a null doc_id comes first (it counts as the least
+long); ``doc_id`` names one text (different texts under one id are cut alike); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +38,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import BITMAP_BITS, MAX_BITMAPS, drop_stored, left_join_groups, may_hit, stored, table, without
+from .common import drop_stored, left_join_groups, may_hit, stored, table, without
 from .sharding import numbered
 
 LENGTH, GRAM, BLOCK, SYMBOL = 100, 48, 8, 31
 CORE = LENGTH - BLOCK + 1  # bytes that all windows of a block share: a triple of symbols
 WINDOW = LENGTH - GRAM + 1  # grams in a window
 MOST = 64  # windows in a run at most
-BATCH_BYTES = 2_000_000
+PART = 256_000  # bytes hashed at once
 NO_ID = -(1 << 63)
 
 _A, _B, _C, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93))
@@ -117,15 +121,21 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return whose[first], at[first], count, (v[first] >> np.uint64(1)).view(np.int64), digest.view(np.int64), np.cumsum(within)[:-1] > 0
 
 
-def _batches(values: list[bytes]) -> Iterator[slice]:
-    a = total = 0
-    for i, b in enumerate(values):
-        if total and total + len(b) > BATCH_BYTES:
-            yield slice(a, i)
-            a, total = i, 0
-        total += len(b)
-    if a < len(values):
-        yield slice(a, len(values))
+def _parts(values: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Whose, from where and what: windows of all texts, some PART bytes at a time."""
+    whose, at, what, total = [], [], [], 0
+    for i, raw in enumerate(values):
+        for a in range(0, max(len(raw) - LENGTH + 1, 0), PART):
+            part = raw[a : a + PART + LENGTH - 1] if len(raw) > PART else raw
+            if total and total + len(part) > PART:
+                yield whose, at, what
+                whose, at, what, total = [], [], [], 0
+            whose.append(i)
+            at.append(a)
+            what.append(part)
+            total += len(part)
+    if what:
+        yield whose, at, what
 
 
 def all_runs(firsts: DataFrame) -> DataFrame:
@@ -133,88 +143,74 @@ def all_runs(firsts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            raw, ids = b["raw"].tolist(), b["doc_id"].to_numpy()
-            for s in _batches(raw):
-                whose, at, count, v, digest, within = runs(raw[s])
-                yield pd.DataFrame({"doc_id": ids[s][whose], "start": at.astype(np.int32), "windows": count.astype(np.int16), "v": v, "digest": digest, "within": within.astype(bool)})
+            ids = b["doc_id"].to_numpy()
+            for of, begin, what in _parts(b["raw"].tolist()):
+                whose, at, count, v, digest, within = runs(what)
+                at = at + np.array(begin, np.int64)[whose]
+                yield pd.DataFrame({"doc_id": ids[np.array(of)[whose]], "start": at.astype(np.int32), "windows": count.astype(np.int16), "v": v, "digest": digest, "within": within.astype(bool)})
 
     return firsts.mapInPandas(run, "doc_id long, start int, windows short, v long, digest long, within boolean")
 
 
-def _bitmap(values: DataFrame, n: int) -> np.ndarray:
-    """A filter of the column ``v``, of bounded size, as bits."""
-    maps = min(MAX_BITMAPS, max(1, -(-n * 32 // BITMAP_BITS)))
-    place = F.pmod(F.col("v"), F.lit(maps * BITMAP_BITS))
-    rows = values.select(place.alias("p")).groupBy(F.floor(F.col("p") / BITMAP_BITS).alias("b")).agg(F.bitmap_construct_agg((F.col("p") % BITMAP_BITS).cast("long")).alias("bits")).collect()
-    out = np.zeros((maps, BITMAP_BITS // 8), np.uint8)
-    for r in rows:
-        out[r["b"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def blocks(texts: list[bytes], whose: np.ndarray, at: np.ndarray, count: np.ndarray, v: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(run, first window, windows, core) of the blocks that runs fall into.
+def blocks(raws: list[bytes], v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Run, first window, windows and core of the blocks that runs (their bytes, their least hashes) fall into.
 
     A window's anchor is the first place of its least hash, a property of its bytes; windows whose anchors lie
     BLOCK * b up to BLOCK * b + BLOCK - 1 bytes behind their start make a block. All windows of a block contain
     the CORE bytes from ``core`` on, and equal windows have equal places in their blocks.
     """
-    for r, (w, a, c, least) in enumerate(zip(whose.tolist(), at.tolist(), count.tolist(), v.tolist(), strict=True)):
-        n = c + LENGTH - 1
-        raw = texts[w][a : a + n]
-        h = _grams(raw + bytes(GRAM), n)[: n - GRAM + 1]
-        places = np.flatnonzero((h >> np.uint64(1)).view(np.int64) == least)
-        starts = np.arange(c)
-        anchor = places[np.searchsorted(places, starts)]
-        core = anchor - (anchor - starts) // BLOCK * BLOCK
-        first = np.flatnonzero(np.diff(core, prepend=-1))
-        for f, m in zip(first.tolist(), np.diff(first, append=c).tolist(), strict=True):
-            yield r, a + f, m, a + int(core[f])
+    size = np.fromiter(map(len, raws), np.int64, len(raws))
+    n = int(size.sum())
+    h = (_grams(b"".join(raws) + bytes(GRAM), n) >> np.uint64(1)).view(np.int64)
+    begin = np.cumsum(size) - size
+    place = np.where(h == np.repeat(v, size), np.arange(n), n)
+    place = np.minimum.accumulate(place[::-1])[::-1]  # the next anchor from each byte on
+    many = size - LENGTH + 1
+    run = np.repeat(np.arange(len(raws)), many)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many)
+    anchor = place[begin[run] + at] - begin[run]
+    core = anchor - (anchor - at) // BLOCK * BLOCK
+    new = np.ones(len(run), bool)
+    new[1:] = (core[1:] != core[:-1]) | (run[1:] != run[:-1])
+    first = np.flatnonzero(new)
+    return run[first], at[first], np.diff(first, append=len(run)), core[first]
 
 
 def edge_blocks(firsts: DataFrame, hard: DataFrame) -> DataFrame:
-    """doc_id, start, windows, at (of the core in raw), raw: the blocks of the first of each kind of run whose hash
-    several kinds share.
-
-    ``hard`` has v, digest, doc_id, start. The bytes come from a second scan behind a bitmap of the hashes.
-    """
-    sent = firsts.sparkSession.sparkContext.broadcast(_bitmap(hard, hard.count()))
+    """doc_id, start, windows, at (of the core in raw), raw: the blocks of ``hard`` (doc_id, start, windows, v), runs of ``firsts``."""
+    lists = stored(hard.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "v")).alias("runs")), "suffix-hard")
+    near = may_hit(firsts, lists, F.xxhash64("doc_id"), lists.count())
+    each = near.join(lists, "doc_id").select("doc_id", "raw", F.explode("runs").alias("r"))
+    each = each.select("doc_id", F.col("r.start").alias("start"), F.col("r.v").alias("v"), F.expr(f"substring(raw, r.start + 1, r.windows + {LENGTH - 1})").alias("raw"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = sent.value
-        mod = np.uint64(len(bits) * 8)
         for b in batches:
-            raw, ids = b["raw"].tolist(), b["doc_id"].to_numpy()
-            for s in _batches(raw):
-                whose, at, count, v, digest, _ = runs(raw[s])
-                p = v.view(np.uint64) % mod
-                i = np.flatnonzero((bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1)
-                part = raw[s]
-                whose, at, count, v, digest = whose[i], at[i], count[i], v[i], digest[i]
-                rows = [(r, f, m, core - f, part[whose[r]][f : f + m + LENGTH - 1]) for r, f, m, core in blocks(part, whose, at, count, v)]
-                r = np.array([x[0] for x in rows], np.int64)
-                out = pd.DataFrame([x[1:] for x in rows], columns=["first", "m", "at", "raw"])
-                yield out.assign(doc_id=ids[s][whose[r]], start=at[r], v=v[r], digest=digest[r])[["doc_id", "start", "v", "digest", "first", "m", "at", "raw"]]
-
-    found = firsts.mapInPandas(run, "doc_id long, start int, v long, digest long, first int, m int, at int, raw binary")
-    found = found.join(hard, ["v", "digest", "doc_id", "start"], "left_semi")
-    return found.select("doc_id", F.col("first").alias("start"), F.col("m").alias("windows"), "at", "raw")
+            for a in range(0, len(b), PART // (2 * LENGTH)):
+                part = b.iloc[a : a + PART // (2 * LENGTH)]
+                raws, start = part["raw"].tolist(), part["start"].to_numpy()
+                r, first, m, core = blocks(raws, part["v"].to_numpy())
+                raw = [raws[i][f:t] for i, f, t in zip(r.tolist(), first.tolist(), (first + m + LENGTH - 1).tolist(), strict=True)]
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[r], "start": (start[r] + first).astype(np.int32), "windows": m.astype(np.int32), "at": (core - first).astype(np.int32), "raw": raw})
+
+    return each.mapInPandas(run, "doc_id long, start int, windows int, at int, raw binary")
 
 
 def covered_windows(edges: DataFrame, order: Column) -> DataFrame:
     """doc_id, a, b: windows of ``edges`` (as of ``edge_blocks``) that equal an earlier one, by the suffix sort."""
-    rows = edges.withColumns({"core": F.expr(f"substring(raw, at + 1, {CORE})"), "order": order}).withColumns({"c": F.xxhash64("core"), "x": F.xxhash64("raw", "at")})
-    kinds = rows.groupBy("c").agg(F.count("*").alias("m"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("order").alias("first")).where("m > 1")
-    kinds = stored(kinds, "suffix-cores")
-    n = kinds.count()
-    near = stored(may_hit(rows, kinds, F.col("c"), n).join(kinds.select("c", "lo", "hi", "first"), "c"), "suffix-blocks")
-    same = near.where("lo = hi and order > first").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("b"))
+    rows = edges.withColumns({"core": F.expr(f"substring(raw, at + 1, {CORE})"), "order": order})
+    rows = stored(rows.withColumns({"c": F.xxhash64("core"), "x": F.xxhash64("raw", "at"), "y": F.xxhash64(F.lit(1), "at", "raw")}), "suffix-edges")
+    alike = (F.min("x") == F.max("x")) & (F.min("y") == F.max("y"))
+    kinds = stored(rows.groupBy("c").agg(F.count("*").alias("m"), alike.alias("alike"), F.min("order").alias("first")).where("m > 1"), "suffix-cores")
+    near = may_hit(rows, kinds, F.col("c"), kinds.count())
+    near = left_join_groups(near.select("doc_id", "start", "windows", "at", "raw", "core", "order", "c"), kinds, "c", "m", rows.count()).where("m > 1")
+    near = stored(near, "suffix-blocks")
+    same = near.where("alike and order > first").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("b"))
 
     # the cover: the triples of symbols at the sampled positions, sorted and named by their rank
-    several = near.where("lo <> hi")
+    several = near.where("not alike").select("doc_id", "start", "windows", "at", "raw", "core", "order")
     triple = [F.expr(f"substring(core, {1 + k * SYMBOL}, {SYMBOL})").alias(f"s{k}") for k in range(3)]
-    names, _ = numbered(several.select(*triple).groupBy("s0", "s1", "s2").agg(F.count("*").alias("uses")), ["s0", "s1", "s2"])
-    several = several.select("doc_id", "start", "windows", "at", "raw", "order", *triple).join(names.select("s0", "s1", "s2", F.col("row_number").alias("name")), ["s0", "s1", "s2"])
+    names, _ = numbered(several.groupBy("core").agg(F.count("*").alias("uses")).select("core", "uses", *triple), ["s0", "s1", "s2"])
+    several = left_join_groups(several, names.select("core", "uses", F.col("row_number").alias("name")), "core", "uses", near.count())
     # the other suffixes merge with them: by the name of the core, the distance to it, and the bytes around it
     each = several.select("doc_id", "name", F.explode(F.expr("sequence(0, windows - 1)")).alias("i"), "start", "at", "raw", "order")
     around = F.concat(F.expr("substring(raw, i + 1, at - i)"), F.expr(f"substring(raw, at + {CORE} + 1, i + {LENGTH} - at - {CORE})"))
@@ -225,23 +221,21 @@ def covered_windows(edges: DataFrame, order: Column) -> DataFrame:
     return same.unionByName(marked.where("order > first").select("doc_id", "a", (F.col("a") + LENGTH).cast("int").alias("b")))
 
 
-def _order(docs: DataFrame) -> Column:
+def _order(thin: DataFrame) -> Column:
     """A number for (doc_id, start): a long where both fit in, else a decimal."""
-    r = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max(F.length("raw")).alias("n")).first()
+    r = thin.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.max("n_bytes").alias("n")).first()
     if r["a"] is None or (r["b"] - r["a"] < 1 << 33 and r["n"] < 1 << 29):
         return (F.col("doc_id") - F.lit(r["a"] or 0)) * (1 << 29) + F.col("start")
     return F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")
 
 
 def _united(stretches: DataFrame) -> DataFrame:
-    """doc_id, cut: maximal stretches [from, to) of ``stretches`` (doc_id, a, b), in order."""
-    per = stretches.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("s"))
-    empty = "cast(array() as array<struct<a: int, b: int>>)"
-    fold = f"""aggregate(s, named_struct('done', {empty}, 'a', -1, 'b', -1), (x, e) ->
-        if(e.a <= x.b and x.b >= 0, named_struct('done', x.done, 'a', x.a, 'b', greatest(x.b, e.b)),
-           named_struct('done', if(x.b >= 0, concat(x.done, array(named_struct('a', x.a, 'b', x.b))), x.done), 'a', e.a, 'b', e.b)),
-        x -> concat(x.done, array(named_struct('a', x.a, 'b', x.b))))"""
-    return per.select("doc_id", F.expr(fold).alias("cut"))
+    """doc_id, cut: maximal stretches [a, b) of ``stretches`` (doc_id, a, b), in order."""
+    w = W.partitionBy("doc_id").orderBy("a", "b")
+    reach = F.max("b").over(w.rowsBetween(W.unboundedPreceding, -1))
+    new = stretches.withColumn("new", F.coalesce(F.col("a") > reach, F.lit(True)).cast("int"))
+    whole = new.withColumn("nth", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0))).groupBy("doc_id", "nth").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cut"))
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -260,21 +254,22 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     every = stored(all_runs(firsts), "suffix-runs")
     shared = every.groupBy("v").agg(F.count("*").alias("m"), F.max("within").alias("within")).where("m > 1 or within").select("v")
     shared = stored(shared, "suffix-shared")
-    near = stored(may_hit(every, shared, F.col("v"), shared.count()).join(shared, "v"), "suffix-near")
-    drop_stored(every)
-    order = _order(rows)
-    kinds = near.withColumn("order", order).groupBy("v", "digest").agg(F.min("order").alias("first"), F.count("*").alias("uses"), F.max("within").alias("within"))
+    order = _order(thin)
+    # a few runs that only seem to share their hash may come along: they are alone of their kind
+    near = stored(may_hit(every, shared, F.col("v"), shared.count()).withColumn("order", order), "suffix-near")
+    for frame in (every, shared):
+        drop_stored(frame)
+    kinds = near.groupBy("v", "digest").agg(F.min(F.struct("order", "doc_id", "start", "windows")).alias("first"), F.count("*").alias("uses"), F.max("within").alias("within"))
     kinds = stored(kinds, "suffix-kinds")
-    n_near = near.count()
-    keyed = near.withColumn("order", order).withColumn("key", F.encode(F.concat_ws(":", "v", "digest"), "UTF-8"))
-    groups = kinds.where("uses > 1").select(F.encode(F.concat_ws(":", "v", "digest"), "UTF-8").alias("key"), "first", "uses")
-    whole = left_join_groups(keyed, groups, "key", "uses", n_near).where("order > first")
+    key = F.concat(F.unhex(F.lpad(F.hex("v"), 16, "0")), F.unhex(F.lpad(F.hex("digest"), 16, "0"))).alias("key")
+    groups = kinds.where("uses > 1").select(key, F.col("first.order").alias("first"), "uses")
+    whole = left_join_groups(near.select("doc_id", "start", "windows", "order", key), groups, "key", "uses", near.count()).where("order > first")
     whole = whole.select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (LENGTH - 1)).cast("int").alias("b"))
 
-    several = kinds.groupBy("v").agg(F.count("*").alias("m"), F.max("within").alias("within")).where("m > 1 or within").select("v")
-    hard = near.join(several, "v", "left_semi").withColumn("order", order).join(kinds.drop("within"), ["v", "digest"]).where("order = first").select("v", "digest", "doc_id", "start")
-    edges = stored(edge_blocks(firsts, stored(hard, "suffix-hard")), "suffix-edges")
-    cut = stored(_united(whole.unionByName(covered_windows(edges, order))), "suffix-cut")
+    several = kinds.groupBy("v").agg(F.count("*").alias("m"), F.max("within").alias("any")).where("m > 1 or any")
+    hard = left_join_groups(kinds.select("v", "first"), several, "v", "m", kinds.count()).where("m is not null").select("first.doc_id", "first.start", "first.windows", "v")
+    covered = covered_windows(edge_blocks(firsts, hard), order)
+    cut = stored(_united(whole.unionByName(covered)), "suffix-cut")
     return thin.join(cut, "doc_id", "left").select("doc_id", "n_bytes", "digest", "later", "cut")
 
 
@@ -288,9 +283,9 @@ def cut_out(docs: DataFrame) -> DataFrame:
     some = marks.where("not later and cut is not null").select("doc_id", "cut")
     raw = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
     near = may_hit(raw, some, F.xxhash64("doc_id"), some.count()).join(some, "doc_id")
-    # what stays lies between the stretches
-    between = "transform(sequence(0, size(cut)), j -> substring(raw, if(j = 0, 0, cut[j - 1].b) + 1, if(j = size(cut), length(raw), cut[j].a) - if(j = 0, 0, cut[j - 1].b)))"
-    kept = F.expr(f"aggregate({between}, cast('' as binary), (x, y) -> concat(x, y))")
+    # what stays lies between the stretches; joined as hexadecimal digits, once
+    between = "transform(sequence(0, size(cut)), j -> hex(substring(raw, if(j = 0, 0, cut[j - 1].b) + 1, if(j = size(cut), length(raw), cut[j].a) - if(j = 0, 0, cut[j - 1].b))))"
+    kept = F.unhex(F.expr(f"array_join({between}, '')"))
     cut = near.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.expr("aggregate(cut, 0L, (n, s) -> n + s.b - s.a)").alias("n_removed"), F.size("cut").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
     out = plain.unionByName(cut)
     return out.withColumn("doc_id", F.when(F.col("doc_id") == NO_ID, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
