@@ -21,16 +21,29 @@ Embedder = Callable[[list[str]], "np.ndarray | None"]
 ChatModel = Callable[[list[str], int], "list[str | None]"]
 
 
+#: Words whose place a worker keeps.
+CACHE = 200_000
+
+
 def hashing_embedder(dimensions: int = 384) -> Callable[[], Embedder]:
     """A loader of an embedder that hashes words to signed dimensions, unit length; blank texts give zeros."""
 
     def load() -> Embedder:
+        known: dict[str, int] = {}  # twice the dimension, and 1 for a plus
+
+        def place(word: str) -> int:
+            h = zlib.crc32(word.encode())
+            known[word] = h % dimensions * 2 + (h >> 31)
+            return known[word]
+
         def embed(texts: list[str]) -> np.ndarray:
-            out = np.zeros((len(texts), dimensions), np.float32)
-            for i, t in enumerate(texts):
-                for w in re.findall(r"\w+", t.lower()):
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dimensions] += 1.0 if h >> 31 else -1.0
+            if len(known) > CACHE:
+                known.clear()
+            words = [re.findall(r"\w+", t.lower()) for t in texts]
+            size = np.fromiter(map(len, words), np.int64, len(words))
+            at = np.fromiter((known[w] if w in known else place(w) for ws in words for w in ws), np.int64, int(size.sum()))
+            cell = np.repeat(np.arange(len(texts)), size) * dimensions + (at >> 1)
+            out = np.bincount(cell, (at & 1) * 2.0 - 1.0, len(texts) * dimensions).reshape(-1, dimensions).astype(np.float32)
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
         return embed
