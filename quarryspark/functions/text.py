@@ -24,6 +24,16 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"[{WHITE}]+"), "")
 
 
+def singular(word: Column) -> Column:
+    """A word without a plural's ending: -ies becomes -y (not -eies, -aies), -es -e (not -aes, -ees, -oes), -s goes (not -us, -ss)."""
+    return (
+        F.when(word.rlike("[^ea]ies$"), F.regexp_replace(word, "ies$", "y"))
+        .when(word.rlike("[^aeoi]es$"), F.regexp_replace(word, "es$", "e"))
+        .when(word.rlike("[^usi]s$") & ~word.rlike("es$"), F.regexp_replace(word, "s$", ""))
+        .otherwise(word)
+    )
+
+
 def page_title(html: Column, url: Column) -> Column:
     """The stripped title element; the URL where there is none. A blank title stays blank."""
     pattern = r"(?is)<title>(.*?)</title>"

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -18,10 +18,15 @@ K1, B, RRF_K = 1.5, 0.75, 60
 BLOCK, CELLS = 512, 4_000_000
 
 
-def _query_blocks(queries: DataFrame, query_id: str) -> Iterator[tuple[list, list[list[str]]]]:
+def _terms(c: Column, stem: bool) -> Column:
+    """Lower-cased words, with ``stem`` without a plural's ending."""
+    return F.transform(T.words(F.lower(c)), T.singular) if stem else T.words(F.lower(c))
+
+
+def _query_blocks(queries: DataFrame, query_id: str, stem: bool) -> Iterator[tuple[list, list[list[str]]]]:
     """Keys and distinct words of at most BLOCK queries at a time."""
     keys, words = [], []
-    for r in queries.select(query_id, F.array_distinct(T.words(F.lower("query"))).alias("w")).where(F.size("w") > 0).toLocalIterator():
+    for r in queries.select(query_id, F.array_distinct(_terms(F.col("query"), stem)).alias("w")).where(F.size("w") > 0).toLocalIterator():
         keys.append(r[0])
         words.append(r[1])
         if len(keys) == BLOCK:
@@ -36,19 +41,19 @@ def _best(found: pd.DataFrame, k: int, query: str, doc: str) -> pd.DataFrame:
     return found.groupby(query, sort=False).head(k).drop(columns="_r")
 
 
-def _top_by_words(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float, query_id: str, doc_id: str, counted: bool) -> DataFrame:
+def _top_by_words(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float, query_id: str, doc_id: str, counted: bool, stem: bool = False) -> DataFrame:
     """query_id, doc_id, score: for each task and query the ``k`` best documents, by BM25, or by the number of shared words.
 
     Queries go out in blocks. A task scores its documents against all queries of a block as one matrix product
     (documents by words, words by queries) and keeps ``k`` a query, so no word and no pair is shuffled.
     """
     spark = docs.sparkSession
-    d = docs.select(doc_id, T.words(F.lower("text")).alias("w"))
+    d = docs.select(doc_id, _terms(F.col("text"), stem).alias("w"))
     n, mean = d.agg(F.count("*"), F.avg(F.size("w"))).first()
     types = {query_id: queries.schema[query_id].dataType.simpleString(), doc_id: docs.schema[doc_id].dataType.simpleString()}
     schema = f"{query_id} {types[query_id]}, {doc_id} {types[doc_id]}, score double"
     parts = []
-    for keys, words in _query_blocks(queries, query_id):
+    for keys, words in _query_blocks(queries, query_id, stem):
         number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
         idf = np.ones(len(number))
         if counted:  # rows of the block's words only, added up in the tasks first
@@ -96,12 +101,13 @@ def _ranked(scored: DataFrame, k: int | None, query_id: str, doc_id: str) -> Dat
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 5, k1: float = K1, b: float = B, query_id: str = "query_id", doc_id: str = "chunk_id") -> DataFrame:
-    """query_id, doc_id, score, rank by BM25 over lower-cased words; ``k`` None keeps all matches, as joins by word."""
+def bm25(queries: DataFrame, docs: DataFrame, k: int | None = 5, k1: float = K1, b: float = B, query_id: str = "query_id", doc_id: str = "chunk_id", stem: bool = False) -> DataFrame:
+    """query_id, doc_id, score, rank by BM25 over lower-cased (and with ``stem`` singular) words; ``k`` None keeps all
+    matches, as joins by word."""
     if k is not None:
-        return _ranked(_top_by_words(queries, docs, k, k1, b, query_id, doc_id, True), k, query_id, doc_id)
-    terms = queries.select(query_id, F.explode(F.array_distinct(T.words(F.lower("query")))).alias("term"))
-    d = docs.select(doc_id, T.words(F.lower("text")).alias("w")).withColumn("len", F.size("w"))
+        return _ranked(_top_by_words(queries, docs, k, k1, b, query_id, doc_id, True, stem), k, query_id, doc_id)
+    terms = queries.select(query_id, F.explode(F.array_distinct(_terms(F.col("query"), stem))).alias("term"))
+    d = docs.select(doc_id, _terms(F.col("text"), stem).alias("w")).withColumn("len", F.size("w"))
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     wanted = terms.select("term").distinct()
     tf = d.select(doc_id, "len", F.explode("w").alias("term")).join(wanted, "term", "left_semi").groupBy(doc_id, "len", "term").agg(F.count("*").alias("tf"))

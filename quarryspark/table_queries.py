@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from .functions import replies as R
 from .functions import text as T
 from .functions import tokens as K
-from .operators import accounts, catalog, chunking, conversations, evaluation, ingest, ranking, retrieve
+from .operators import accounts, catalog, chunking, conversations, evaluation, ingest, ranking, retrieve, rewriting
 from .queries import _VECTORS, query, spread, table
 from .schemas import conform, violations
 from .sources import files, sse
@@ -273,6 +273,42 @@ def first_matching_ranks(spark, sf_dir):
     return evaluation.first_matching_rank(found, truths)
 
 
+@query(f"""WITH w AS (SELECT conv_id, turn, unnest(list_transform({_WORDS}, lambda x: lower(x) || ['ies', 'es', 's', 'us', ''][turn % 5 + 1])) AS w, generate_subscripts({_WORDS}, 1) - 1 AS pos FROM conversations)
+SELECT conv_id, turn, pos::INT AS pos, CASE WHEN regexp_matches(w, '[^ea]ies$') THEN w[:-4] || 'y' WHEN regexp_matches(w, '[^aeoi]es$') THEN w[:-2] WHEN regexp_matches(w, '[^usi]s$') AND w NOT LIKE '%es' THEN w[:-2] ELSE w END AS word FROM w""")
+def singular_words(spark, sf_dir):
+    """Words without plural endings, as BM25 with stemming counts them."""
+    c = table(spark, sf_dir, "conversations")
+    ending = F.element_at(F.array(*map(F.lit, ("ies", "es", "s", "us", ""))), (F.col("turn") % 5 + 1).cast("int"))
+    return c.select("conv_id", "turn", F.posexplode(F.transform(T.words(F.lower("text")), lambda w: T.singular(F.concat(w, ending)))).alias("pos", "word"))
+
+
+@query("""SELECT item_id, text AS query, text || chr(10) || 'Question: ' || array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:3], ' ') AS search_text FROM benchmark""")
+def hypotheses(spark, sf_dir):
+    """Queries with a hypothetical answer to search for; the stand-in says the question's first words."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    return rewriting.with_hypothesis(b, rewriting.first_words)
+
+
+@query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, role || ': ' || text AS line FROM conversations),
+s AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) FILTER (n > 4 AND back > 2) AS older, string_agg(line, chr(10) ORDER BY turn) FILTER (NOT (n > 4 AND back > 2)) AS history FROM n GROUP BY 1)
+SELECT conv_id AS conversation_id, coalesce(array_to_string(list_filter(regexp_split_to_array(older, '\s+'), lambda x: x <> '')[1:6], ' '), '') AS summary, history FROM s""")
+def summarised_histories(spark, sf_dir):
+    """Conversations of over four messages: the two newest stay, the others are summed up; the stand-in says their first words."""
+    m = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", "role", F.col("text").alias("content"))
+    return rewriting.summarised(m, 4, 2, rewriting.first_words)
+
+
+@query("""WITH u AS (SELECT user_id AS source_id, max(ts) AS last_used FROM events WHERE event_type <> 'click' GROUP BY 1),
+c AS (SELECT user_id AS source_id, max(ts) AS changed FROM events WHERE event_type = 'click' GROUP BY 1),
+f AS (SELECT u.* FROM u LEFT JOIN c USING (source_id) WHERE changed IS NULL OR changed <= last_used)
+SELECT source_id, last_used, row_number() OVER (ORDER BY last_used DESC, source_id)::INT AS position FROM f ORDER BY last_used DESC, source_id LIMIT 50""")
+def kept_documents(spark, sf_dir):
+    """The fifty documents used last that did not change since; users stand for documents, clicks for changes."""
+    e = table(spark, sf_dir, "events")
+    uses = e.where("event_type <> 'click'").select(F.col("user_id").alias("source_id"), F.col("ts").alias("used_at"))
+    return rewriting.kept_documents(uses, e.where("event_type = 'click'").select(F.col("user_id").alias("source_id"), F.col("ts").alias("changed_at")))
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------------
 
 
