@@ -3,6 +3,8 @@
 Rows get their number in the order of (doc_id, size, text_crc32): a range exchange of those thin columns,
 a sort within partitions and one offset per partition; no row passes through a single task. Rows equal in
 all three are interchangeable, so the result depends on the data only, not on the partitioning.
+What passes the driver is a sample for the bounds of the ranges, which Spark keeps under a million keys, and a count per
+partition.
 
 The row number r of N rows goes through a keyed Feistel network over Z_a x Z_b with a = ceil(sqrt N) and
 b = ceil(N / a), so the domain exceeds N by less than a. A value of N or more is put through the network
