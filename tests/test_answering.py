@@ -223,3 +223,24 @@ def test_formats(spark):
     assert value(spark, T.escape_html(F.lit("<a & b>"))) == "&lt;a &amp; b&gt;"
     assert value(spark, T.words(F.lit(" a  b\n"))) == ["a", "b"] and value(spark, T.is_blank(F.lit(" \n"))) and value(spark, T.is_blank(F.lit(None).cast("string")))
     assert value(spark, T.collection_type(F.lit("pdf_chunks"))) == "pdf" and len(value(spark, T.content_id(F.lit("x")))) == 36
+
+
+def test_words_without_plural_endings(spark):
+    from quarryspark.functions import text as T
+
+    words = ["queries", "eies", "houses", "shoes", "cats", "bus", "boss", "axis", "cat", ""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(T.singular(F.col("w"))).collect()
+    assert [r[0] for r in got] == ["query", "eies", "house", "shoes", "cat", "bus", "boss", "axis", "cat", ""]
+
+
+def test_bm25_with_stemming_finds_plurals(spark):
+    q = spark.createDataFrame([(1, "report")], "query_id int, query string")
+    d = spark.createDataFrame([("a", "two reports"), ("b", "nothing")], "chunk_id string, text string")
+    assert [r.chunk_id for r in ranking.bm25(q, d, stem=True).collect()] == ["a"] and ranking.bm25(q, d).count() == 0
+
+
+def test_top_k_equals_all_matches(spark):
+    q = spark.createDataFrame([(1, "a b c"), (2, "c c d"), (3, "zz"), (4, "")], "query_id int, query string")
+    d = spark.createDataFrame([(f"d{i}", " ".join("abcdefg"[(i * k) % 7] for k in range(i % 9))) for i in range(60)], "chunk_id string, text string").repartition(3)
+    form = lambda df: sorted((r.query_id, r.chunk_id, round(r.score, 9), r["rank"]) for r in df.collect())
+    assert form(ranking.bm25(q, d, 7)) == form(ranking.bm25(q, d, None).where("rank <= 7"))
