@@ -282,7 +282,7 @@ def singular_words(spark, sf_dir):
     return c.select("conv_id", "turn", F.posexplode(F.transform(T.words(F.lower("text")), lambda w: T.singular(F.concat(w, ending)))).alias("pos", "word"))
 
 
-@query("""SELECT item_id, text AS query, text || chr(10) || 'Question: ' || array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:3], ' ') AS search_text FROM benchmark""")
+@query("""SELECT item_id, text AS query, text || chr(10) || 'Question: ' || array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[1:3], ' ') AS search_text FROM benchmark""")
 def hypotheses(spark, sf_dir):
     """Queries with a hypothetical answer to search for; the stand-in says the question's first words."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
@@ -291,7 +291,7 @@ def hypotheses(spark, sf_dir):
 
 @query("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, role || ': ' || text AS line FROM conversations),
 s AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY turn) FILTER (n > 4 AND back > 2) AS older, string_agg(line, chr(10) ORDER BY turn) FILTER (NOT (n > 4 AND back > 2)) AS history FROM n GROUP BY 1)
-SELECT conv_id AS conversation_id, coalesce(array_to_string(list_filter(regexp_split_to_array(older, '\s+'), lambda x: x <> '')[1:6], ' '), '') AS summary, history FROM s""")
+SELECT conv_id AS conversation_id, coalesce(array_to_string(list_filter(regexp_split_to_array(older, '\\s+'), lambda x: x <> '')[1:6], ' '), '') AS summary, history FROM s""")
 def summarised_histories(spark, sf_dir):
     """Conversations of over four messages: the two newest stay, the others are summed up; the stand-in says their first words."""
     m = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("conversation_id"), "turn", "role", F.col("text").alias("content"))
