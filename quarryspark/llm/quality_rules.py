@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import SPACE, stored, table
+from .common import SPACE, drop_stored, stored, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT, NGRAM = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
-#: Statistics of the method, the share of rows an estimate is made from, and most concentration steps per start: steps
-#: end when no group's estimate changes, which mostly takes less than ten.
+#: Statistics of the method, the share of rows an estimate is made from, and most concentration steps: a group's end when
+#: its log determinant falls by less than SETTLED.
 P, H_SHARE, STEPS, MIN_GROUP = 5, 0.75, 20, 30
+SETTLED = 0.01
 UNIT = 1000  # fixed-point units of a transformed statistic
 #: Least standard deviations given the statistics in front, in those units: for statistics that hardly vary in a group.
 #: Each is small enough that its statistic alone can exceed the limit: from a centre without any, 7 % of symbols, 23 % of
@@ -95,7 +96,7 @@ def _moments() -> list[Column]:
 
 
 def _estimate(sums: DataFrame, factor: float) -> DataFrame:
-    """g, centre m*, Cholesky factor c_*, log determinant, from n, s*, q_* of each group."""
+    """g (and start), centre m*, Cholesky factor c_*, log determinant, from n, s*, q_* of each group."""
     e = sums.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
     for i in range(P):
         for j in range(i + 1):
@@ -104,18 +105,19 @@ def _estimate(sums: DataFrame, factor: float) -> DataFrame:
                 cov = cov - F.col(f"c_{i}_{k}") * F.col(f"c_{j}_{k}")
             e = e.withColumn(f"c_{i}_{j}", F.sqrt(F.greatest(cov, F.lit(float(FLOOR[i] ** 2)))) if i == j else cov / F.col(f"c_{j}_{j}"))
     det = sum((F.log(f"c_{i}_{i}") for i in range(1, P)), F.log("c_0_0"))
-    return e.select("g", *[f"m{i}" for i in range(P)], *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)], det.alias("det"))
+    keys = [c for c in ("g", "start") if c in sums.columns]
+    return e.select(*keys, *[f"m{i}" for i in range(P)], *[f"c_{i}_{j}" for i in range(P) for j in range(i + 1)], det.alias("det"))
 
 
 def _concentrate(rows: DataFrame, est: DataFrame) -> DataFrame:
-    """Moments of the ``H_SHARE`` of each group's rows that are nearest (whole buckets of distance)."""
+    """Moments of the ``H_SHARE`` of each group's rows that are nearest (whole buckets of distance), for each start."""
     bucket = F.floor(BUCKETS * F.log1p("d2")).cast("int")
-    per = _with_distance(rows, est).where("d2 is not null").groupBy("g", bucket.alias("bucket")).agg(*_moments())
+    per = _with_distance(rows, est).where("d2 is not null").groupBy("g", "start", bucket.alias("bucket")).agg(*_moments())
     per = stored(per, "mcd-buckets")  # whole sums: a group has some hundred rows here, whatever the number of tasks
-    w = W.partitionBy("g")
+    w = W.partitionBy("g", "start")
     before = F.coalesce(F.sum("n").over(w.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     per = per.withColumns({"before": before, "all": F.sum("n").over(w)}).where(F.col("before") < H_SHARE * F.col("all"))
-    return per.groupBy("g").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
+    return per.groupBy("g", "start").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])
 
 
 def _median_start(rows: DataFrame, least: int) -> DataFrame:
@@ -146,19 +148,20 @@ def robust_estimates(rows: DataFrame, least: int = MIN_GROUP) -> DataFrame:
     ``rows`` has g (group) and v0..v4 (longs).
     """
     everything = rows.groupBy("g").agg(*_moments()).where(F.col("n") >= least)
-    best = []
-    for start in (_estimate(everything, 1.0), _median_start(rows, least)):
-        est = stored(start, "mcd-start")
-        mark = None
-        for _ in range(STEPS):
-            est = stored(_estimate(_concentrate(rows, est), CONSISTENT_75), "mcd-step")
-            before, mark = mark, est.agg(F.sum(F.xxhash64(*est.columns).cast("decimal(20,0)"))).first()[0]
-            if mark == before:
-                break
-        best.append(est)
-    cols = [c for c in best[0].columns if c != "g"]
-    both = best[0].select("g", F.struct("det", *[c for c in cols if c != "det"]).alias("e")).unionByName(best[1].select("g", F.struct("det", *[c for c in cols if c != "det"]).alias("e")))
-    raw = stored(both.groupBy("g").agg(F.min("e").alias("e")).select("g", "e.*"), "mcd-raw")
+    starts = _estimate(everything, 1.0).withColumn("start", F.lit(0)).unionByName(_median_start(rows, least).withColumn("start", F.lit(1)))
+    est = stored(starts.withColumns({"det": F.lit(float("inf")), "active": F.lit(True)}), "mcd-start")
+    cols = [c for c in est.columns if c not in ("g", "start", "active")]
+    for _ in range(STEPS):
+        new = _estimate(_concentrate(rows, est.where("active").drop("active")), CONSISTENT_75).select("g", "start", F.struct(*cols).alias("new"))
+        better = F.coalesce(F.col("new.det") < F.col("det") - SETTLED, F.lit(False))
+        both = est.join(new, ["g", "start"], "left").select("g", "start", *[F.when(better, F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in cols], better.alias("active"))
+        old, est = est, stored(both, "mcd-step")
+        drop_stored(old)
+        if est.where("active").isEmpty():
+            break
+    est = est.drop("active")
+    cols = [c for c in est.columns if c not in ("g", "start", "det")]
+    raw = stored(est.groupBy("g").agg(F.min(F.struct("det", *cols)).alias("e")).select("g", "e.*"), "mcd-raw")
     near = _with_distance(rows, raw).where(F.col("d2") <= CHI_975).groupBy("g").agg(*_moments())
     return stored(_estimate(near, CONSISTENT_975), "mcd-estimate")
 
