@@ -294,8 +294,8 @@ def near_groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     classes = stored(classes, "minhash-classes")
     labels = near_links(docs, classes, width)
     named = stored(classes.join(labels, "node", "left").select("digest", "size", "name", "least", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked")), "minhash-named")
-    whole = named.where("linked").groupBy("component").agg(F.min("name").alias("all"), F.min("least").alias("all_least"))
-    named = named.where("linked or size > 1").join(whole, "component", "left").select("digest", "size", F.coalesce("all", "name").alias("component_id"), F.coalesce("all_least", "least").alias("least"))
+    whole = named.where("linked").groupBy("component").agg(F.min("name").alias("all"), F.min("least").alias("all_least"), F.count("*").alias("sets"))
+    named = left_join_groups(named.where("linked or size > 1"), stored(whole, "minhash-components"), "component", "sets", named.count()).select("digest", "size", F.coalesce("all", "name").alias("component_id"), F.coalesce("all_least", "least").alias("least"))
     out = left_join_groups(rows.select("doc_id", "mark", "n", "digest"), stored(named, "minhash-groups"), "digest", "size", rows.count())
     first = F.col("least").isNull() | (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("mark") == F.col("least.mark")))
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
