@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import selection
+from .grams import containing_by_grams
 
 
 def mean(c: Column) -> Column:
@@ -20,9 +22,20 @@ def percentile(c: Column, p: float) -> Column:
     return F.coalesce(F.percentile(c, F.lit(p)), F.lit(0.0))
 
 
-def latency(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    c = F.col(value)
-    return rows.groupBy(*(by or [])).agg(F.count(c).alias("n"), mean(c).alias("mean"), F.coalesce(F.median(c), F.lit(0.0)).alias("p50"), percentile(c, 0.95).alias("p95"), percentile(c, 0.99).alias("p99"))
+#: Rows whose percentiles a plain aggregate takes: it holds a group's distinct values in one task.
+HELD = 1_000_000
+
+
+def latency(rows: DataFrame, value: str, by: list[str] | None = None, held: int = HELD) -> DataFrame:
+    """Count, mean and exact percentiles (with linear interpolation) per group; of more than ``held`` rows by distributed selection."""
+    c, by = F.col(value), by or []
+    if rows.count() <= held:
+        return rows.groupBy(*by).agg(F.count(c).alias("n"), mean(c).alias("mean"), F.coalesce(F.median(c), F.lit(0.0)).alias("p50"), percentile(c, 0.95).alias("p95"), percentile(c, 0.99).alias("p99"))
+    g = F.struct(F.lit(0).alias("all"), *by)
+    sums = rows.groupBy(g.alias("g")).agg(F.count(c).alias("n"), mean(c).alias("mean"))
+    found = selection.percentiles(rows.select(g.alias("g"), c.cast("double").alias("v")), {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed("g", "of")
+    out = sums.join(found, F.col("g") == F.col("of"), "left")
+    return out.select(*[F.col("g")[b].alias(b) for b in by], "n", "mean", *[F.coalesce(p, F.lit(0.0)).alias(p) for p in ("p50", "p95", "p99")])
 
 
 def throughput(count: Column, seconds: Column) -> Column:
@@ -64,39 +77,42 @@ def cache_report(lookups: DataFrame) -> DataFrame:
     return lookups.agg(mean(F.col("hit").cast("double")).alias("hit_rate"), F.coalesce(F.try_divide(F.avg("cold_ms"), F.avg("cached_ms")), F.lit(0.0)).alias("speedup"))
 
 
-#: Keywords searched for at once; more make more blocks of scans.
-MOST_FACTS = 100_000
+#: Facts, and their characters, that are sent to all tasks at most.
+MOST_FACTS, MOST_CHARS = 100_000, 16_000_000
 
 
 def containing(texts: DataFrame, facts: DataFrame, text_id: str, fact_id: str, text: str = "text", fact: str = "fact", ignore_case: bool = True) -> DataFrame:
-    """(fact_id, text_id) for every text that contains a fact. One automaton of all facts reads each text once."""
+    """(fact_id, text_id) for every text that contains a fact. Few facts go to the tasks as one automaton that reads each
+    text once; more meet the texts by their rarest grams. Both give the same rows."""
     spark = texts.sparkSession
     types = {text_id: texts.schema[text_id].dataType.simpleString(), fact_id: facts.schema[fact_id].dataType.simpleString()}
-    rows = [(r[0], r[1].lower() if ignore_case else r[1]) for r in facts.where(F.col(fact).isNotNull() & (F.col(fact) != "")).select(fact_id, fact).toLocalIterator()]
-    found = None
-    for a in range(0, len(rows), MOST_FACTS):
-        sent = spark.sparkContext.broadcast(rows[a : a + MOST_FACTS])
-
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            by_word: dict[str, list] = {}
-            for i, w in sent.value:
-                by_word.setdefault(w, []).append(i)
-            automaton = ahocorasick.Automaton()
-            for w in by_word:
-                automaton.add_word(w, w)
-            automaton.make_automaton()
-            for b in batches:
-                out = []
-                for i, t in zip(b[text_id], b[text], strict=True):
-                    if isinstance(t, str):
-                        out += [(f, i) for w in {w for _, w in automaton.iter(t.lower() if ignore_case else t)} for f in by_word[w]]
-                yield pd.DataFrame(out, columns=[fact_id, text_id])
-
-        part = texts.select(text_id, text).mapInPandas(scan, f"{fact_id} {types[fact_id]}, {text_id} {types[text_id]}")
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], f"{fact_id} {types[fact_id]}, {text_id} {types[text_id]}")
+    given = facts.where(F.col(fact).isNotNull() & (F.col(fact) != ""))
+    many, chars = given.agg(F.count("*"), F.coalesce(F.sum(F.char_length(fact)), F.lit(0))).first()
+    if many > MOST_FACTS or chars > MOST_CHARS:
+        return containing_by_grams(texts, facts, text_id, fact_id, text, fact, ignore_case)
+    if not many:
+        return spark.createDataFrame([], f"{fact_id} {types[fact_id]}, {text_id} {types[text_id]}")
+    rows = [(r[0], r[1].lower() if ignore_case else r[1]) for r in given.select(fact_id, fact).collect()]  # their size was checked
+    sent = spark.sparkContext.broadcast(rows)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        by_word: dict[str, list] = {}
+        for i, w in sent.value:
+            by_word.setdefault(w, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for w in by_word:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+        for b in batches:
+            out = []
+            for i, t in zip(b[text_id], b[text], strict=True):
+                if isinstance(t, str):
+                    out += [(f, i) for w in {w for _, w in automaton.iter(t.lower() if ignore_case else t)} for f in by_word[w]]
+            yield pd.DataFrame(out, columns=[fact_id, text_id])
+
+    return texts.select(text_id, text).mapInPandas(scan, f"{fact_id} {types[fact_id]}, {text_id} {types[text_id]}")
 
 
 def first_chunks(chunks: DataFrame, facts: DataFrame) -> DataFrame:

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
+from .postings import top_by_postings
 from .retrieve import nearest
 
 K1, B, RRF_K = 1.5, 0.75, 60
-#: Queries sent to the tasks at once; numbers of a matrix that a task holds.
+#: Queries that are sent to the tasks at most; numbers of a matrix that a task holds.
 BLOCK, CELLS = 512, 4_000_000
 
 
@@ -23,19 +24,6 @@ def _terms(c: Column, stem: bool) -> Column:
     return F.transform(T.words(F.lower(c)), T.singular) if stem else T.words(F.lower(c))
 
 
-def _query_blocks(queries: DataFrame, query_id: str, stem: bool) -> Iterator[tuple[list, list[list[str]]]]:
-    """Keys and distinct words of at most BLOCK queries at a time."""
-    keys, words = [], []
-    for r in queries.select(query_id, F.array_distinct(_terms(F.col("query"), stem)).alias("w")).where(F.size("w") > 0).toLocalIterator():
-        keys.append(r[0])
-        words.append(r[1])
-        if len(keys) == BLOCK:
-            yield keys, words
-            keys, words = [], []
-    if keys:
-        yield keys, words
-
-
 def _best(found: pd.DataFrame, k: int, query: str, doc: str) -> pd.DataFrame:
     found = found.assign(_r=found["score"].round(9)).sort_values([query, "_r", doc], ascending=[True, False, True], kind="stable")
     return found.groupby(query, sort=False).head(k).drop(columns="_r")
@@ -44,56 +32,56 @@ def _best(found: pd.DataFrame, k: int, query: str, doc: str) -> pd.DataFrame:
 def _top_by_words(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float, query_id: str, doc_id: str, counted: bool, stem: bool = False) -> DataFrame:
     """query_id, doc_id, score: for each task and query the ``k`` best documents, by BM25, or by the number of shared words.
 
-    Queries go out in blocks. A task scores its documents against all queries of a block as one matrix product
-    (documents by words, words by queries) and keeps ``k`` a query, so no word and no pair is shuffled.
+    Up to BLOCK queries whose words and number make a matrix of CELLS are sent to the tasks, which score their documents
+    against all of them as one matrix product (documents by words, words by queries) and keep ``k`` a query, so no word and no pair is
+    shuffled. More queries, or longer ones, go through a posting table. Both give the same rows.
     """
     spark = docs.sparkSession
-    d = docs.select(doc_id, _terms(F.col("text"), stem).alias("w"))
-    n, mean = d.agg(F.count("*"), F.avg(F.size("w"))).first()
+    asked = queries.select(query_id, F.array_distinct(_terms(F.col("query"), stem)).alias("w")).where(F.size("w") > 0)
+    many, longest = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+    if many > BLOCK or many * longest > CELLS:
+        return top_by_postings(queries, docs, k, k1, b, query_id, doc_id, _terms(F.col("text"), stem), _terms(F.col("query"), stem), counted)
     types = {query_id: queries.schema[query_id].dataType.simpleString(), doc_id: docs.schema[doc_id].dataType.simpleString()}
     schema = f"{query_id} {types[query_id]}, {doc_id} {types[doc_id]}, score double"
-    parts = []
-    for keys, words in _query_blocks(queries, query_id, stem):
-        number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        idf = np.ones(len(number))
-        if counted:  # rows of the block's words only, added up in the tasks first
-            wanted = spark.createDataFrame([(w,) for w in number], "term string")
-            for r in d.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("df")).collect():
-                idf[number[r["term"]]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
-        sent = spark.sparkContext.broadcast((keys, [[number[w] for w in ws] for ws in words], number, idf))
-
-        def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            keys, words, number, idf = sent.value
-            has = np.zeros((len(number), len(keys)))
-            for q, ws in enumerate(words):
-                has[ws, q] = 1.0
-            kept = None
-            step = max(1, CELLS // max(len(number), len(keys)))
-            for batch in batches:
-                for a in range(0, len(batch), step):
-                    part = batch.iloc[a : a + step]
-                    split = [t.split(" ") if t else [] for t in part["w"]]
-                    size = np.fromiter(map(len, split), np.int64, len(split))
-                    at = np.fromiter((number.get(w, -1) for ws in split for w in ws), np.int64, int(size.sum()))
-                    row = np.repeat(np.arange(len(split)), size)[at >= 0]
-                    tf = np.bincount(row * len(number) + at[at >= 0], minlength=len(split) * len(number)).reshape(len(split), -1).astype(float)
-                    if counted:
-                        tf = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)[:, None] if mean else 1.0)
-                    scores = np.where(tf > 0, tf if counted else 1.0, 0.0) @ has
-                    least = np.partition(scores, -k, axis=0)[-k] if len(split) > k else np.zeros(len(keys))
-                    r, q = np.nonzero((scores > 0) & (scores >= least - 1e-8))  # those that rounding may tie come along
-                    found = pd.DataFrame({query_id: q, doc_id: part[doc_id].to_numpy()[r], "score": scores[r, q]})
-                    kept = _best(found if kept is None else pd.concat([kept, found]), k, query_id, doc_id)
-            if kept is not None:
-                yield kept.assign(**{query_id: np.array(keys, object)[kept[query_id].to_numpy(np.int64)]})
-
-        parts.append(d.select(doc_id, F.array_join("w", " ").alias("w")).mapInPandas(score, schema))
-    if not parts:
+    if not many:
         return spark.createDataFrame([], schema)
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found
+    d = docs.select(doc_id, _terms(F.col("text"), stem).alias("w"))
+    n, mean = d.agg(F.count("*"), F.avg(F.size("w"))).first()
+    keys, words = zip(*asked.collect(), strict=True)  # its size was checked
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
+    idf = np.ones(len(number))
+    if counted:  # a row per word of the queries, added up in the tasks first
+        wanted = spark.createDataFrame([(w,) for w in number], "term string")
+        for r in d.select(F.explode(F.array_distinct("w")).alias("term")).join(F.broadcast(wanted), "term").groupBy("term").agg(F.count("*").alias("df")).collect():
+            idf[number[r["term"]]] = np.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5))
+    sent = spark.sparkContext.broadcast((list(keys), [[number[w] for w in ws] for ws in words], number, idf))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, words, number, idf = sent.value
+        has = np.zeros((len(number), len(keys)))
+        for q, ws in enumerate(words):
+            has[ws, q] = 1.0
+        kept = None
+        step = max(1, CELLS // max(len(number), len(keys)))
+        for batch in batches:
+            for a in range(0, len(batch), step):
+                part = batch.iloc[a : a + step]
+                split = [t.split(" ") if t else [] for t in part["w"]]
+                size = np.fromiter(map(len, split), np.int64, len(split))
+                at = np.fromiter((number.get(w, -1) for ws in split for w in ws), np.int64, int(size.sum()))
+                row = np.repeat(np.arange(len(split)), size)[at >= 0]
+                tf = np.bincount(row * len(number) + at[at >= 0], minlength=len(split) * len(number)).reshape(len(split), -1).astype(float)
+                if counted:
+                    tf = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean)[:, None] if mean else 1.0)
+                scores = np.where(tf > 0, tf if counted else 1.0, 0.0) @ has
+                least = np.partition(scores, -k, axis=0)[-k] if len(split) > k else np.zeros(len(keys))
+                r, q = np.nonzero((scores > 0) & (scores >= least - 1e-8))  # those that rounding may tie come along
+                found = pd.DataFrame({query_id: q, doc_id: part[doc_id].to_numpy()[r], "score": scores[r, q]})
+                kept = _best(found if kept is None else pd.concat([kept, found]), k, query_id, doc_id)
+        if kept is not None:
+            yield kept.assign(**{query_id: np.array(keys, object)[kept[query_id].to_numpy(np.int64)]})
+
+    return d.select(doc_id, F.array_join("w", " ").alias("w")).mapInPandas(score, schema)
 
 
 def _ranked(scored: DataFrame, k: int | None, query_id: str, doc_id: str) -> DataFrame:

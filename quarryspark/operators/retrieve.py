@@ -11,27 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..schemas import SOURCE_TYPES
+from .pivots import nearest_by_pivots
 
 K = 5
-#: Queries that are sent to the tasks at once: at 384 dimensions 25 MB. More queries make more blocks.
+#: Queries that may be sent to all tasks (at 384 dimensions 25 MB); more are dealt out, see ``pivots``.
 BLOCK = 8192
 #: Queries whose distances to a batch are held at once.
 SLICE = 512
 
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[tuple[list, np.ndarray]]:
-    """Query keys and unit vectors (double), at most BLOCK at a time; queries without a vector are left out."""
-    keys, vectors = [], []
-    for r in queries.where("embedding is not null").select(key, "embedding").toLocalIterator():
-        keys.append(r[0])
-        vectors.append(r[1])
-        if len(keys) == BLOCK:
-            yield keys, np.array(vectors, np.float64)
-            keys, vectors = [], []
-    if keys:
-        yield keys, np.array(vectors, np.float64)
-
-
 def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` least distances of each row of ``d`` and their ids, ties by id (null first), in that order.
 
@@ -50,47 +38,47 @@ def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "chunk_id", group_col: str = "source_type", query_col: str = "query_id") -> DataFrame:
     """query, group, id, distance, rank: the ``k`` nearest rows of each group for each query, ties by id.
 
-    ``vectors`` has id, group and embedding. Each task keeps exactly ``k`` rows of its batches per query and group,
-    ties by id, from a matrix product with a block of queries; only those candidates are shuffled.
+    ``vectors`` has id, group and embedding. Up to BLOCK queries are sent to the tasks: each keeps exactly ``k`` rows of its
+    batches per query and group, ties by id, from a matrix product; only those candidates are shuffled. More queries
+    are dealt out and meet the vectors by pivots. Both ways are exact. Queries without a vector are left out.
     """
     spark = vectors.sparkSession
+    asked = queries.where("embedding is not null").select(query_col, "embedding")
+    few = asked.limit(BLOCK + 1).collect()  # the size that is sent is checked here
+    if len(few) > BLOCK:
+        return nearest_by_pivots(vectors, asked, k, id_col, group_col, query_col)
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     query_type = queries.schema[query_col].dataType.simpleString()
     schema = f"{query_col} {query_type}, {group_col} {types[group_col]}, {id_col} {types[id_col]}, distance double"
-    rows = vectors.where("embedding is not null").select(id_col, group_col, "embedding")
-    parts = []
-    for keys, matrix in _blocks(queries, query_col):
-        sent = spark.sparkContext.broadcast((keys, matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            keys, unit = sent.value
-            kept: dict = {}
-            for b in batches:
-                for group, at in b.groupby(group_col, dropna=False, sort=False).indices.items():
-                    v = np.stack(b["embedding"].to_numpy()[at]).astype(np.float64)
-                    ids = b[id_col].to_numpy()[at]
-                    norm = np.linalg.norm(v, axis=1)
-                    found = []
-                    for q in range(0, len(keys), SLICE):
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            d = 1 - (unit[q : q + SLICE] @ v.T) / norm
-                        d[:, norm == 0] = np.inf
-                        found.append(_least(d, ids, k))
-                    d, ids = (np.vstack(x) for x in zip(*found, strict=True))
-                    if group in kept:
-                        d, ids = _least(np.hstack([kept[group][0], d]), np.hstack([kept[group][1], ids]), k)
-                    kept[group] = (d, ids)
-            for group, (d, ids) in kept.items():
-                n = d.shape[1]
-                out = pd.DataFrame({query_col: np.repeat(np.array(keys), n), group_col: group, id_col: ids.reshape(-1), "distance": d.reshape(-1)})
-                yield out[np.isfinite(out["distance"])]
-
-        parts.append(rows.mapInPandas(best, schema))
-    if not parts:
+    if not few:
         return spark.createDataFrame([], schema + ", rank int")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
+    matrix = np.array([r[1] for r in few], np.float64)
+    sent = spark.sparkContext.broadcast(([r[0] for r in few], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, unit = sent.value
+        kept: dict = {}
+        for b in batches:
+            for group, at in b.groupby(group_col, dropna=False, sort=False).indices.items():
+                v = np.stack(b["embedding"].to_numpy()[at]).astype(np.float64)
+                ids = b[id_col].to_numpy()[at]
+                norm = np.linalg.norm(v, axis=1)
+                found = []
+                for q in range(0, len(keys), SLICE):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        d = 1 - (unit[q : q + SLICE] @ v.T) / norm
+                    d[:, norm == 0] = np.inf
+                    found.append(_least(d, ids, k))
+                d, ids = (np.vstack(x) for x in zip(*found, strict=True))
+                if group in kept:
+                    d, ids = _least(np.hstack([kept[group][0], d]), np.hstack([kept[group][1], ids]), k)
+                kept[group] = (d, ids)
+        for group, (d, ids) in kept.items():
+            row, col = np.nonzero(np.isfinite(d))
+            whose = np.full(len(row), None if pd.isna(group) else group, object)
+            yield pd.DataFrame({query_col: np.array(keys)[row], group_col: whose, id_col: ids[row, col], "distance": d[row, col]})
+
+    found = vectors.where("embedding is not null").select(id_col, group_col, "embedding").mapInPandas(best, schema)
     w = W.partitionBy(query_col, group_col).orderBy("distance", id_col)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

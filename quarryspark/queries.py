@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from .functions import replies as R
 from .functions import text as T
-from .operators import catalog, chunking, context, conversations, evaluation, ingest, ranking, retrieve
+from .operators import catalog, chunking, context, conversations, evaluation, grams, ingest, pivots, postings, ranking, retrieve
 from .plans import agent
 from .sources import files, sse
 
@@ -65,6 +65,14 @@ def knn_top5(spark, sf_dir):
     return found.select("query_id", "label", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(SQL["knn_top5"])
+def knn_by_pivots(spark, sf_dir):
+    """The same for queries of any number: dealt out, and led to the cells of the nearest pivots."""
+    e, q = _vectors(spark, sf_dir)
+    found = pivots.nearest_by_pivots(e, q, 5, "vec_id", "label", "query_id")
+    return found.select("query_id", "label", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""WITH {_VECTORS},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY exact, vec_id) AS rank FROM d WHERE label IN (1, 3, 5))
 SELECT query_id, vec_id, label, distance, rank FROM r WHERE rank <= 5""")
@@ -324,6 +332,13 @@ def latency_percentiles(spark, sf_dir):
     return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
 
 
+@query(SQL["latency_percentiles"])
+def latency_by_selection(spark, sf_dir):
+    """The same for groups of any size: counts per value range, narrowed down to the wanted ranks."""
+    rows = evaluation.latency(table(spark, sf_dir, "events"), "value", ["event_type"], held=0)
+    return rows.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
 @query("""SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)""")
 def fact_containment(spark, sf_dir):
     """All documents that contain a fact: one automaton reads every text once."""
@@ -331,6 +346,13 @@ def fact_containment(spark, sf_dir):
     return evaluation.containing(spread(table(spark, sf_dir, "documents")), facts, "doc_id", "item_id", ignore_case=False)
 
 
+@query(SQL["fact_containment"])
+def facts_by_grams(spark, sf_dir):
+    """The same for facts of any number: sought by their rarest grams."""
+    facts = table(spark, sf_dir, "benchmark").withColumnRenamed("text", "fact")
+    return grams.containing_by_grams(spread(table(spark, sf_dir, "documents")), facts, "doc_id", "item_id", ignore_case=False)
+
+
 _BM25 = """
 q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM benchmark),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents),
@@ -353,6 +375,17 @@ def bm25_topk(spark, sf_dir):
     return _bm25(spark, sf_dir, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(SQL["bm25_topk"])
+def bm25_by_postings(spark, sf_dir):
+    """The same for queries of any number: a posting table whose blocks are passed over by their greatest impact."""
+    words = T.words(F.lower(F.col("w")))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("w"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("w")))
+    found = postings.top_by_postings(q, d, 5, ranking.K1, ranking.B, "query_id", "doc_id", words, words, True)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), rank.cast("long").alias("rank"))
+
+
 @query(f"""WITH {_BM25},
 o AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score_terms DESC, doc_id) AS rank FROM
       (SELECT q.query_id, tf.doc_id, count(*) AS score_terms FROM tf JOIN q USING (term) GROUP BY 1, 2)),
