@@ -112,15 +112,14 @@ def common(a: str, b: str) -> int:
     return low
 
 
-def probed(template: Template, before: list[Turn], role: str) -> tuple[int, str] | None:
-    """Where the text of a turn of ``role`` behind ``before`` begins, counted from the end of the earlier output, and what
-    follows it: what two texts in its place leave equal."""
+def probed(template: Template, before: list[Turn], role: str) -> tuple[str, str] | None:
+    """What stands in front of the text of a turn of ``role`` behind ``before``, and behind it: what two texts in its place leave equal."""
     base, one, two = (template.render([*before, *t]) for t in ([], [(role, "0")], [(role, "1")]))
     head = common(one, two)
     foot = common(one[head:][::-1], two[head:][::-1])
     if one[head : len(one) - foot] != template.escape("0") or two[head : len(two) - foot] != template.escape("1"):
         return None
-    return head - len(base), one[len(one) - foot :]
+    return one[common(base, one) if before else 0 : head], one[len(one) - foot :]
 
 
 class Renderer:
@@ -140,15 +139,16 @@ class Renderer:
         before, last = self.turns, self.last
         self.turns, self.block = [*before, (role, text)], self.block + 1
         self.last = out = t.render(self.turns)
-        same = common(last, out)
+        same = common(last, out) if before else 0  # what stands in front of the first turn is in its piece
         # headers depend on roles; where one depends on texts, what follows finds no loss
         near = tuple((r, "") for r, _ in (before if memory is None else before[-max(1, memory) :]))
         form, written, loss = self.form(near, role), t.escape(text), None
         if form:
-            start = len(last) + form[0]
-            if start >= same and out.startswith(written, start) and out[start + len(written) :] == form[1]:
+            start = len(out) - len(form[1]) - len(written)  # counted from the end: what stands before may have been rewritten
+            if start >= same and out[start:] == written + form[1] and out[:start].endswith(form[0]):
                 loss = (start - same, start - same + len(written))
-        return Piece(out[same:], loss, same < len(last), len(last) - same)
+        cut = len(last) - same if before else 0
+        return Piece(out[same:], loss, cut > 0, cut)
 
 
 #: Columns of a turn's piece. ``cut``: characters of earlier pieces that it takes back; loss stretches are those of all roles.

@@ -61,14 +61,15 @@ def lower_ascii(text: Column) -> Column:
 BITMAP_BITS, MAX_BITMAPS = 32768, 2048
 
 
-def mark_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataFrame:
-    """``rows`` with ``_hit``: false only where ``key`` (a long of both frames) is certainly none of ``hits``.
+def mark_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int, hit_key: Column | None = None) -> DataFrame:
+    """``rows`` with ``_hit``: false only where ``key`` (a long of both frames, or ``hit_key`` of ``hits``) is certainly none of ``hits``.
 
-    A bitmap filter of 64 bits a hit, up to a fixed size; beyond that it says true more often.
+    A bitmap filter of 64 bits a hit, up to a fixed size; beyond that it says true more often. ``rows`` has no columns of
+    names that begin with an underscore.
     """
     maps = min(MAX_BITMAPS, max(1, -(-n_hits * 64 // BITMAP_BITS)))
     place = F.pmod(key, F.lit(maps * BITMAP_BITS))
-    bits = hits.select(place.alias("_p")).groupBy(F.floor(F.col("_p") / BITMAP_BITS).alias("_b")).agg(F.bitmap_construct_agg((F.col("_p") % BITMAP_BITS).cast("long")).alias("_bits"))
+    bits = hits.select((place if hit_key is None else F.pmod(hit_key, F.lit(maps * BITMAP_BITS))).alias("_p")).groupBy(F.floor(F.col("_p") / BITMAP_BITS).alias("_b")).agg(F.bitmap_construct_agg((F.col("_p") % BITMAP_BITS).cast("long")).alias("_bits"))
     marked = rows.withColumn("_p", place).withColumn("_m", F.floor(F.col("_p") / BITMAP_BITS))
     marked = marked.join(F.broadcast(bits), F.col("_m") == F.col("_b"), "left")  # at most MAX_BITMAPS rows of 4 kB
     byte = "cast(conv(hex(substring(_bits, cast((_p % 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
@@ -82,16 +83,15 @@ def may_hit(rows: DataFrame, hits: DataFrame, key: Column, n_hits: int) -> DataF
 
 def without(rows: DataFrame, gone: DataFrame, n_gone: int, mark: Column | None = None) -> DataFrame:
     """``rows`` that are not in ``gone`` by doc_id (a long, nulls too) and, where given, by ``mark`` (its column of ``gone``
-    has that name). Only rows whose doc_id the bitmap names are shuffled for the exact test."""
+    has that name). Only rows whose doc_id the bitmap names are shuffled for the exact test. Columns may have any names."""
     if not n_gone:
         return rows
-    marked = mark_hit(rows, gone, F.xxhash64(F.col("doc_id").cast("long")), n_gone)
-    named = gone.select(F.col("doc_id").alias("_gone"), *([F.col("mark").alias("_gone_mark")] if mark is not None else [])).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone"))
-    if mark is not None:
-        same = same & (mark == F.col("_gone_mark"))
-    tested = marked.where("_hit").drop("_hit").join(named, same, "left_anti")
-    return marked.where("not _hit").drop("_hit").unionByName(tested)
+    none = F.lit(0)
+    keyed = rows.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), (none if mark is None else mark).alias("mark"))
+    named = gone.select(F.col("doc_id").alias("gone"), (none if mark is None else F.col("mark")).alias("gone_mark")).distinct()
+    marked = mark_hit(keyed, gone, F.xxhash64("id"), n_gone, F.xxhash64(F.col("doc_id").cast("long")))
+    tested = marked.where("_hit").join(named, F.col("id").eqNullSafe(F.col("gone")) & (F.col("mark") == F.col("gone_mark")), "left_anti")
+    return marked.where("not _hit").unionByName(tested).select("row.*")
 
 
 def left_join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:

@@ -197,26 +197,42 @@ def solve(lengths: np.ndarray, count: np.ndarray, capacity: int) -> tuple[list[t
     return [(dict(k), x / max(1.0, covered[list(dict(k))].max())) for k, x in uses.items()], bound
 
 
-def best_fit(pieces: list[int], capacity: int) -> list[list[int]]:
-    """Each piece, the longest first, goes where the least room is left that holds it."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    rooms, out = [], []  # rooms: sorted, those that some sequence has left
-    for n in sorted(pieces, reverse=True):
-        at = bisect.bisect_left(rooms, n)
-        if at < len(rooms):
-            room = rooms[at]
-            i = by_room[room].pop()
-            if not by_room[room]:
-                del rooms[at]
-        else:
-            room, i = capacity, len(out)
-            out.append([])
-        out[i].append(n)
-        if room > n:
-            if not by_room[room - n]:
-                bisect.insort(rooms, room - n)
-            by_room[room - n].append(i)
-    return out
+def best_fit(pieces: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """([lengths], times) of {length: pieces}: each piece, the longest first, goes where the least room is left that holds it.
+
+    Pieces of a length are placed at once: a sequence that takes one has less room than any other that could, so it takes
+    all that fit before the next. Each length splits one group of equal sequences at most, so the plan grows with the lengths.
+    """
+    by_room: dict[int, list[tuple[list[int], int]]] = {}
+    rooms: list[int] = []  # sorted, those that some sequence has left
+
+    def add(config: list[int], times: int, room: int) -> None:
+        if times:
+            if room not in by_room:
+                bisect.insort(rooms, room)
+            by_room.setdefault(room, []).append((config, times))
+
+    for n, k in sorted(pieces.items(), reverse=True):
+        done = []
+        while k > 0:
+            at = bisect.bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                config, times = by_room[room].pop()
+                if not by_room[room]:
+                    del by_room[room], rooms[at]
+            else:
+                room, config, times = capacity, [], k
+            each = room // n
+            full = min(times, k // each)
+            rest = k - full * each if full < times else 0
+            done += [(config + [n] * each, full, room - each * n), (config + [n] * rest, bool(rest), room - rest * n)]
+            if config:
+                add(config, times - full - bool(rest), room)
+            k -= full * each + rest
+        for group in done:
+            add(*group)
+    return [group for groups in by_room.values() for group in groups]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], int, float]:
@@ -241,8 +257,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
             times = min([int(x)] + [left.get(int(lengths[i]), 0) // k for i, k in config.items()])
             if times > 0:
                 take([int(lengths[i]) for i, k in config.items() for _ in range(k)], times)
-    # what rounding down leaves: a sequence for each configuration at most, and lengths that fill none
-    used += [(config, 1) for config in best_fit([n for n, k in left.items() for _ in range(k)], capacity)]
+    # what rounding down leaves, and lengths that fill no sequence
+    used += best_fit(left, capacity)
     return used, sum(k for _, k in used), bound
 
 

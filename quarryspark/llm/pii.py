@@ -97,7 +97,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
         else:
             end = max(end, at + 1)
         at = text.find("@", max(at + 1, end))
-    out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in _CARD.finditer(text):
         if 12 <= m.end() - m.start() <= 60:
             digits = m[0].replace(" ", "").replace("-", "")

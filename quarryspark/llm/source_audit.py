@@ -172,7 +172,9 @@ def together(entries: DataFrame) -> DataFrame:
                 pair = at[s] * len(names) + at[t]
                 total = pd.Series(value.reshape(-1)).groupby(pair.reshape(-1), sort=False).sum()
                 s, t = np.divmod(total.index.to_numpy(), len(names))
-                yield pd.DataFrame({"lang": lang, "source": names[s], "item": names[t], "value": total.to_numpy()})[s != t]
+                other = s != t
+                total, s, t = total[other], s[other], t[other]
+                yield pd.DataFrame({"lang": lang, "source": names[s], "item": names[t], "value": total.to_numpy()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -1,7 +1,7 @@
 """Operator 8, removal of repeated strings: a distributed difference-cover suffix sort.
 
 Every byte covered by a ``LENGTH``-byte string that also starts earlier goes. Which strings do is settled in
-steps, each exact, so that only the places where that is hard reach the suffix sort:
+steps that lose none, so that only the places where that is hard reach the suffix sort:
 
 1. Of documents with the same bytes only the first needs a look; later ones go wholly.
 2. A narrow pass cuts the start positions of each text into runs: neighbouring windows of LENGTH bytes whose least
@@ -24,9 +24,10 @@ broadcast of the few heavy keys, never in one task. Texts are hashed in parts of
 with the longest text. Whole documents, whole runs and whole blocks are compared by hashes of 256, 127 and 128 bits;
 windows in the suffix order by their bytes.
 
-Defined cases: null text has no bytes; texts under LENGTH bytes lose nothing; the first of equal rows (smallest
-doc_id) stays, of rows equal in doc_id and text all stay; a null doc_id comes first (it counts as the least
-long); ``doc_id`` names one text (different texts under one id are cut alike); an empty table gives no rows; other columns are ignored.
+Defined cases: null text has no bytes; texts under LENGTH bytes lose nothing; the first of equal texts (smallest
+doc_id) stays; rows equal in doc_id and text are one document: all stay or are cut alike, a row each; different texts under
+one doc_id, or without one, are documents of their own, in the order of their digests; a null doc_id comes first; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +49,6 @@ CORE = LENGTH - BLOCK + 1  # bytes that all windows of a block share: a triple o
 WINDOW = LENGTH - GRAM + 1  # grams in a window
 MOST = 64  # windows in a run at most
 PART = 256_000  # bytes hashed at once
-NO_ID = -(1 << 63)
 
 _A, _B, _C, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD, 0xD6E8FEB86659FD93))
 
@@ -238,11 +238,28 @@ def _united(stretches: DataFrame) -> DataFrame:
     return whole.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cut"))
 
 
-def repeated_strings(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, digest, cut (array of [a, b) byte stretches to remove): one row per row of ``docs``."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
+def _documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Rows (doc_id, raw, digest) in which a doc_id, never null, names one text; them without raw but with n_bytes, stored; and where
+    that takes new numbers, doc_id (null first), digest, row_number of all documents in order."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("raw", 256)))
-    thin = stored(rows.select("doc_id", "digest", F.length("raw").cast("long").alias("n_bytes")), "suffix-documents")
+    size = F.length("raw").cast("long").alias("n_bytes")
+    thin = stored(rows.select("doc_id", "digest", size), "suffix-documents")
+    x, y = F.xxhash64("digest"), F.xxhash64(F.lit(1), "digest")
+    several = (F.min(x) != F.max(x)) | (F.min(y) != F.max(y)) | F.col("doc_id").isNull()
+    if thin.groupBy("doc_id").agg(several.alias("several")).where("several").isEmpty():
+        return rows, thin, None
+    drop_stored(thin)
+    names = stored(numbered(thin_rows := rows.select("doc_id", "digest").distinct(), ["doc_id", "digest"])[0].select(*thin_rows.columns, "row_number"), "suffix-names")
+    named = names.select(F.col("doc_id").alias("id"), F.col("digest").alias("of"), "row_number")
+    rows = rows.join(named, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).select(F.col("row_number").alias("doc_id"), "raw", "digest")
+    rows = stored(rows, "suffix-texts")
+    return rows, stored(rows.select("doc_id", "digest", size), "suffix-documents"), names
+
+
+def repeated_strings(rows: DataFrame, thin: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, digest, later (goes wholly), cut (array of [a, b) byte stretches to remove): one row per row of ``rows``
+    (as ``thin``: of ``_documents``)."""
     total = thin.count()
     same = stored(thin.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("uses")).where("uses > 1"), "suffix-same")
     thin = left_join_groups(thin, same, "digest", "uses", total).select("doc_id", "n_bytes", "digest", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("later"))
@@ -275,20 +292,23 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
 
 def cut_out(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``."""
-    marks = stored(repeated_strings(docs), "suffix-marks")
+    rows, thin, names = _documents(docs)
+    marks = stored(repeated_strings(rows, thin), "suffix-marks")
     empty = hashlib.sha256(b"").hexdigest()
     plain = marks.where("later or cut is null")
     gone = F.col("later") & (F.col("n_bytes") >= LENGTH)
     plain = plain.select("doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"), F.when(gone, F.lit(empty)).otherwise(F.lower(F.hex("digest"))).alias("kept_sha256"))
-    some = marks.where("not later and cut is not null").select("doc_id", "cut")
-    raw = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
-    near = may_hit(raw, some, F.xxhash64("doc_id"), some.count()).join(some, "doc_id")
+    some = marks.where("not later and cut is not null").select("doc_id", "cut").dropDuplicates(["doc_id"])  # rows of one document
+    near = may_hit(rows.select("doc_id", "raw"), some, F.xxhash64("doc_id"), some.count()).join(some, "doc_id")
     # what stays lies between the stretches; joined as hexadecimal digits, once
     between = "transform(sequence(0, size(cut)), j -> hex(substring(raw, if(j = 0, 0, cut[j - 1].b) + 1, if(j = size(cut), length(raw), cut[j].a) - if(j = 0, 0, cut[j - 1].b))))"
     kept = F.unhex(F.expr(f"array_join({between}, '')"))
     cut = near.select("doc_id", F.length("raw").cast("long").alias("n_bytes"), F.expr("aggregate(cut, 0L, (n, s) -> n + s.b - s.a)").alias("n_removed"), F.size("cut").cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
     out = plain.unionByName(cut)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") == NO_ID, F.lit(None).cast("long")).otherwise(F.col("doc_id")))
+    if names is None:
+        return out
+    ids = names.select(F.col("doc_id").alias("id"), "row_number")
+    return out.join(ids, F.col("doc_id") == F.col("row_number")).select(F.col("id").alias("doc_id"), *out.columns[1:])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
