@@ -5,7 +5,7 @@ each automaton into longest matches: one phrase ends where the automaton has no
 there. The estimate of cross entropy is ``phrases * log2(sample length) / text length``; the language with
 the least wins. ``score`` is 1 - best / second best, from 0 (undecided) to 1.
 
-Scale: the sample is bounded (``TRAIN_DOCS`` documents of ``TRAIN_CHARS`` characters a language, chosen by the
+Scale: the sample is bounded (``TRAIN_DOCS`` whole documents a language, of ``TRAIN_CHARS`` characters at most where there are such, chosen by the
 least hash in each of ``TRAIN_DOCS`` buckets, a plain partial aggregate). The automata are built from it once, as
 sparse edges (three a sampled letter at most, whatever the alphabet; most states have one), and are what is sent to the tasks; they grow
 with the number of languages only. Prediction is one narrow pass without shuffle. Workers step all texts of a batch
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: The bounded sample: documents per language, characters of each that are learned from.
-TRAIN_DOCS, TRAIN_CHARS = 64, 1024
+#: The bounded sample: documents per language, whole ones, of up to so many characters as long as a language has such.
+TRAIN_DOCS, TRAIN_CHARS = 64, 2048
 LANE, BATCH_CHARS = 1024, 2_000_000
 SPACE, OTHER, BREAK = 1, 2, 3  # codes of a gap between words, of letters that no sample has, and between sampled texts
 ROOT = 1  # state 0 is "no transition"
@@ -43,13 +43,13 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text): at most TRAIN_DOCS texts a language, each cut to TRAIN_CHARS characters."""
+    """(lang, text): at most TRAIN_DOCS whole texts a language; texts of more than TRAIN_CHARS characters only where a bucket has no other."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     d = d.where("lang is not null and text is not null").where(~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False))).where(F.col("text").rlike(r"\p{L}"))
     d = d.withColumn("h", F.xxhash64("doc_id", "text"))
-    least = d.groupBy("lang", F.pmod("h", F.lit(TRAIN_DOCS)).alias("b")).agg(F.min("h").alias("h")).select("lang", "h")
+    least = d.groupBy("lang", F.pmod("h", F.lit(TRAIN_DOCS)).alias("b")).agg(F.min(F.struct(F.greatest(F.char_length("text"), F.lit(TRAIN_CHARS)).alias("size"), "h")).alias("m")).select("lang", "m.h")
     # TRAIN_DOCS rows a language: a sample of fixed size
-    rows = d.join(F.broadcast(least), ["lang", "h"]).select("lang", "h", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    rows = d.join(F.broadcast(least), ["lang", "h"]).select("lang", "h", "text")
     rows = rows.dropDuplicates(["lang", "h"]).collect()
     return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], r["h"]))]
 
