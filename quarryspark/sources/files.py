@@ -215,9 +215,11 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
-def synthetic_text(spark: SparkSession, sizes: list[int], filler: str, facts: list[str]) -> DataFrame:
-    """source_id, text: texts of the given sizes made of the filler, with the facts a third of the way in."""
-    rows = spark.createDataFrame([(f"synthetic-{n}", n) for n in sizes], "source_id string, size int")
-    body = F.substring(F.repeat(F.lit(filler + " "), 1 + max(sizes, default=0) // (len(filler) + 1)), F.lit(1), F.col("size"))
+def synthetic_texts(wanted: DataFrame) -> DataFrame:
+    """source_id, text: per row of ``wanted`` (name, size, filler, facts) a text of that size made of the filler, with the facts a third of the way in."""
+    room = F.char_length("filler") + 1
+    body = F.repeat(F.concat("filler", F.lit(" ")), (1 + F.floor(F.col("size") / room)).cast("int")).substr(F.lit(1), F.col("size").cast("int"))
     third = F.floor(F.col("size") / 3).cast("int")
-    return rows.withColumn("body", body).select("source_id", F.concat(F.expr("substring(body, 1, int(floor(size / 3)))"), F.lit(" " + " ".join(facts) + " "), F.substring("body", third + 1, F.col("size"))).alias("text"))
+    rows = wanted.withColumns({"body": body, "third": third})
+    text = F.concat(F.col("body").substr(F.lit(1), F.col("third")), F.lit(" "), "facts", F.lit(" "), F.expr("substring(body, third + 1)"))
+    return rows.select(F.concat(F.lit("synthetic-"), "name").alias("source_id"), text.alias("text"))

@@ -5,16 +5,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import replies as R
+from .functions import table_functions
 from .functions import text as T
 from .functions import tokens as K
 from .operators import accounts, catalog, chunking, conversations, evaluation, ingest, ranking, retrieve, rewriting
-from .queries import _VECTORS, query, spread, table
+from .queries import _VECTORS, SQL, query, spread, table
 from .schemas import conform, violations
 from .sources import files, sse
+from .sources.chunk_store import ChunkStore
+from .sources.scratch import drop_stored, shared_dir, stored
+from .streaming import windows
 
 # --- functions of text ---------------------------------------------------------------------------------------------
 
@@ -46,9 +52,9 @@ def file_suffixes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.suffix(name).alias("suffix"))
 
 
-@query("""SELECT page_id, replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages""")
+@query("""SELECT page_id, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS escaped FROM pages""")
 def escaped_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.substring("html", 1, 400)).alias("escaped"))
+    return table(spark, sf_dir, "pages").select("page_id", T.escape_html(F.col("html")).alias("escaped"))
 
 
 @query("""SELECT doc_id, doc_id % 3 < 2 AS blank, CASE doc_id % 3 WHEN 0 THEN '' WHEN 2 THEN 'a  b' || doc_id END AS stripped FROM documents""")
@@ -164,10 +170,13 @@ def json_rows(spark, sf_dir):
     return files.as_json(table(spark, sf_dir, "documents").where("source is not null").select("doc_id", "source"))
 
 
-@query("""SELECT 'synthetic-' || n AS source_id, left(repeat('lorem ipsum ', 200), n // 3) || ' one two ' || substring(left(repeat('lorem ipsum ', 200), n), n // 3 + 1) AS text FROM (SELECT unnest([0, 10, 100, 1000]) AS n)""")
+@query("""WITH d AS (SELECT doc_id, n_chars AS n, rtrim(regexp_extract(text, '^[^ ]*')) AS filler, source FROM documents WHERE text IS NOT NULL),
+b AS (SELECT *, left(repeat(filler || ' ', (1 + n // (length(filler) + 1))::INT), n::INT) AS body FROM d)
+SELECT 'synthetic-' || doc_id AS source_id, left(body, (n // 3)::INT) || ' about ' || source || ' ' || substring(body, (n // 3)::INT + 1) AS text FROM b""")
 def synthetic_texts(spark, sf_dir):
-    """Texts of given sizes with facts a third of the way in."""
-    return files.synthetic_text(spark, [0, 10, 100, 1000], "lorem ipsum", ["one", "two"])
+    """A text per document, as long as it, of its first word, with a fact a third of the way in."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return files.synthetic_texts(d.select(F.col("doc_id").cast("string").alias("name"), F.col("n_chars").alias("size"), F.regexp_extract("text", "^[^ ]*", 0).alias("filler"), F.concat(F.lit("about "), "source").alias("facts")))
 
 
 # --- chunks ----------------------------------------------------------------------------------------------------------
@@ -178,7 +187,11 @@ def text_chunks_cover(spark, sf_dir):
     """What holds for the chunks of every document: together they have all its characters but white space between them,
     each is what stands at its place, none is over 1500 characters, and places and numbers grow together."""
     d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.lit(0).alias("seg_idx"), "text", F.col("text").alias("whole")))
-    c = chunking.chunk_documents(d)
+    return _cover(chunking.chunk_documents(d))
+
+
+def _cover(c):
+    """Of chunks (source_id, whole, chunk_index, char_start, text)."""
     w = W.partitionBy("source_id").orderBy("chunk_index")
     end = F.col("char_start") + F.char_length("text")
     c = c.withColumns({"upto": F.coalesce(F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "before": F.lag("char_start").over(w)})
@@ -525,3 +538,73 @@ def deleted_users_tokens(spark, sf_dir):
 def access_log(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return accounts.access_log(e.select(F.col("event_id").cast("string").alias("request_id"), F.lit("GET").alias("method"), F.col("event_type").alias("path"), F.when(F.col("event_id") % 10 != 0, 200).alias("status"), (F.col("event_id") % 100 / 8).alias("duration")))
+
+
+# --- stores, streams and table functions -----------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT unnest([min(source), max(source)]) FROM documents)""")
+def deleted_in_buckets(spark, sf_dir):
+    """The chunk table in buckets of its sources, without two sources: only their buckets are rewritten."""
+    d = table(spark, sf_dir, "documents").where("source is not null")
+    store = ChunkStore(spark, f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", 64)
+    store.append(d.select(F.lit("pdf").alias("source_type"), F.col("source").alias("source_id"), F.col("doc_id").cast("string").alias("chunk_id"), "text"))
+    ends = d.agg(F.array(F.min("source"), F.max("source")).alias("s"))
+    store.delete(ends.select(F.explode("s").alias("source_id")).where("source_id is not null"))
+    return store.read().select(F.col("chunk_id").cast("long").alias("doc_id"), F.col("source_id").alias("source"))
+
+
+@query(SQL["text_chunks_cover"])
+def sql_text_chunks_cover(spark, sf_dir):
+    """What holds for the chunks that the table function gives in SQL."""
+    table_functions.register(spark)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where("text is not null")
+    sql = r"""SELECT d.doc_id AS source_id, d.text AS whole, c.chunk_in_segment AS chunk_index, c.char_start, c.text
+        FROM {d} d, LATERAL split_text(d.text, 'pdf') c WHERE c.text RLIKE '[^\\s\\x0b]'"""
+    return _cover(spark.sql(sql, d=d))
+
+
+@query(SQL["time_chunks"])
+def sql_time_chunks(spark, sf_dir):
+    """Duration windows of each user's events, by the table function in SQL."""
+    table_functions.register(spark)
+    e = table(spark, sf_dir, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("pos"), F.lit(0.0).alias("duration"), F.col("event_type").alias("text"))
+    return spark.sql("SELECT * FROM time_windows(TABLE({e}), 'user_id', 3600)", e=e)
+
+
+@query(SQL["time_chunks"])
+def streamed_time_chunks(spark, sf_dir):
+    """The same over a stream of batches in which events come up to half an hour late."""
+    return windows_of_stream(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("pos"), F.lit(0.0).alias("duration"), F.col("event_type").alias("text")))
+
+
+def windows_of_stream(events, batches: int = 6):
+    """Land ``events`` in batches by a late arrival, then a last one that lets all windows end; stream them."""
+    spark, root = events.sparkSession, f"{shared_dir(events.sparkSession)}/stream-{uuid.uuid4().hex}"
+    arrival = F.unix_seconds("at") + F.pmod(F.xxhash64("pos"), F.lit(1800))
+    rows = stored(events.withColumn("arrival", arrival), "arrivals")
+    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    if first is None:
+        drop_stored(rows)
+        return spark.createDataFrame([], windows.WINDOWS.replace("key string", "user_id long"))
+    files_each = max(1, rows.rdd.getNumPartitions())
+    number = F.floor((F.col("arrival") - first) * batches / F.lit(last - first + 1)).cast("int")
+    for n in range(batches):
+        rows.where(number == n).select(*events.columns).write.mode("append").parquet(f"{root}/land")
+    end = spark.createDataFrame([(last + 100 * 86400,)], "s long").select(F.lit("end").alias("key"), F.timestamp_seconds("s").alias("at"), F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("duration"), F.lit("").alias("text"))
+    end.write.mode("append").parquet(f"{root}/land")
+    drop_stored(rows)
+    late = (last - first) // batches + 1900  # files of one arrival may come in any order
+    settings = {"spark.sql.streaming.stateStore.providerClass": None, "spark.sql.shuffle.partitions": None}
+    settings = {k: spark.conf.get(k, None) for k in settings}
+    windows.use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_each).parquet(f"{root}/land")
+        found = windows.unordered_windows(stream, 3600.0, f"{late} seconds")
+        found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    finally:
+        for k, v in settings.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(windows.WINDOWS).parquet(f"{root}/out")
+    return out.withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", "user_id")

@@ -210,7 +210,7 @@ def test_violations(spark):
 
 
 def test_synthetic_text_and_json(spark, tmp_path):
-    rows = files.synthetic_text(spark, [300], "lorem ipsum", ["A fact here."]).collect()
+    rows = files.synthetic_texts(spark.createDataFrame([("a", 300, "lorem ipsum", "A fact here.")], "name string, size long, filler string, facts string")).collect()
     assert rows[0].text[100:114] == " A fact here. " and len(rows[0].text) == 314
     d = spark.createDataFrame([(1, "a")], "n int, s string")
     assert one(files.as_json(d)).json == '{"n":1,"s":"a"}'
