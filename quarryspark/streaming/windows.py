@@ -1,51 +1,33 @@
 """Greedy duration windows over an unordered stream, by a stateful processor with timers.
 
-Segments may come in any order within the watermark's delay. A source's segments wait in its list state until the watermark has
-passed them, when no earlier one can come any more; an event-time timer wakes the source then, and they enter its open
-window in order. A window closes when a segment would make it last ``limit``, or by a timer once the watermark is so far
-that any later segment would: a source that falls silent needs no end mark. State is what came within the delay and one window.
-
-The state store is RocksDB, which such processors need; ``use_rocksdb`` sets it for a session.
+Segments may come in any order within the watermark's delay, see ``ordered``. In order they enter their source's open window. A window
+closes when a segment would make it last ``limit``, or by a timer once the watermark is so far that any later segment
+would: a source that falls silent needs no end mark. State is what came within the delay and one window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
-WINDOWS = "key string, chunk_index int, text string, timestamp_start long, timestamp_end long"
+from .ordered import InOrder, in_order
 
+WINDOWS = "key string, chunk_index int, text string, timestamp_start long, timestamp_end long"
 
-def use_rocksdb(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
+class DurationWindows(InOrder):
+    """Segments (key, us, pos, duration in seconds, text) to WINDOWS."""
 
-class DurationWindows(StatefulProcessor):
-    """Segments (key, us: event time in microseconds, pos, duration in seconds, text) to WINDOWS."""
+    fields, result = "duration double, text string", WINDOWS
 
     def __init__(self, limit: float):
         self.limit = limit
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, pos long, duration double, text string")
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.window = handle.getValueState("window", "n int, texts array<string>, start double, end double")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(us), int(pos), None if pd.isna(d) else float(d), t if isinstance(t, str) else "") for b in rows for us, pos, d, t in b[["us", "pos", "duration", "text"]].itertuples(index=False)]
-        self.waiting.appendList(new)
-        for ms in {-(-us // 1000) for us, *_ in new}:
-            self.handle.registerTimer(ms)
-        return iter([])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get())
-        ready = sorted((r for r in waiting if r[0] <= now), key=lambda r: (r[0], r[1]))
+    def take(self, key: tuple, ready: list[tuple], now: int) -> tuple[list[tuple], int | None]:
         n, texts, start, end = self.window.get() if self.window.exists() else (0, [], 0.0, 0.0)
         texts, out = list(texts or []), []
         for us, _, duration, text in ready:
@@ -55,25 +37,16 @@ class DurationWindows(StatefulProcessor):
                 n, texts = n + 1, []
             if not texts:
                 start = us / 1e6
-            texts.append(text)
+            texts.append(text or "")
             end = stop
         if texts and now / 1e6 - start >= self.limit:  # any later segment would close it
             out.append((key[0], n, " ".join(texts), round(start), round(end)))
             n, texts = n + 1, []
-        if len(ready) < len(waiting):
-            self.waiting.put([r for r in waiting if r[0] > now])
-        elif waiting:
-            self.waiting.clear()
-        if texts:
-            self.handle.registerTimer(int(-(-(start + self.limit) * 1000 // 1)))
         self.window.update((n, texts, start, end))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
-
-    def close(self) -> None:
-        pass
+        return out, int((start + self.limit) * 1e6) + 1 if texts else None
 
 
 def unordered_windows(segments: DataFrame, limit: float = 60.0, late: str = "10 minutes") -> DataFrame:
     """WINDOWS of a stream of ``segments`` (key string, at timestamp, pos, duration, text). Segments later than ``late`` are left out."""
     rows = segments.withWatermark("at", late).withColumn("us", F.unix_micros("at"))
-    return rows.groupBy("key").transformWithStateInPandas(DurationWindows(limit), WINDOWS, "Append", "EventTime")
+    return in_order(rows, DurationWindows(limit))

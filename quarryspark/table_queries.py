@@ -20,7 +20,7 @@ from .schemas import conform, violations
 from .sources import files, sse
 from .sources.chunk_store import ChunkStore
 from .sources.scratch import drop_stored, shared_dir, stored
-from .streaming import windows
+from .streaming import cache, ordered, windows
 
 # --- functions of text ---------------------------------------------------------------------------------------------
 
@@ -572,39 +572,78 @@ def sql_time_chunks(spark, sf_dir):
     return spark.sql("SELECT * FROM time_windows(TABLE({e}), 'user_id', 3600)", e=e)
 
 
-@query(SQL["time_chunks"])
-def streamed_time_chunks(spark, sf_dir):
-    """The same over a stream of batches in which events come up to half an hour late."""
-    return windows_of_stream(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("pos"), F.lit(0.0).alias("duration"), F.col("event_type").alias("text")))
-
-
-def windows_of_stream(events, batches: int = 6):
-    """Land ``events`` in batches by a late arrival, then a last one that lets all windows end; stream them."""
-    spark, root = events.sparkSession, f"{shared_dir(events.sparkSession)}/stream-{uuid.uuid4().hex}"
+def streamed(rows, process, schema, batches: int = 6):
+    """``rows`` (at timestamp, pos and more) landed in batches by an arrival of up to half an hour late, then one row much later (key "end")
+    that lets all be finished; what ``process`` makes of the stream, given its delay."""
+    spark, root = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
     arrival = F.unix_seconds("at") + F.pmod(F.xxhash64("pos"), F.lit(1800))
-    rows = stored(events.withColumn("arrival", arrival), "arrivals")
-    first, last = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    landing = stored(rows.withColumn("arrival", arrival), "arrivals")
+    first, last = landing.agg(F.min("arrival"), F.max("arrival")).first()
     if first is None:
-        drop_stored(rows)
-        return spark.createDataFrame([], windows.WINDOWS.replace("key string", "user_id long"))
-    files_each = max(1, rows.rdd.getNumPartitions())
+        return spark.createDataFrame([], schema)
+    files_each = max(1, landing.rdd.getNumPartitions())
     number = F.floor((F.col("arrival") - first) * batches / F.lit(last - first + 1)).cast("int")
     for n in range(batches):
-        rows.where(number == n).select(*events.columns).write.mode("append").parquet(f"{root}/land")
-    end = spark.createDataFrame([(last + 100 * 86400,)], "s long").select(F.lit("end").alias("key"), F.timestamp_seconds("s").alias("at"), F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("duration"), F.lit("").alias("text"))
-    end.write.mode("append").parquet(f"{root}/land")
-    drop_stored(rows)
+        landing.where(number == n).select(*rows.columns).write.mode("append").parquet(f"{root}/land")
+    end = spark.createDataFrame([("end", last + 100 * 86400)], "key string, s long").select("key", F.timestamp_seconds("s").alias("at"))
+    end.select(*[F.col(f.name) if f.name in end.columns else F.lit(0 if f.name == "pos" else None).cast(f.dataType).alias(f.name) for f in rows.schema.fields]).write.mode("append").parquet(f"{root}/land")
+    drop_stored(landing)
     late = (last - first) // batches + 1900  # files of one arrival may come in any order
-    settings = {"spark.sql.streaming.stateStore.providerClass": None, "spark.sql.shuffle.partitions": None}
-    settings = {k: spark.conf.get(k, None) for k in settings}
-    windows.use_rocksdb(spark)
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
+    ordered.use_rocksdb(spark)
     spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
     try:
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files_each).parquet(f"{root}/land")
-        found = windows.unordered_windows(stream, 3600.0, f"{late} seconds")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_each).parquet(f"{root}/land")
+        found = process(stream, f"{late} seconds")
         found.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
     finally:
         for k, v in settings.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    out = spark.read.schema(windows.WINDOWS).parquet(f"{root}/out")
-    return out.withColumn("key", F.col("key").cast("long")).withColumnRenamed("key", "user_id")
+    return spark.read.schema(schema).parquet(f"{root}/out").where("key <> 'end'")
+
+
+@query(SQL["time_chunks"])
+def streamed_time_chunks(spark, sf_dir):
+    """The same over a stream of batches in which events come up to half an hour late."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("pos"), F.lit(0.0).alias("duration"), F.col("event_type").alias("text"))
+    found = streamed(e, lambda s, late: windows.unordered_windows(s, 3600.0, late), windows.WINDOWS)
+    return found.select(F.col("key").cast("long").alias("user_id"), "chunk_index", "text", "timestamp_start", "timestamp_end")
+
+
+#: Entries, similarity and life (seconds) in the queries of the semantic cache.
+_CACHE = (8, 0.3, 259_200)
+
+
+def _requests(spark, sf_dir):
+    """Events of users as questions about documents; those of the first type say that the document was ingested again."""
+    e, v = table(spark, sf_dir, "events"), table(spark, sf_dir, "embeddings").where("embedding is not null")
+    n = v.agg(F.count("*"), F.min("vec_id")).first()
+    first = e.agg(F.min("event_type")).first()[0]
+    at = (F.col("event_id") % max(1, n[0])).alias("vec_id")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("pos"), F.col("event_id").alias("request_id"), (F.col("event_type") == first).alias("clears"), at)
+    return rows.join(v.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+
+
+@query(f"""WITH RECURSIVE q AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us, event_type = (SELECT min(event_type) FROM events) AS clears, e.embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events JOIN embeddings e ON e.vec_id = event_id % (SELECT count(*) FROM embeddings)),
+c AS (
+  SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, NULL::BIGINT AS entry_id, NULL::DOUBLE AS similarity, []::STRUCT(id BIGINT, us BIGINT, v DOUBLE[])[] AS held FROM (SELECT DISTINCT user_id FROM q)
+  UNION ALL
+  SELECT user_id, n, event_id, CASE WHEN hit THEN -best.o END, CASE WHEN hit THEN best.s END,
+    CASE WHEN clears THEN [] WHEN hit THEN live ELSE (live || [{{'id': event_id, 'us': us, 'v': v}}])[-{_CACHE[0]}:] END
+  FROM (SELECT *, NOT clears AND coalesce(best.s >= {_CACHE[1]}, false) AS hit FROM (
+    SELECT *, list_sort([{{'s': round(list_cosine_similarity(x.v, v), 9), 'o': -x.id}} for x in live], 'DESC')[1] AS best FROM (
+      SELECT q.*, [x for x in c.held if x.us > q.us - {_CACHE[2]}000000] AS live FROM c JOIN q ON q.user_id = c.user_id AND q.n = c.n + 1))))
+SELECT user_id, event_id AS request_id, entry_id, round(similarity, 6) AS similarity FROM c WHERE n > 0""")
+def replayed_cache(spark, sf_dir):
+    """A log of requests through the semantic cache: limit, life, eviction, clearing."""
+    found = cache.replayed(_requests(spark, sf_dir), *_CACHE)
+    return found.select(F.col("key").cast("long").alias("user_id"), "request_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(SQL["replayed_cache"])
+def streamed_cache(spark, sf_dir):
+    """The same as a stream in which requests come late, with the entries as state."""
+    found = streamed(_requests(spark, sf_dir), lambda s, late: cache.answered(s, *_CACHE, late), cache.RESULT)
+    return found.select(F.col("key").cast("long").alias("user_id"), "request_id", "entry_id", F.round("similarity", 6).alias("similarity"))

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarryspark.operators import chunking
-from quarryspark.streaming import windows
+from quarryspark.streaming import ordered, windows
 
 T0 = dt.datetime(2026, 1, 1)
 SCHEMA = "key string, at timestamp, pos long, duration double, text string"
@@ -21,7 +21,7 @@ def run(spark, land, out, check):
 
 def test_shuffled_batches_give_the_batch_result(spark, tmp_path):
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    windows.use_rocksdb(spark)
+    ordered.use_rocksdb(spark)
     r = random.Random(2)
     rows = []
     for k in range(240):
