@@ -19,6 +19,7 @@ from .queries import _VECTORS, SQL, query, spread, table
 from .schemas import conform, violations
 from .sources import files, sse
 from .sources.chunk_store import ChunkStore
+from .sources.jdbc_store import JdbcStore, local_database
 from .sources.scratch import drop_stored, shared_dir, stored
 from .streaming import cache, ordered, windows
 
@@ -647,3 +648,16 @@ def streamed_cache(spark, sf_dir):
     """The same as a stream in which requests come late, with the entries as state."""
     found = streamed(_requests(spark, sf_dir), lambda s, late: cache.answered(s, *_CACHE, late), cache.RESULT)
     return found.select(F.col("key").cast("long").alias("user_id"), "request_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text || ' (edited)' ELSE text END AS text FROM conversations WHERE turn > 0 AND conv_id IS NOT NULL AND role <> 'system'""")
+def messages_over_jdbc(spark, sf_dir):
+    """Messages in a relational database: stored, some updated, some deleted, read in parts with a pushed filter."""
+    store = JdbcStore(spark, local_database(spark, f"m{uuid.uuid4().hex}"))
+    m = table(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
+    name = f"messages_{uuid.uuid4().hex}"
+    store.create(name, m.schema, ["conv_id", "turn", "role"])
+    store.append(m, name)
+    store.upsert(m.where("role = 'user'").withColumn("text", F.concat("text", F.lit(" (edited)"))), name, ["conv_id", "turn", "role"])
+    store.delete(m.where("turn = 0").select("conv_id", "turn", "role"), name, ["conv_id", "turn", "role"])
+    return store.read(name, "conv_id").where("role <> 'system'").select("conv_id", "turn", "role", "text")
