@@ -17,7 +17,7 @@ from .functions import tokens as K
 from .operators import accounts, catalog, chunking, conversations, evaluation, ingest, ranking, retrieve, rewriting
 from .queries import _VECTORS, SQL, query, spread, table
 from .schemas import conform, violations
-from .sources import files, sse
+from .sources import fetching, files, sse, sse_stream
 from .sources.chunk_store import ChunkStore
 from .sources.jdbc_store import JdbcStore, local_database
 from .sources.scratch import drop_stored, shared_dir, stored
@@ -661,3 +661,65 @@ def messages_over_jdbc(spark, sf_dir):
     store.upsert(m.where("role = 'user'").withColumn("text", F.concat("text", F.lit(" (edited)"))), name, ["conv_id", "turn", "role"])
     store.delete(m.where("turn = 0").select("conv_id", "turn", "role"), name, ["conv_id", "turn", "role"])
     return store.read(name, "conv_id").where("role <> 'system'").select("conv_id", "turn", "role", "text")
+
+
+@query("""SELECT url, length(min(html)) AS n_chars, 1 AS attempts FROM pages WHERE url IS NOT NULL AND html IS NOT NULL GROUP BY url""")
+def fetched_pages(spark, sf_dir):
+    """Pages fetched once a URL, a lane of hosts a task; an archive of the table stands in for the network."""
+    p = table(spark, sf_dir, "pages").where("url is not null and html is not null").groupBy("url").agg(F.min("html").alias("html"))
+    parts, root = max(1, p.count() // 2000), f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    p.withColumn("part", F.crc32(F.encode("url", "UTF-8")) % parts).repartition("part").write.partitionBy("part").parquet(root)
+
+    def archived(url: str) -> str:
+        import zlib
+
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(f"{root}/part={zlib.crc32(url.encode()) % parts}")
+        return pq.read_table(path, filesystem=system, partitioning=None, filters=[("url", "=", url)])["html"][0].as_py()
+
+    pages = fetching.fetch_pages(table(spark, sf_dir, "pages"), archived, pace=0.0)
+    return pages.where("html is not null").select("url", F.char_length("html").alias("n_chars"), "attempts")
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations),
+w AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS n FROM c)
+SELECT conv_id, string_agg(word || ' ', '' ORDER BY turn, n) AS text FROM w GROUP BY conv_id""")
+def streamed_sse(spark, sf_dir):
+    """Each conversation as a stream of frames in a growing file, cut in the middle of its bytes; the reader stops and goes on there."""
+    root = f"{shared_dir(spark)}/frames-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", F.posexplode(T.words(F.col("text"))).alias("n", "word"), "turn")
+    raw = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "n", "word"))), lambda x: F.concat(F.lit("data: "), x["word"], F.lit(" \n\n"))), "").alias("raw"))
+    raw = stored(raw.select("conv_id", F.concat("raw", F.lit("data: [DONE]\n\ndata: more \n\n")).alias("raw")), "frames")
+
+    def land(share: float):
+        def run(batches):
+            import pandas as pd
+            from pyarrow import fs
+
+            system, path = fs.FileSystem.from_uri(f"{root}/land")
+            system.create_dir(path, recursive=True)
+            for b in batches:
+                for conv, text in zip(b["conv_id"], b["raw"], strict=True):
+                    data = text.encode()
+                    with system.open_output_stream(f"{path}/{conv}") as f:  # the same bytes whenever a task is run again
+                        f.write(data[: int(len(data) * share)])
+                yield pd.DataFrame({"n": [len(b)]})
+
+        raw.mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+    settings = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")}
+    ordered.use_rocksdb(spark)
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism)
+    try:
+        for share in (0.37, 1.0):
+            land(share)
+            parts = sse_stream.answer_parts(sse_stream.frames_stream(spark, f"{root}/land"))
+            parts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    finally:
+        for k, v in settings.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    drop_stored(raw)
+    found = sse.joined(spark.read.schema(sse_stream.LINES).parquet(f"{root}/out"), "stream")
+    return found.select(F.col("stream").cast("long").alias("conv_id"), "text")
