@@ -230,7 +230,7 @@ def test_op6_wrappers_find_what_names_no_longer_tell(spark):
             n += 1
             wrong += html_wrappers.main_text(without_names(p), wrapper) != article(p)
             alone += html_wrappers.main_text(without_names(p), None) != article(p)
-    assert wrong == 0 and alone > 0.03 * n  # pages of short articles need their host's wrapper
+    assert wrong == 0 and 0 < alone < n  # some pages of short articles need their host's wrapper
 
 
 def test_op6_deep_markup_and_long_tags_lose_nothing():
