@@ -44,6 +44,7 @@ CHI_75, CHI_975, CHI_REJECT = 6.6257, 12.8325, 20.5150
 CONSISTENT_75, CONSISTENT_975 = 0.75 / 0.5309, 0.975 / 0.9239
 ALL = "all"  # the group of all rows; others are JSON
 BUCKETS = 24  # distance buckets per unit of log
+WAYS = 16  # tasks that a group's rows are dealt to where its estimate isn't broadcast
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
@@ -77,9 +78,16 @@ def transformed() -> list[Column]:
     return [F.round(UNIT * x).cast("long") for x in parts]
 
 
+def _join_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """``rows`` with what ``groups`` says of their g, a large group in WAYS parts."""
+    way = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(WAYS))
+    ways = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(WAYS - 1).cast("long")))
+    return rows.withColumn("way", way).join(groups.withColumn("way", ways), ["g", "way"], how).drop("way")
+
+
 def _with_distance(rows: DataFrame, est: DataFrame) -> DataFrame:
     """Rows with d2, by forward substitution one column after another; null where the group has no estimate."""
-    out = rows.join(est, "g", "left")
+    out = _join_groups(rows, est, "left")
     for i in range(P):
         rest = F.col(f"v{i}") - F.col(f"m{i}")
         for j in range(i):
@@ -134,7 +142,7 @@ def _median_start(rows: DataFrame, least: int) -> DataFrame:
     mid = medians([F.col(f"v{i}") for i in range(P)], rows)
     mid = mid.groupBy("g").agg(F.max("all").alias("n"), *[F.max(F.when(F.col("k") == i, F.col("x"))).cast("double").alias(f"m{i}") for i in range(P)])
     mid = stored(mid, "mcd-medians")
-    dev = medians([F.abs(F.col(f"v{i}") - F.col(f"m{i}")) for i in range(P)], rows.join(mid.drop("n"), "g"))
+    dev = medians([F.abs(F.col(f"v{i}") - F.col(f"m{i}")) for i in range(P)], _join_groups(rows, mid.drop("n"), "inner"))
     dev = dev.groupBy("g").agg(*[F.max(F.when(F.col("k") == i, F.col("x"))).alias(f"d{i}") for i in range(P)])
     both = mid.where(F.col("n") >= least).join(dev, "g")
     zero = {f"c_{i}_{j}": F.lit(0.0) for i in range(P) for j in range(i)}
