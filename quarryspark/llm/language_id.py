@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: The bounded sample: documents per language, whole ones, of up to so many characters as long as a language has such.
-TRAIN_DOCS, TRAIN_CHARS = 64, 2048
-LANE, BATCH_CHARS = 1024, 2_000_000
+TRAIN_DOCS, TRAIN_CHARS = 48, 1536
+LANE, BATCH_CHARS = 1024, 1_000_000
 SPACE, OTHER, BREAK = 1, 2, 3  # codes of a gap between words, of letters that no sample has, and between sampled texts
 ROOT = 1  # state 0 is "no transition"
 
