@@ -139,7 +139,8 @@ class PivotIndex:
         def best(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
             if not len(rows) or not len(asks):
                 return pd.DataFrame({"query": [], "gkey": [], "group": [], "id": [], "distance": []})
-            d = 1 - _units(asks["embedding"]) @ _units(rows["embedding"]).T
+            v = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
+            d = 1 - (_units(asks["embedding"]) @ v.T) / np.linalg.norm(v, axis=1)
             ids = rows["id"].to_numpy()
             row, col = best_of(d, ids, k)
             return pd.DataFrame({"query": asks["query"].to_numpy()[row], "gkey": rows["gkey"].iloc[0], "group": rows["group"].to_numpy()[col], "id": ids[col], "distance": d[row, col]})

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from ..functions import text as T
 from ..operators.context import with_context
 from ..operators.retrieve import K, retrieve, retrieved_lists
 from ..sources.models import ChatModel, Embedder, completed, context_critic, echo_planner, embedded, first_context_answer, hashing_embedder
+from ..sources.scratch import drop_stored, stored
 
 PLAN_TOKENS, ANSWER_TOKENS, CRITIC_TOKENS, MOST_PASSES = 200, 1024, 150, 2
 
@@ -32,16 +32,21 @@ def _pass(state: DataFrame, chunks: DataFrame, models: Models, k: int, last: boo
     planned = state.withColumn("_reply", reply)
     sources, query = R.planner_reply(F.col("_reply"), F.col("query"))
     planned = planned.withColumns({"sources_to_use": sources, "query": query}).drop("_reply")
-    planned = planned.withColumn("embedding", embedded(F.col("query"), models.load_embedder)).persist(StorageLevel.DISK_ONLY)
+    planned = planned.withColumn("embedding", embedded(F.col("query"), models.load_embedder))
+    planned = stored(planned, "agent-planned")
     lists = retrieved_lists(retrieve(planned, chunks, k, enforce))
     answered = with_context(planned.drop("embedding"), lists)
     prompt = R.prompt(R.SYNTHESIZER_PROMPT, query=F.col("query"), context=F.col("context"))
     answered = answered.withColumn("answer", completed(prompt, models.synthesizer, ANSWER_TOKENS)).withColumn("iteration", F.col("iteration") + 1)
     if last:  # no critic is asked any more
-        return answered.withColumns({"needs_replan": F.lit(False), "critic_feedback": F.lit("")})
+        out = stored(answered.withColumns({"needs_replan": F.lit(False), "critic_feedback": F.lit("")}), "agent-last")
+        drop_stored(planned)
+        return out
     verdict = answered.withColumn("_reply", completed(R.prompt(R.CRITIC_PROMPT, query=F.col("query"), answer=F.col("answer")), models.critic, CRITIC_TOKENS))
     poor, feedback = R.critic_reply(F.col("_reply"))
-    return verdict.withColumns({"needs_replan": poor, "critic_feedback": feedback}).drop("_reply")
+    out = stored(verdict.withColumns({"needs_replan": poor, "critic_feedback": feedback}).drop("_reply"), "agent-first")
+    drop_stored(planned)
+    return out
 
 
 def answer(queries: DataFrame, chunks: DataFrame, models: Models | None = None, k: int = K, enforce_user_sources: bool = False) -> DataFrame:
@@ -49,7 +54,8 @@ def answer(queries: DataFrame, chunks: DataFrame, models: Models | None = None,
 
     ``queries`` has query_id, query, and may have sources and source_ids (arrays). The planner decides which sources
     are searched; with ``enforce_user_sources`` only among those that the user names. Queries whose first answer
-    is poor go through a second pass with the rewritten query and the feedback; the others don't.
+    is poor go through a second pass with the rewritten query and the feedback; the others don't. Each pass is stored, so a
+    model is asked once a query whatever is lost, and what isn't needed any more is deleted; the result is stored, too.
     """
     models = models or Models()
     there = set(queries.columns)
@@ -58,10 +64,12 @@ def answer(queries: DataFrame, chunks: DataFrame, models: Models | None = None,
         *[(F.col(c) if c in there else F.lit(None)).cast("array<string>").alias(c) for c in ("sources", "source_ids")],
         F.lit("").alias("critic_feedback"), F.lit(0).alias("iteration"),
     )
-    first = _pass(state, chunks, models, k, False, enforce_user_sources).persist(StorageLevel.DISK_ONLY)
+    first = _pass(state, chunks, models, k, False, enforce_user_sources)
     again = first.where(R.replan(F.col("needs_replan"), F.col("iteration")))
     second = _pass(again.select(*state.columns), chunks, models, k, True, enforce_user_sources)
-    return first.where(~R.replan(F.col("needs_replan"), F.col("iteration"))).unionByName(second.select(*first.columns))
+    out = stored(first.where(~R.replan(F.col("needs_replan"), F.col("iteration"))).unionByName(second.select(*first.columns)), "agent-answers")
+    drop_stored(first, second)
+    return out
 
 
 def messages(answers: DataFrame, at, turns: DataFrame | None = None) -> DataFrame:

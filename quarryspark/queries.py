@@ -17,6 +17,7 @@ from .functions import text as T
 from .operators import catalog, chunking, context, conversations, evaluation, grams, ingest, pivots, postings, ranking, retrieve
 from .plans import agent
 from .sources import files, sse
+from .sources.scratch import drop_stored, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -417,10 +418,11 @@ def agent_answers(spark, sf_dir):
     p = spread(table(spark, sf_dir, "pages")).select(T.content_id(F.col("url"), F.col("page_id")).alias("source_id"), "url", "html")
     d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("source_id"), F.lit(0).alias("seg_idx"), "text", F.lit(1).alias("page_number"), F.lit(None).cast("string").alias("section_heading"), F.col("source").alias("filename"))
     at = F.lit("2024-01-01").cast("timestamp")
-    chunks = ingest.pages(p, at=at).unionByName(ingest.documents(d, at=at)).persist()
+    chunks = stored(ingest.pages(p, at=at).unionByName(ingest.documents(d, at=at)), "chunks")
     m = table(spark, sf_dir, "conversations").where("role = 'user'")
     q = m.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
     out = agent.answer(q, chunks)
+    drop_stored(chunks)
     return out.select("query_id", "query", F.array_join("sources_to_use", ",").alias("sources"), F.size("retrieved_chunks").alias("n_chunks"), "answer", "needs_replan", "iteration")
 
 

@@ -507,6 +507,28 @@ def valid_refresh_tokens(spark, sf_dir):
     return accounts.valid_tokens(tokens, users, F.lit("1996-01-01").cast("date")).select("id")
 
 
+@query("""SELECT c_custkey AS request_id, CASE WHEN c_acctbal > 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 >= 1 AND c_custkey % 7 <> 0 THEN 200 ELSE 401 END AS status,
+c_acctbal > 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 >= 1 AND c_custkey % 7 <> 0 AS renewed FROM customer""")
+def refreshed_tokens(spark, sf_dir):
+    """Refresh tokens presented by customers: of inactive ones, revoked, expired or of the wrong kind get none."""
+    now, n = F.lit("2024-01-01").cast("timestamp"), F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(n, n.cast("string").alias("id"), (F.col("c_acctbal") > 0).alias("is_active"))
+    days = K.expiry(now, days=7)
+    token = F.when(n % 7 == 0, K.signed(F.col("id"), "access", days, "key")).otherwise(K.signed(F.col("id"), "refresh", days, "key"))
+    given = stored(c.select(n.alias("request_id"), F.col("id").alias("user_id"), token.alias("token")), "presented")
+    i = F.col("request_id")
+    tokens = given.select(F.col("request_id").alias("id"), "user_id", T.sha256_hex(F.col("token")).alias("token_hash"), F.timestamp_add("DAY", (i % 3 - 1).cast("int"), now).alias("expires_at"), (i % 5 == 0).alias("revoked"))
+    found = accounts.refresh(given.select("request_id", "token"), tokens, c.select("id", "is_active"), now, "key")
+    return found.select("request_id", "status", F.col("access_token").isNotNull().alias("renewed"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS iso, strftime(ts, '%b %-d %H:%M') AS shown FROM events""")
+def dates_shown(spark, sf_dir):
+    """Times as they are stored and as they are shown."""
+    e = table(spark, sf_dir, "events").select("event_id", T.iso_timestamp(F.col("ts").cast("timestamp")).alias("iso"))
+    return e.withColumn("shown", T.display_date(F.col("iso")))
+
+
 @query("""SELECT o_orderkey AS id, o_orderstatus = 'F' OR o_orderkey = 7 AS revoked FROM orders""")
 def revoked_tokens(spark, sf_dir):
     """Revoking is idempotent, and of an unknown token does nothing."""
