@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .chunk_sql import chunks_sql
 from .functions import replies as R
 from .functions import text as T
 from .operators import catalog, chunking, context, conversations, evaluation, grams, ingest, pivots, postings, ranking, retrieve
@@ -237,7 +238,7 @@ def page_chunks(spark, sf_dir):
     return ingest.pages(p, at=F.lit("2024-01-01").cast("timestamp")).select("chunk_id", "source_id", "chunk_index", "text", "title", "domain", F.size("embedding").alias("dimensions"))
 
 
-@query()
+@query(chunks_sql("SELECT doc_id AS id, text FROM documents", chunking.PDF_SEPARATORS) + " SELECT id AS source_id, n::INTEGER AS chunk_index, char_start, text FROM chunks")
 def text_chunks(spark, sf_dir):
     """Documents to chunks of at most 1500 characters that overlap by at most 200."""
     d = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("source_id"), F.lit(0).alias("seg_idx"), "text")

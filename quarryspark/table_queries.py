@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .chunk_sql import chunks_sql
 from .functions import replies as R
 from .functions import table_functions
 from .functions import text as T
@@ -157,6 +158,15 @@ def page_texts(spark, sf_dir):
     return spread(table(spark, sf_dir, "pages")).select("page_id", files.page_text(F.col("html")).alias("text"))
 
 
+SQL["page_chunks"] = (
+    chunks_sql(f"SELECT page_id AS id, trim({_PAGE_TEXT}, ' ' || chr(10)) AS text FROM pages", chunking.WEB_SEPARATORS)
+    + """, h AS (SELECT page_id, url, html, sha256(concat_ws(chr(31), coalesce(url, chr(0)), page_id::VARCHAR)) AS h FROM pages),
+ids AS (SELECT page_id, url, html, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS source_id FROM h)
+SELECT source_id || '_' || n AS chunk_id, source_id, n::INTEGER AS chunk_index, text, trim(regexp_extract(html, '<title>(.*?)</title>', 1, 'is')) AS title,
+  regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS domain, 384 AS dimensions FROM chunks JOIN ids ON ids.page_id = chunks.id"""
+)
+
+
 @query(f"""WITH c AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations)
 SELECT conv_id, turn, array_to_string(list_transform(w, lambda x: x || ' '), '') AS text FROM c WHERE len(w) > 0""")
 def sse_parsed(spark, sf_dir):
