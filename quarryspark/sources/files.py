@@ -6,6 +6,7 @@ import html as entities
 import io
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
@@ -153,13 +154,23 @@ _RAW = ("script", "style", "noscript", "template", "title")  # no markup inside
 _FURNITURE = {"head", "nav", "header", "footer", "aside", "form", "table"}
 _BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "article", "section", "main", "br", "blockquote", "pre", "dd", "dt", "body", "html"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)\b[^>]*>|<[^>]+>", re.DOTALL)
+_FURNITURE_END = re.compile(rf"</({'|'.join(sorted(_FURNITURE))})\b", re.IGNORECASE)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
 
 
+_PARENTS = {"div", "section", "article", "main", "body", "html", "center"}
+
+
 def text_of_page(page: str) -> str:
-    """One scan: text outside of scripts, styles, comments, tables and page furniture (nested ones too), a line a block."""
+    """One scan: text outside of scripts, styles, comments, tables and page furniture (nested ones too), a line a block.
+
+    Furniture whose end tag is missing ends with its parent; where no end tag of its kind follows at all it is a block like others.
+    """
     out: list[str] = []
     inside, depth, at = "", 0, 0  # the outermost element that is left out
+    around: Counter[str] = Counter()  # parents that are open, outside of it and within
+    within: Counter[str] = Counter()
+    last_end = {m[1].lower(): m.start() for m in _FURNITURE_END.finditer(page)}
     while m := _TAG.search(page, at):
         if not inside:
             out.append(page[at : m.start()])
@@ -168,13 +179,25 @@ def text_of_page(page: str) -> str:
         if name in _RAW_END and not m[1]:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else at
-        elif inside:
+            continue
+        if inside and name in _PARENTS and name != inside:
+            if not m[1]:
+                within[name] += 1
+            elif within[name]:
+                within[name] -= 1
+            elif around[name]:
+                inside = ""
+        if inside:
             if name == inside:
                 depth += -1 if m[1] else 1
                 inside = inside if depth else ""
-        elif name in _FURNITURE and not m[1]:
+            continue
+        if name in _PARENTS:
+            around[name] = max(0, around[name] + (-1 if m[1] else 1))
+        if name in _FURNITURE and not m[1] and last_end.get(name, -1) >= at:
             inside, depth = name, 1
-        elif name in _BLOCKS:
+            within.clear()
+        elif name in _BLOCKS or name in _FURNITURE:
             out.append("\n")
     if not inside:
         out.append(page[at:])

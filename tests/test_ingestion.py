@@ -216,3 +216,12 @@ def test_synthetic_text_and_json(spark, tmp_path):
     assert one(files.as_json(d)).json == '{"n":1,"s":"a"}'
     files.write_json(d, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 1
+
+
+def test_furniture_without_an_end_tag():
+    read = lambda p: files.text_of_page(p).strip()
+    assert read("<nav>menu<p>article text</p>") == "menu\narticle text"
+    assert read("<body><div><nav>menu<ul><li>a</ul></div><p>article</p><nav>other</nav>") == "article"
+    assert read("<div><nav><div>menu</div></nav></div><p>article</p><footer>f</footer>") == "article"
+    assert read("<p>one<header>top</header><p>two<table><tr><td>cell</table>three") == "one\ntwothree"
+    assert read("<nav>a<nav>b</nav>c</nav>d") == "d"
