@@ -2,8 +2,8 @@
 
 Requests are looked up and stored in their order. One is a hit if a live entry is at least ``threshold`` similar, the most similar first
 and of equals the oldest; else its own answer becomes an entry. Entries live for ``life`` seconds; beyond ``most`` the oldest goes; a request
-that says that the scope was ingested again clears it. ``replayed`` runs a log as a batch, ``answered`` a stream, with a map
-state and timers that clear entries of a scope which nothing asks any more. Both hold one scope's entries. What a request
+that says that the scope was ingested again clears it. ``replayed`` runs a log as a batch, ``answered`` a stream, with state
+and timers that clear entries of a scope which nothing asks any more. Both hold one scope's entries. What a request
 finds depends on all before it, so a scope's requests are one sequence: they stream through one task.
 """
 
@@ -15,7 +15,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from .ordered import InOrder, in_order
 
@@ -58,33 +57,23 @@ class SemanticCache(InOrder):
     """Requests (key, us, pos: request_id, clears, embedding) to RESULT."""
 
     fields, result = "clears boolean, embedding array<double>", RESULT
+    held = "next long, entries array<struct<number: long, request_id: long, us: long, unit: array<double>>>"
 
     def __init__(self, most: int, threshold: float, life: float):
         self.settings = (most, threshold, life)
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getMapState("entries", "number long", "request_id long, us long, unit array<double>")
-        self.next = handle.getValueState("next", "number long")
-
-    def take(self, key: tuple, ready: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        held, out = Entries(*self.settings), []
-        before = {k[0]: tuple(v) for k, v in self.entries.iterator()} if self.entries.exists() else {}
-        held.rows = [(n, r, us, np.asarray(v)) for n, (r, us, v) in sorted(before.items())]
-        held.number = self.next.get()[0] if self.next.exists() else 0
+    def take(self, key: str | None, held: tuple | None, ready: list[tuple], now: int) -> tuple[list[tuple], tuple, int | None]:
+        cache, out = Entries(*self.settings), []
+        if held:
+            cache.number, cache.rows = held[0], [(n, r, us, np.asarray(v)) for n, r, us, v in held[1]]
         for us, request, clears, vector in ready:
             if clears:
-                held.rows = []
-            entry, near = (None, None) if clears else held.ask(request, us, vector)
-            out.append((key[0], request, entry, near))
-        held.expire(now)
-        kept = {r[0] for r in held.rows}
-        for n in before.keys() - kept:
-            self.entries.removeKey((n,))
-        for n, r, us, v in held.rows:
-            if n not in before:
-                self.entries.updateValue((n,), (r, us, v.tolist()))
-        self.next.update((held.number,))
-        return out, held.rows[0][2] + held.life if held.rows else None
+                cache.rows = []
+            entry, near = (None, None) if clears else cache.ask(request, us, vector)
+            out.append((key, request, entry, near))
+        cache.expire(now)
+        kept = [(n, r, us, v.tolist()) for n, r, us, v in cache.rows]
+        return out, (cache.number, kept), cache.rows[0][2] + cache.life if cache.rows else None
 
 
 def answered(requests: DataFrame, most: int = MOST, threshold: float = THRESHOLD, life: float = LIFE, late: str = "10 minutes") -> DataFrame:

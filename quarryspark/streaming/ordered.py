@@ -1,8 +1,11 @@
 """Rows of an unordered stream in order, per key: the base of stateful processors that depend on the order.
 
-A key's rows wait in its list state until the watermark has passed them, when no earlier one can come any more; an event-time
-timer wakes the key then, and ``take`` gets them in the order of time and position. ``take`` may name a time to be woken at,
-for what is due when nothing more comes. State is what came within the watermark's delay, and what a processor keeps itself.
+Keys are dealt to ``LANES`` lanes, whose state is kept together: a call to the state store for each key and each row would cost more than the
+work. A lane's rows wait in its list state until the watermark has passed them, when no earlier one can come any more; an event-time
+timer wakes the lane then, and ``take`` gets each key's in the order of time and position, with what the key holds. ``take`` may name a
+time at which the key is woken, for what is due when nothing more comes. There is one timer a batch, for the lane's earliest row, and behind
+each call one for what comes next: as many calls as batches, however many rows come. State is what came within the
+watermark's delay, and what the keys hold; a task has one lane's waiting rows in memory.
 
 The state store is RocksDB, which such processors need; ``use_rocksdb`` sets it for a session.
 """
@@ -13,6 +16,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
@@ -20,53 +24,85 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _plain(v):
-    """A value of a pandas column as one of a row: NaN and NaT as None."""
-    return None if not hasattr(v, "__len__") and pd.isna(v) else v.item() if hasattr(v, "item") and not hasattr(v, "__len__") else v.tolist() if hasattr(v, "tolist") else v
+LANES = 256
 
 
-class InOrder(StatefulProcessor):
-    """Rows of key, us (event time in microseconds), pos and ``fields``; ``result`` is the schema of what comes out."""
+def _plain(c: pd.Series) -> list:
+    """The values of a column as those of rows: NaN and NaT as None."""
+    if c.dtype != object:
+        return c.astype(object).where(c.notna(), None).tolist()
+    return [v.tolist() if hasattr(v, "tolist") else None if not hasattr(v, "__len__") and pd.isna(v) else v for v in c]
+
 
-    fields, result = "", ""
+class InOrder(StatefulProcessor):
+    """Rows of key, us (event time in microseconds), pos and ``fields``; ``held`` is the schema of what a key holds, ``result`` of what comes out."""
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        """Open further state."""
+    fields, held, result = "", "", ""
 
-    def take(self, key: tuple, ready: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        """Rows out of the rows ``ready`` (us, pos, fields) up to the watermark ``now``, and when to wake the key at the latest (microseconds)."""
+    def take(self, key: str | None, held: tuple | None, ready: list[tuple], now: int) -> tuple[list[tuple], tuple, int | None]:
+        """Rows out of the rows ``ready`` (us, pos, fields) up to the watermark ``now``, what the key holds then, and when to wake it at the
+        latest (microseconds)."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"us long, pos long, {self.fields}")
-        self.columns = ["us", "pos", *(f.split()[0] for f in self.fields.split(", "))]
-        self.begin(handle)
+        self.waiting = handle.getListState("waiting", f"us long, pos long, key string, {self.fields}")
+        self.dues = handle.getListState("dues", "us long, key string")
+        self.state = handle.getMapState("held", "key string", self.held)
+        self.columns = ["us", "pos", "key", *(f.split()[0] for f in self.fields.split(", "))]
+        self.done: dict[int, int] = {}  # the watermark up to which a lane is finished: spares calls
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(map(_plain, r)) for b in rows for r in b[self.columns].itertuples(index=False)]
-        self.waiting.appendList(new)
-        for ms in {-(-us // 1000) for us, *_ in new}:
-            self.handle.registerTimer(ms)
+        self.done.pop(key[0], None)
+        least = None
+        for b in rows:
+            if len(b):
+                self.waiting.appendList(list(zip(*(_plain(b[c]) for c in self.columns), strict=True)))
+                first = int(b["us"].min())
+                least = first if least is None else min(least, first)
+        if least is not None:
+            self.handle.registerTimer(-(-least // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
+        if self.done.get(key[0]) == now:
+            return
+        self.done[key[0]] = now
         waiting = [tuple(r) for r in self.waiting.get()]
-        ready = sorted((r for r in waiting if r[0] <= now), key=lambda r: r[:2])
-        out, due = self.take(key, ready, now)
-        if len(ready) < len(waiting):
-            self.waiting.put([r for r in waiting if r[0] > now])
-        elif waiting:
-            self.waiting.clear()
-        if due is not None:
-            self.handle.registerTimer(max(-(-due // 1000), now // 1000 + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in self.result.split(", ")])
+        dues = {k: us for us, k in self.dues.get()}
+        ready: dict[str | None, list[tuple]] = {k: [] for k, us in dues.items() if us <= now}
+        rest = []
+        for r in waiting:
+            if r[0] <= now:
+                ready.setdefault(r[2], []).append((*r[:2], *r[3:]))
+            else:
+                rest.append(r)
+        out, before = [], dict(dues)
+        for k, rows in ready.items():
+            name = ("" if k is None else f"={k}",)
+            held = tuple(self.state.getValue(name)) if self.state.containsKey(name) else None
+            found, held, due = self.take(k, held, sorted(rows, key=lambda r: r[:2]), now)
+            out += found
+            self.state.updateValue(name, held)
+            dues.pop(k, None)
+            if due is not None:
+                dues[k] = max(due, now + 1)
+        if dues != before:
+            self.dues.put([(us, k) for k, us in dues.items()]) if dues else self.dues.clear()
+        if len(rest) < len(waiting):
+            self.waiting.put(rest) if rest else self.waiting.clear()
+        coming = [r[0] for r in rest] + list(dues.values())
+        if coming:
+            self.handle.registerTimer(max(-(-min(coming) // 1000), now // 1000 + 1))
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.result.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def in_order(rows: DataFrame, processor: InOrder) -> DataFrame:
-    """``rows`` (key, us, pos, fields), with a watermark, through ``processor``."""
-    return rows.groupBy("key").transformWithStateInPandas(processor, processor.result, "Append", "EventTime")
+def in_order(rows: DataFrame, processor: InOrder, lanes: int = LANES) -> DataFrame:
+    """``rows`` (key string, us, pos, fields), with a watermark, through ``processor``."""
+    laned = rows.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
+    return laned.groupBy("lane").transformWithStateInPandas(processor, processor.result, "Append", "EventTime")

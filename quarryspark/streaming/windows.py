@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from .ordered import InOrder, in_order
 
@@ -20,30 +19,27 @@ class DurationWindows(InOrder):
     """Segments (key, us, pos, duration in seconds, text) to WINDOWS."""
 
     fields, result = "duration double, text string", WINDOWS
+    held = "n int, texts array<string>, start double, end double"
 
     def __init__(self, limit: float):
         self.limit = limit
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "n int, texts array<string>, start double, end double")
-
-    def take(self, key: tuple, ready: list[tuple], now: int) -> tuple[list[tuple], int | None]:
-        n, texts, start, end = self.window.get() if self.window.exists() else (0, [], 0.0, 0.0)
-        texts, out = list(texts or []), []
+    def take(self, key: str | None, held: tuple | None, ready: list[tuple], now: int) -> tuple[list[tuple], tuple, int | None]:
+        n, texts, start, end = held or (0, [], 0.0, 0.0)
+        texts, out = list(texts), []
         for us, _, duration, text in ready:
             stop = us / 1e6 + (duration or 0.0)
             if texts and stop - start >= self.limit:
-                out.append((key[0], n, " ".join(texts), round(start), round(end)))
+                out.append((key, n, " ".join(texts), round(start), round(end)))
                 n, texts = n + 1, []
             if not texts:
                 start = us / 1e6
             texts.append(text or "")
             end = stop
         if texts and now / 1e6 - start >= self.limit:  # any later segment would close it
-            out.append((key[0], n, " ".join(texts), round(start), round(end)))
+            out.append((key, n, " ".join(texts), round(start), round(end)))
             n, texts = n + 1, []
-        self.window.update((n, texts, start, end))
-        return out, int((start + self.limit) * 1e6) + 1 if texts else None
+        return out, (n, texts, start, end), int((start + self.limit) * 1e6) + 1 if texts else None
 
 
 def unordered_windows(segments: DataFrame, limit: float = 60.0, late: str = "10 minutes") -> DataFrame:
