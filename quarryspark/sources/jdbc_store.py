@@ -116,12 +116,18 @@ class JdbcStore:
             return self.execute(f"DELETE FROM {_quoted(table)} WHERE EXISTS (SELECT 1 FROM {_quoted(stage)} s WHERE {same})")[0]
 
 
+def has_database(spark: SparkSession) -> bool:
+    """Whether ``local_database`` knows a database that all tasks reach; see ``file_store`` for where none is."""
+    master = spark.sparkContext.master
+    return bool(spark.conf.get("quarryspark.jdbc.url", None)) or (master.startswith("local") and not master.startswith("local-cluster"))
+
+
 def local_database(spark: SparkSession, name: str) -> str:
     """The URL of the session's database (``quarryspark.jdbc.url``), or where all tasks run in this process, of one in its memory."""
     url = spark.conf.get("quarryspark.jdbc.url", None)
     if url:
         return url
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    if not has_database(spark):
         raise ValueError("set quarryspark.jdbc.url to a database that the driver and all executors reach")
     spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.field", "java.lang.System.err")
     return f"jdbc:derby:memory:{name};create=true"
