@@ -8,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions import text as T
@@ -15,6 +16,8 @@ from ..functions import text as T
 PDF_SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", " ", "")
 WEB_SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 SIZE, OVERLAP = 1500, 200
+#: Texts whose chunks a task holds at once.
+STEP = 64
 
 
 def _pieces(text: str, a: int, b: int, separators: tuple[str, ...], size: int) -> Iterator[tuple[int, int]]:
@@ -62,15 +65,23 @@ def split_text(text: str, separators: tuple[str, ...] = PDF_SEPARATORS, size: in
 
 
 def split_segments(segments: DataFrame, separators: tuple[str, ...] = PDF_SEPARATORS, size: int = SIZE, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
-    """All columns of ``segments``, with ``text`` split: a row per chunk with chunk_in_segment and char_start."""
-
-    @F.pandas_udf("array<struct<text: string, char_start: int>>")
-    def split(s: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": c, "char_start": at} for c, at in split_text(t, separators, size, overlap)] if isinstance(t, str) else [] for t in s])
+    """All columns of ``segments``, with ``text`` split: a row per chunk with chunk_in_segment and char_start, STEP texts at a time."""
 
     kept = [c for c in segments.columns if c != text]
-    rows = segments.withColumn("_chunks", split(F.col(text)))
-    return rows.select(*kept, F.posexplode("_chunks").alias("chunk_in_segment", "_c")).select(*kept, "chunk_in_segment", F.col("_c.text").alias(text), F.col("_c.char_start").alias("char_start"))
+    rows = segments.select(*kept, text)
+    out = StructType([*rows.schema.fields[:-1], StructField("chunk_in_segment", IntegerType()), StructField(text, StringType()), StructField("char_start", IntegerType())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, STEP):
+                part = b.slice(a, STEP)
+                found = [(i, n, c, at) for i, t in enumerate(part.column(len(kept)).to_pylist()) if t for n, (c, at) in enumerate(split_text(t, separators, size, overlap))]
+                if found:
+                    row, n, chunk, at = zip(*found, strict=True)
+                    taken = [c.take(pa.array(row, pa.int32())) for c in part.columns[: len(kept)]]
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(n, pa.int32()), pa.array(chunk, pa.string()), pa.array(at, pa.int32())], out.names)
+
+    return rows.mapInArrow(split, out)
 
 
 def chunk_documents(segments: DataFrame, separators: tuple[str, ...] = PDF_SEPARATORS, by: str = "source_id") -> DataFrame:
