@@ -24,6 +24,8 @@ from pyspark.sql.window import Window as W
 from ..sources.scratch import drop_stored, stored
 
 BLOCK, LEAD = 128, 6
+#: Words of queries that are sent to all tasks at most, and their bytes.
+SENT_TERMS, SENT_BYTES = 200_000, 8_000_000
 #: Scores that differ by less are equal.
 SLACK = 1e-8
 
@@ -31,12 +33,14 @@ SLACK = 1e-8
 class PostingTable:
     """``flat`` (term, doc, weight), ``blocks`` (term, most, least, n, docs, weights), ``terms`` (term, df, top), stored.
 
-    ``docs`` has doc (an identifier of its own per row) and w (array of words). Without ``counted`` each word weighs 1.
+    ``docs`` has doc (an identifier of its own per row) and w (array of words). Without ``counted`` each word weighs 1. With ``asked``
+    (term, different ones) the table holds the postings of those words only; all words count for the lengths.
     """
 
-    def __init__(self, docs: DataFrame, k1: float, b: float, counted: bool = True):
+    def __init__(self, docs: DataFrame, k1: float, b: float, counted: bool = True, asked: DataFrame | None = None):
         kind = docs.schema["doc"].dataType.simpleString()
-        tf = docs.select("doc", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
+        tf = docs.select("doc", F.size("w").alias("len"), F.explode("w").alias("term"))
+        tf = (tf if asked is None else tf.join(asked, "term", "left_semi")).groupBy("doc", "len", "term").agg(F.count("*").alias("tf"))
         n, mean = docs.agg(F.count("*"), F.avg(F.size("w"))).first()
         if counted:
             tf = stored(tf, "term-counts")
@@ -121,9 +125,12 @@ class PostingTable:
 
 def top_by_postings(queries: DataFrame, docs: DataFrame, k: int, k1: float, b: float, query_id: str, doc_id: str, words: Column, query_words: Column, counted: bool) -> DataFrame:
     """query, doc, score: the ``k`` best documents of each query, stored. Documents with one identifier count as one."""
-    table = PostingTable(docs.select(F.col(doc_id).alias("doc"), words.alias("w")), k1, b, counted)
     asked = queries.select(F.col(query_id).alias("query"), F.array_distinct(query_words).alias("w"))
+    terms = stored(asked.select(F.explode("w").alias("term")).distinct(), "asked-terms")
+    few = terms.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    sent = F.broadcast(terms) if few[0] <= SENT_TERMS and few[1] <= SENT_BYTES else terms
+    table = PostingTable(docs.select(F.col(doc_id).alias("doc"), words.alias("w")), k1, b, counted, sent)
     found, report = table.search(asked, k)
     table.drop()
-    drop_stored(report)
+    drop_stored(report, terms)
     return found.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "score")
