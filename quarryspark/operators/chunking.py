@@ -85,8 +85,13 @@ def split_segments(segments: DataFrame, separators: tuple[str, ...] = PDF_SEPARA
 
 
 def chunk_documents(segments: DataFrame, separators: tuple[str, ...] = PDF_SEPARATORS, by: str = "source_id") -> DataFrame:
-    """Chunks of paged segments; blank ones go first, then ``chunk_index`` runs through all segments of a source."""
+    """Chunks of paged segments; blank ones go first, then ``chunk_index`` runs through all segments of a source.
+
+    Where no source has two segments, a segment's own numbers are that, and no text is shuffled.
+    """
     chunks = split_segments(segments.where(~T.is_blank(F.col("text"))), separators).where(~T.is_blank(F.col("text")))
+    if segments.groupBy(by).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return chunks.withColumn("chunk_index", F.col("chunk_in_segment"))
     order = W.partitionBy(by).orderBy("seg_idx", "chunk_in_segment")
     return chunks.withColumn("chunk_index", F.row_number().over(order) - 1)
 

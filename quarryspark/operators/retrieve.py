@@ -6,18 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..schemas import SOURCE_TYPES
-from .pivots import nearest_by_pivots
+from ..sources.scratch import stored
+from .filters import may_hit
 
 K = 5
-#: Queries that may be sent to all tasks (at 384 dimensions 25 MB); more are dealt out, see ``pivots``.
+#: Queries that are sent to all tasks at once (at 384 dimensions 25 MB).
 BLOCK = 8192
-#: Queries whose distances to a batch are held at once.
-SLICE = 512
+#: Queries and vectors of one matrix product, and pairs whose exact distances are held at once.
+SLICE, ROWS, PAIRS = 512, 4096, 20_000
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    """Vectors (lists of one length, none of them null) as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
 def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -35,52 +47,126 @@ def _least(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(d, at, 1), np.take_along_axis(ids, at, 1)
 
 
+def _first(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` least distances of each query, ties by id (null first), in that order."""
+    at = np.lexsort((pd.factorize(ids, sort=True)[0], d, q))
+    return at[np.arange(len(at)) - np.searchsorted(q[at], q[at]) < k]
+
+
+class _Best:
+    """The ``k`` nearest rows seen so far for each query (unit vectors, or zero).
+
+    Products in single precision tell which rows may be among them; distances of those alone are computed exactly, pair by pair, so that equal
+    vectors have equal ones wherever they stand.
+    """
+
+    def __init__(self, units: np.ndarray, k: int):
+        self.units, self.single, self.k = units, units.astype(np.float32), k
+        self.blank = ~units.any(axis=1)  # as far from all rows
+        self.low = np.where(self.blank, np.inf, -np.inf).astype(np.float32)  # what a row's product must reach
+        self.slack = np.float32((units.shape[1] + 4) * 2.0**-23)  # twice the rounding of a product
+        self.q, self.d, self.ids = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)
+
+    def add(self, v: np.ndarray, ids: np.ndarray) -> None:
+        norm = np.linalg.norm(v, axis=1)
+        there = np.isfinite(norm) & (norm > 0)
+        v, ids, norm = v[there], ids[there], norm[there]
+        if not len(v):
+            return
+        # of equal vectors only the k least ids can be among the nearest
+        same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+        if same.max() + 1 < len(v):
+            at = np.sort(_first(same, np.zeros(len(v)), ids, self.k))
+            v, ids, norm = v[at], ids[at], norm[at]
+        for a in range(0, len(v), ROWS):
+            self._add(v[a : a + ROWS], ids[a : a + ROWS], norm[a : a + ROWS])
+
+    def _add(self, v: np.ndarray, ids: np.ndarray, norm: np.ndarray) -> None:
+        single, q, d, names = (v / norm[:, None]).astype(np.float32).T, [self.q], [self.d], [self.ids]
+        blank = np.flatnonzero(self.blank)
+        if len(blank):
+            least = _least(np.ones((1, len(v))), ids, self.k)[1][0]
+            q.append(np.repeat(blank, len(least)))
+            d.append(np.ones(len(blank) * len(least)))
+            names.append(np.tile(least, len(blank)))
+        for a in range(0, len(self.units), SLICE):
+            product = self.single[a : a + SLICE] @ single
+            hit = product >= self.low[a : a + SLICE, None]
+            many = np.flatnonzero(hit.sum(axis=1) > 8 * self.k)
+            if len(many):
+                hit[many] &= product[many] >= np.partition(product[many], -self.k, axis=1)[:, -self.k, None] - self.slack
+            row, at = np.nonzero(hit)
+            for b in range(0, len(row), PAIRS):
+                r, c = row[b : b + PAIRS] + a, at[b : b + PAIRS]
+                q.append(r)
+                d.append(1 - (self.units[r] * v[c]).sum(axis=1) / norm[c])
+                names.append(ids[c])
+        q, d, ids = np.concatenate(q), np.concatenate(d), np.concatenate(names)
+        keep = _first(q, d, ids, self.k)
+        self.q, self.d, self.ids = q[keep], d[keep], ids[keep]
+        last = np.flatnonzero((np.arange(len(keep)) - np.searchsorted(self.q, self.q) == self.k - 1) & ~self.blank[self.q])
+        self.low[self.q[last]] = (1 - self.d[last]).astype(np.float32) - self.slack
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "chunk_id", group_col: str = "source_type", query_col: str = "query_id") -> DataFrame:
     """query, group, id, distance, rank: the ``k`` nearest rows of each group for each query, ties by id.
 
-    ``vectors`` has id, group and embedding. Up to BLOCK queries are sent to the tasks: each keeps exactly ``k`` rows of its
-    batches per query and group, ties by id, from a matrix product; only those candidates are shuffled. More queries
-    are dealt out and meet the vectors by pivots. Both ways are exact. Queries without a vector are left out.
+    ``vectors`` has id, group and embedding. Some BLOCK queries are sent to the tasks: each keeps exactly ``k`` rows of its
+    batches per query and group, ties by id, from a matrix product; only those candidates are shuffled. More queries go in slices of that
+    size, and what one has found is stored before the next: the vectors are read once a slice, by as many tasks as there are
+    cores, and never shuffled, so disk grows with the queries alone. Queries without a vector are left out.
     """
     spark = vectors.sparkSession
     asked = queries.where("embedding is not null").select(query_col, "embedding")
-    few = asked.limit(BLOCK + 1).collect()  # the size that is sent is checked here
-    if len(few) > BLOCK:
-        return nearest_by_pivots(vectors, asked, k, id_col, group_col, query_col)
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    query_type = queries.schema[query_col].dataType.simpleString()
-    schema = f"{query_col} {query_type}, {group_col} {types[group_col]}, {id_col} {types[id_col]}, distance double"
-    if not few:
+    schema = f"{query_col} {queries.schema[query_col].dataType.simpleString()}, {group_col} {types[group_col]}, {id_col} {types[id_col]}, distance double"
+    slices = -(-asked.count() // BLOCK)
+    if not slices:
         return spark.createDataFrame([], schema + ", rank int")
-    matrix = np.array([r[1] for r in few], np.float64)
-    sent = spark.sparkContext.broadcast(([r[0] for r in few], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, unit = sent.value
+    rows = vectors.where("embedding is not null").select(id_col, group_col, "embedding")
+    if slices == 1:
+        return _nearest_slice(rows, asked, k, schema)[0]
+    rows = rows.coalesce(spark.sparkContext.defaultParallelism)
+    number = F.pmod(F.xxhash64(query_col, "embedding"), F.lit(slices))
+    out = None
+    for s in range(slices):
+        found, sent = _nearest_slice(rows, asked.where(number == s), k, schema)
+        found = stored(found, "nearest")
+        if sent is not None:
+            sent.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _nearest_slice(rows: DataFrame, asked: DataFrame, k: int, schema: str) -> tuple[DataFrame, Broadcast | None]:
+    """``nearest`` for queries (query, embedding) of a bounded number, and what was sent for it. ``rows`` has id, group, embedding."""
+    spark = rows.sparkSession
+    (query_col, id_col), group_col = (asked.columns[0], rows.columns[0]), rows.columns[1]
+    few = asked.toArrow().combine_chunks()  # its size is checked by the caller
+    if not few.num_rows:
+        return spark.createDataFrame([], schema + ", rank int"), None
+    keys, matrix = few.column(0).combine_chunks(), few.column(1).combine_chunks()
+    sent = spark.sparkContext.broadcast((keys, _units(_flat(matrix))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, units = sent.value
         kept: dict = {}
+        kinds = None
         for b in batches:
-            for group, at in b.groupby(group_col, dropna=False, sort=False).indices.items():
-                v = np.stack(b["embedding"].to_numpy()[at]).astype(np.float64)
-                ids = b[id_col].to_numpy()[at]
-                norm = np.linalg.norm(v, axis=1)
-                found = []
-                for q in range(0, len(keys), SLICE):
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        d = 1 - (unit[q : q + SLICE] @ v.T) / norm
-                    d[:, norm == 0] = np.inf
-                    found.append(_least(d, ids, k))
-                d, ids = (np.vstack(x) for x in zip(*found, strict=True))
-                if group in kept:
-                    d, ids = _least(np.hstack([kept[group][0], d]), np.hstack([kept[group][1], ids]), k)
-                kept[group] = (d, ids)
-        for group, (d, ids) in kept.items():
-            row, col = np.nonzero(np.isfinite(d))
-            whose = np.full(len(row), None if pd.isna(group) else group, object)
-            yield pd.DataFrame({query_col: np.array(keys)[row], group_col: whose, id_col: ids[row, col], "distance": d[row, col]})
-
-    found = vectors.where("embedding is not null").select(id_col, group_col, "embedding").mapInPandas(best, schema)
+            kinds = b.schema.types
+            groups = np.array([*b.column(1).to_pylist(), None], object)[:-1]
+            ids = np.array([*b.column(0).to_pylist(), None], object)[:-1]
+            code, names = pd.factorize(groups)
+            for c in np.unique(code):
+                at = np.flatnonzero(code == c)
+                name = None if c < 0 else names[c]
+                kept.setdefault(name, _Best(units, k)).add(_flat(b.column(2).take(pa.array(at))), ids[at])
+        for name, found in kept.items():
+            columns = [keys.take(pa.array(found.q)), pa.array([name] * len(found.q), kinds[1]), pa.array(found.ids.tolist(), kinds[0]), pa.array(found.d)]
+            yield pa.RecordBatch.from_arrays(columns, [query_col, group_col, id_col, "distance"])
+
     w = W.partitionBy(query_col, group_col).orderBy("distance", id_col)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.mapInArrow(best, schema).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k), sent
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int = K, enforce_user_sources: bool = False) -> DataFrame:
@@ -106,9 +192,13 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = K, enforce_user_sou
     pairs = listed.join(vectors.select("chunk_id", "source_id", "source_type", F.col("embedding").alias("_v")), ["source_type", "source_id"])
     pairs = pairs.join(q.select("query_id", F.col("embedding").alias("_q")), "query_id").withColumn("distance", cosine_distance(F.col("_v"), F.col("_q"))).where("distance is not null")
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "source_type").orderBy("distance", "chunk_id"))).where(F.col("rank") <= k)
-    found = found.unionByName(ranked.select(*found.columns))
-    full = found.join(chunks.drop("embedding", "source_type"), "chunk_id")
-    return first_of_equal(full, ["query_id", "text"], ["source_pos", "rank"])
+    found = stored(found.unionByName(ranked.select(*found.columns)), "retrieved")
+    hits = found.select("chunk_id").distinct()
+    # only texts of chunks that were found are shuffled
+    texts = may_hit(chunks.drop("embedding", "source_type"), hits, F.xxhash64("chunk_id"), hits.count())
+    full = found.join(texts, "chunk_id")
+    # dealt out by the query once, for the texts of one and for lists of them
+    return first_of_equal(full.repartition("query_id"), ["query_id", "text"], ["source_pos", "rank"])
 
 
 def first_of_equal(rows: DataFrame, same: list[str], order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators.context import with_context
+from ..operators.context import context, with_context
 from ..operators.retrieve import K, retrieve, retrieved_lists
 from ..sources.models import ChatModel, Embedder, completed, context_critic, echo_planner, embedded, first_context_answer, hashing_embedder
 from ..sources.scratch import drop_stored, stored
@@ -39,14 +39,14 @@ def _pass(state: DataFrame, chunks: DataFrame, models: Models, k: int, last: boo
     prompt = R.prompt(R.SYNTHESIZER_PROMPT, query=F.col("query"), context=F.col("context"))
     answered = answered.withColumn("answer", completed(prompt, models.synthesizer, ANSWER_TOKENS)).withColumn("iteration", F.col("iteration") + 1)
     if last:  # no critic is asked any more
-        out = stored(answered.withColumns({"needs_replan": F.lit(False), "critic_feedback": F.lit("")}), "agent-last")
+        out = stored(answered.withColumns({"needs_replan": F.lit(False), "critic_feedback": F.lit("")}).drop("context"), "agent-last")
         drop_stored(planned)
-        return out
+        return out.withColumn("context", context(F.col("retrieved_chunks")))
     verdict = answered.withColumn("_reply", completed(R.prompt(R.CRITIC_PROMPT, query=F.col("query"), answer=F.col("answer")), models.critic, CRITIC_TOKENS))
     poor, feedback = R.critic_reply(F.col("_reply"))
-    out = stored(verdict.withColumns({"needs_replan": poor, "critic_feedback": feedback}).drop("_reply"), "agent-first")
+    out = stored(verdict.withColumns({"needs_replan": poor, "critic_feedback": feedback}).drop("_reply", "context"), "agent-first")
     drop_stored(planned)
-    return out
+    return out.withColumn("context", context(F.col("retrieved_chunks")))
 
 
 def answer(queries: DataFrame, chunks: DataFrame, models: Models | None = None, k: int = K, enforce_user_sources: bool = False) -> DataFrame:
@@ -55,7 +55,8 @@ def answer(queries: DataFrame, chunks: DataFrame, models: Models | None = None,
     ``queries`` has query_id, query, and may have sources and source_ids (arrays). The planner decides which sources
     are searched; with ``enforce_user_sources`` only among those that the user names. Queries whose first answer
     is poor go through a second pass with the rewritten query and the feedback; the others don't. Each pass is stored, so a
-    model is asked once a query whatever is lost, and what isn't needed any more is deleted; the result is stored, too.
+    model is asked once a query whatever is lost, and what isn't needed any more is deleted. The result reads both passes; contexts,
+    which their chunks give, are stored in none.
     """
     models = models or Models()
     there = set(queries.columns)
@@ -67,9 +68,7 @@ def answer(queries: DataFrame, chunks: DataFrame, models: Models | None = None,
     first = _pass(state, chunks, models, k, False, enforce_user_sources)
     again = first.where(R.replan(F.col("needs_replan"), F.col("iteration")))
     second = _pass(again.select(*state.columns), chunks, models, k, True, enforce_user_sources)
-    out = stored(first.where(~R.replan(F.col("needs_replan"), F.col("iteration"))).unionByName(second.select(*first.columns)), "agent-answers")
-    drop_stored(first, second)
-    return out
+    return first.where(~R.replan(F.col("needs_replan"), F.col("iteration"))).unionByName(second.select(*first.columns))
 
 
 def messages(answers: DataFrame, at, turns: DataFrame | None = None) -> DataFrame:
