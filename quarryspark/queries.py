@@ -397,8 +397,10 @@ SELECT query_id, doc_id, round(score, 6)::DOUBLE AS score, rank FROM r WHERE ran
 def rrf(spark, sf_dir):
     """BM25 and the count of shared words, fused by reciprocal ranks."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    overlap = ranking.shared_words(q, spread(table(spark, sf_dir, "documents").select("doc_id", "text")), 15, doc_id="doc_id")
-    out = ranking.fused([_bm25(spark, sf_dir, 15), overlap], 5, doc_id="doc_id")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = ranking.word_counts(q, d, doc_id="doc_id")
+    rankings = [ranking.bm25(q, d, 15, doc_id="doc_id", counts=counts), ranking.shared_words(q, d, 15, doc_id="doc_id", counts=counts)]
+    out = ranking.fused(rankings, 5, doc_id="doc_id")
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
