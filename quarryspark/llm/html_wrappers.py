@@ -1,15 +1,14 @@
 """Operator 6, HTML main text by inferred wrappers: union-free regular expressions per host.
 
-A page is a stream of tags and texts. From a bounded sample of a host's pages (``SAMPLE`` pages, by the least
-hash in as many buckets) one expression is inferred that generates them all: streams are aligned tag by tag, and a
-mismatch is resolved
+A page is a stream of tags and texts. From all different pages of a host one expression is inferred that generates them: streams
+are aligned tag by tag, and a mismatch is resolved
 
 * between texts: into a text slot,
 * between a tag that starts one more item of the kind just closed and something else: into a repeated group,
 * between other tags: into an optional group, found by looking ahead in both streams (longest common run of tags).
 
 The expression says where the article is: from the root on, the element that holds ``SHARE`` of the text in slots,
-optional and repeated groups (link texts don't count; texts that nearly all sampled pages have at one place are template),
+optional and repeated groups (link texts don't count; texts that nearly all pages have at one place are template),
 down to the smallest one. Boxes without a class are told apart by what they hold: links, text or blocks. Names are the
 tie-break: where no element holds that share, an ``article`` or ``main`` element is taken, and elements named as none
 of the article count only if there is nothing else. A page's text is read from that place; template texts at their
@@ -17,9 +16,12 @@ place go, and so do menus, headers, footers, sidebars, notices, adverts, forms a
 element, role, or a word of class or id can tell from the article. Pages whose host has no expression, or that do not
 have its place, are judged by the same rules on their own stream.
 
-Scale: inference gathers SAMPLE pages per host at most, found behind a bitmap filter. Of an expression only the place
-and the template texts go to the pages: by broadcast as long as all hosts' have SENT_BYTES together at most, else by
-a join on the host, where hosts with a large share of all pages leave the shuffle. Scanning is linear in the page.
+Scale: each page is parsed once for its tree without texts: labels, characters of texts, and 64-bit digests of texts with
+their place, which are counted per host. Trees are folded in two steps, of the square root of a host's pages each, in the order of hashes, so
+that no task holds a host and the order of rows doesn't matter. An expression grows with the kinds of elements of a host's pages, not
+with their number. Of it only the place and the digests of template texts go to the pages: by broadcast as long as all
+hosts' have SENT_BYTES together at most, else by a join on the host, where hosts with a large share of all pages leave the shuffle.
+Scanning is linear in the page.
 
 Defined cases: null html is empty and gives the empty text; null or odd urls have no host and no expression;
 malformed markup is read as far as it goes (an unclosed comment or script runs to the end); repeated rows each
@@ -29,22 +31,25 @@ get a row; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html as entities
 import json
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import left_join_groups, may_hit, stored, table
+from .common import left_join_groups, stored, table
 
-SAMPLE, SHARE = 8, 0.7
+SHARE = 0.7
+SAMPLE = 8  # for callers of ``infer`` that show it some pages only; the operator shows all
 SENT_BYTES = 16_000_000
-TEMPLATE = 0.8  # a text is template if this share of the sampled pages has it, and two at least
+TEMPLATE = 0.8  # a text is template if this share of the pages has it, and two at least
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -350,29 +355,79 @@ def place(root: Node, least: int) -> list[str]:
         path.append(node.label)
 
 
-def infer(pages: list[str]) -> dict:
-    """The wrapper of some pages of one host: expression, place of the article, constant texts outside named elements."""
-    pages = list(dict.fromkeys(pages))
-    roots = [generalised(tree(p), 1 << i) for i, p in enumerate(pages)]
-    wrapper = roots[0]
-    for r in roots[1:]:
-        wrapper = merged(wrapper, r)
-    least = max(2, math.ceil(TEMPLATE * len(pages))) if len(pages) > 1 else 0
-    settle(wrapper, least)
-    template: list[tuple[str, str]] = []
-
-    def walk(node: Node, path: str) -> None:
+def digest(path: str, text: str) -> int:
+    """A text at its place, in 64 bits."""
+    return int.from_bytes(hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _texts(node: Node, path: str = "") -> Iterator[tuple[Node, str, str]]:
+    """Constant texts outside of elements that are none of the article, with their place."""
+    for kid in node.kids:
+        if kid.label == "#text":
+            if kid.text is not None and kid.text.strip():
+                yield kid, path, " ".join(kid.text.split())
+        elif not kid.other:
+            yield from _texts(kid, f"{path}/{kid.label}")
+
+
+def packed(node: Node) -> list:
+    """A tree as lists: [label, flags, kids] of elements, [flags, weight, text] of texts."""
+    flags = node.optional + 2 * node.repeated + 4 * node.other + 8 * node.soft
+    return [flags, node.weight, node.text] if node.label == "#text" else [node.label, flags, [packed(k) for k in node.kids]]
+
+
+def unpacked(made: list, template: set[int] | None = None) -> Node:
+    """The tree of ``packed``. With ``template`` its texts are digests: those are template and weigh nothing, others are slots."""
+    if isinstance(made[0], str):
+        node, flags = Node(made[0]), made[1]
+        node.kids = [unpacked(k, template) for k in made[2]]
+    else:
+        flags, weight, text = made
+        if template is not None:
+            text, weight = (str(text), 0) if text in template else (None, weight)
+        node = Node("#text", text=text, weight=weight)
+    node.optional, node.repeated, node.other, node.soft = bool(flags & 1), bool(flags & 2), bool(flags & 4), bool(flags & 8)
+    return node
+
+
+def page_tree(page: str) -> tuple[list, dict[int, str]]:
+    """The expression of one page, packed, with digests in place of its texts; and these texts."""
+    root = generalised(tree(page))
+    known = {}
+    for node, path, text in [*_texts(root)]:
+        node.pages = digest(path, text)
+        known[node.pages] = text
+
+    def strip(node: Node) -> None:
         for kid in node.kids:
             if kid.label == "#text":
-                if _template(kid, least) and kid.text.strip():
-                    template.append((path, " ".join(kid.text.split())))
-            elif not kid.other:
-                walk(kid, f"{path}/{kid.label}")
+                kid.text = kid.pages or None
+            else:
+                strip(kid)
 
-    where = place(wrapper, least)
-    if least and not any(x.partition(".")[0] in ("article", "main") for x in where):
-        walk(wrapper, "")
-    return {"expression": expression(wrapper), "place": where, "constant": sorted({t for _, t in template}), "template": sorted(set(template))}
+    strip(root)
+    return packed(root), known
+
+
+def _wrapper(root: Node, template: set[int]) -> dict:
+    """Expression, place and template (digests) of all pages' tree, which is settled."""
+    settle(root, 0)
+    where = place(root, 0)
+    known = set() if any(x.partition(".")[0] in ("article", "main") for x in where) else template
+    return {"expression": expression(root), "place": where, "template": sorted(known)}
+
+
+def infer(pages: list[str]) -> dict:
+    """The wrapper of some pages of one host: expression, place of the article, constant texts outside named elements."""
+    trees, known = zip(*map(page_tree, dict.fromkeys(pages)), strict=True)
+    least = max(2, math.ceil(TEMPLATE * len(trees)))
+    count = Counter(i for k in known for i in k)
+    template = {i for i, n in count.items() if n >= least}
+    root = reduce(merged, [unpacked(t, template) for t in trees])
+    found = _wrapper(root, template)
+    names = {str(i): text for k in known for i, text in k.items() if i in template}
+    there = sorted({names[node.text] for node, _, _ in _texts(root)}) if found["template"] else []
+    return found | {"constant": there}
 
 
 def _at(root: Node, path: list[str]) -> list[Node]:
@@ -394,7 +449,7 @@ def main_text(page: str, wrapper: dict | None) -> str:
         where = place(own, 0)
         places = _at(root, where)
     settle(root, 0)
-    template = {tuple(x) for x in wrapper["template"]} if wrapper else set()
+    template = set(wrapper["template"]) if wrapper else set()
     blocks: list[str] = []
     now: list[str] = []
     above: list[str] = []  # labels from the root to the text in hand
@@ -402,7 +457,7 @@ def main_text(page: str, wrapper: dict | None) -> str:
     def flush() -> None:
         text = " ".join("".join(now).split())
         now.clear()
-        if text and ("".join(f"/{x}" for x in above), text) not in template:
+        if text and not (template and digest("".join(f"/{x}" for x in above), text) in template):
             blocks.append(text)
 
     # without recursion: the stack has elements to enter, and None where one ends
@@ -438,19 +493,42 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
 def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, size (its pages), expression, wrapper (place and template texts as JSON): one row per host."""
-    rows = pages.where("host is not null").withColumn("h", F.xxhash64("page_id", "html"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("size"))
-    least = rows.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("b")).agg(F.min("h").alias("h")).select("host", "h")
-    least = stored(least, "wrapper-samples")
-    sample = may_hit(rows.select("host", "h", "html"), least, F.col("h"), least.count()).join(least, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
-
-    def run(_: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        found = infer(group.sort_values("h")["html"].tolist())
+    """host, size (its pages), expression, wrapper (place and template texts as JSON): one row per host, from all its pages."""
+    rows = pages.where("host is not null")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [page_tree(p) for p in b["html"]]
+            yield pd.DataFrame({"host": b["host"], "h": b["h"], "tree": [json.dumps(t, separators=(",", ":")) for t, _ in found], "items": [list(k) for _, k in found]})
+
+    trees = rows.select("host", F.xxhash64("html").alias("h"), "html").mapInPandas(parse, "host string, h long, tree string, items array<long>")
+    trees = stored(trees.dropDuplicates(["host", "h"]), "wrapper-trees")
+    sizes = trees.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = trees.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count("*").alias("n"))
+    known = counts.where("n > 1").join(sizes, "host").where(F.col("n") >= F.ceil(F.lit(TEMPLATE) * F.col("pages")))
+    known = known.groupBy("host").agg(F.sort_array(F.collect_list("item")).alias("template"))
+    hosts = stored(sizes.join(known, "host", "left").select("host", "pages", F.coalesce("template", F.array().cast("array<long>")).alias("template")), "wrapper-templates")
+    dealt = trees.select("host", "h", "tree", F.encode("host", "UTF-8").alias("key"))
+    groups = hosts.select(F.encode("host", "UTF-8").alias("key"), "pages", "template")
+    if (hosts.agg(F.sum(F.size("template") * 8 + F.octet_length("host"))).first()[0] or 0) <= SENT_BYTES:
+        dealt = dealt.join(F.broadcast(groups), "key")
+    else:
+        dealt = left_join_groups(dealt, groups, "key", "pages", trees.count())
+    dealt = dealt.withColumn("part", F.pmod("h", F.ceil(F.sqrt("pages")).cast("long"))).drop("key", "pages")
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        template = set(group["template"].iloc[0])
+        root = reduce(merged, (unpacked(json.loads(t), template) for t in group.sort_values("h")["tree"]))
+        return group.iloc[:1][["host", "part", "template"]].assign(tree=json.dumps(packed(root), separators=(",", ":")))
+
+    def finish(group: pd.DataFrame) -> pd.DataFrame:
+        found = _wrapper(reduce(merged, (unpacked(json.loads(t)) for t in group.sort_values("part")["tree"])), {int(x) for x in group["template"].iloc[0]})
         sent = json.dumps({k: found[k] for k in ("place", "template")})
         return pd.DataFrame({"host": [group["host"].iloc[0]], "expression": [found["expression"]], "wrapper": [sent]})
 
-    return sample.groupBy("host").applyInPandas(run, "host string, expression string, wrapper string").join(sizes, "host")
+    parts = dealt.groupBy("host", "part").applyInPandas(fold, "host string, part long, template array<long>, tree string")
+    found = parts.groupBy("host").applyInPandas(finish, "host string, expression string, wrapper string")
+    return found.join(rows.groupBy("host").agg(F.count("*").alias("size")), "host")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
