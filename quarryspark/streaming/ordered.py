@@ -14,10 +14,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegralType
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -25,10 +27,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 LANES = 256
+#: The column that says in bits which whole numbers of a row are null: in pandas one null would make floats of all of a batch's.
+ABSENT = "absent"
 
 
-def _plain(c: pd.Series) -> list:
-    """The values of a column as those of rows: NaN and NaT as None."""
+def _plain(c: pd.Series, absent: np.ndarray | None = None) -> list:
+    """The values of a column as those of rows: NaN, NaT and what is ``absent`` as None."""
+    if absent is not None and absent.any():
+        return c.astype(object).where(~absent, None).tolist()
     if c.dtype != object:
         return c.astype(object).where(c.notna(), None).tolist()
     return [v.tolist() if hasattr(v, "tolist") else None if not hasattr(v, "__len__") and pd.isna(v) else v for v in c]
@@ -44,12 +50,16 @@ class InOrder(StatefulProcessor):
         latest (microseconds)."""
         raise NotImplementedError
 
+    @classmethod
+    def names(cls) -> list[str]:
+        return ["us", "pos", "key", *(f.split()[0] for f in cls.fields.split(", "))]
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", f"us long, pos long, key string, {self.fields}")
         self.dues = handle.getListState("dues", "us long, key string")
         self.state = handle.getMapState("held", "key string", self.held)
-        self.columns = ["us", "pos", "key", *(f.split()[0] for f in self.fields.split(", "))]
+        self.columns = self.names()
         self.done: dict[int, int] = {}  # the watermark up to which a lane is finished: spares calls
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
@@ -57,7 +67,8 @@ class InOrder(StatefulProcessor):
         least = None
         for b in rows:
             if len(b):
-                self.waiting.appendList(list(zip(*(_plain(b[c]) for c in self.columns), strict=True)))
+                gone = [b[ABSENT].to_numpy() >> i & 1 > 0 if ABSENT in b else None for i in range(len(self.columns))]
+                self.waiting.appendList(list(zip(*(_plain(b[c], g) for c, g in zip(self.columns, gone, strict=True)), strict=True)))
                 first = int(b["us"].min())
                 least = first if least is None else min(least, first)
         if least is not None:
@@ -82,7 +93,7 @@ class InOrder(StatefulProcessor):
         for k, rows in ready.items():
             name = ("" if k is None else f"={k}",)
             held = tuple(self.state.getValue(name)) if self.state.containsKey(name) else None
-            found, held, due = self.take(k, held, sorted(rows, key=lambda r: r[:2]), now)
+            found, held, due = self.take(k, held, sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1])), now)
             out += found
             self.state.updateValue(name, held)
             dues.pop(k, None)
@@ -96,13 +107,16 @@ class InOrder(StatefulProcessor):
         if coming:
             self.handle.registerTimer(max(-(-min(coming) // 1000), now // 1000 + 1))
         if out:
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.result.split(", ")])
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in self.result.split(", ")], dtype=object)  # whole numbers beside None stay whole
 
     def close(self) -> None:
         pass
 
 
 def in_order(rows: DataFrame, processor: InOrder, lanes: int = LANES) -> DataFrame:
-    """``rows`` (key string, us, pos, fields), with a watermark, through ``processor``."""
+    """``rows`` (key string, us, pos, fields), with a watermark, through ``processor``. A row without a time has no place in the order and is left out."""
+    whole = [(i, c) for i, c in enumerate(processor.names()) if isinstance(rows.schema[c].dataType, IntegralType)]
+    absent = sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in whole), F.lit(0))
+    rows = rows.where("us is not null").withColumn(ABSENT, absent.cast("long")).withColumns({c: F.coalesce(c, F.lit(0)) for _, c in whole})
     laned = rows.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
     return laned.groupBy("lane").transformWithStateInPandas(processor, processor.result, "Append", "EventTime")

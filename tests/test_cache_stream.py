@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarryspark.streaming import cache, ordered
 
@@ -70,3 +71,24 @@ def test_stream_of_late_batches(spark, tmp_path):
     assert plain(r for r in out if r[0] != "end") == by_hand(rows, 3, 0.95, 900.0)
     if before:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_a_null_number_leaves_the_others_whole(spark):
+    from quarryspark.table_queries import streamed
+
+    big = 1 << 60
+    rows = [(k, at, None if i == 17 else big + i, clears, v) for k, at, i, clears, v in requests()]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("pos", F.col("request_id")).coalesce(1)
+    got = plain(map(tuple, streamed(df, lambda s, late: cache.answered(s, 3, 0.95, 900.0, late), cache.RESULT).collect()))
+    name = lambda i: None if i in (None, 17) else big + i
+    want = [(k, name(i), name(e), near) for k, i, e, near in by_hand(requests(), 3, 0.95, 900.0)]
+    assert len(got) == 300 and got == sorted(want, key=str)
+
+
+def test_a_stream_over_years_is_finished(spark):
+    from quarryspark.table_queries import streamed
+
+    rows = [("d", T0 + dt.timedelta(days=10 * k), k, False, [1.0, 0.1 * k]) for k in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("pos", F.col("request_id"))
+    got = streamed(df, lambda s, late: cache.answered(s, 3, 0.95, 900.0, late), cache.RESULT).collect()
+    assert sorted(r["request_id"] for r in got) == list(range(120))
