@@ -1,7 +1,7 @@
 """Rows of an unordered stream in order, per key: the base of stateful processors that depend on the order.
 
 Keys are dealt to ``LANES`` lanes, whose state is kept together: a call to the state store for each key and each row would cost more than the
-work. A lane's rows wait in its list state until the watermark has passed them, when no earlier one can come any more; an event-time
+work. A lane's rows wait in its list state, those of a batch as one element of compressed columns, until the watermark has passed them, when no earlier one can come any more; an event-time
 timer wakes the lane then, and ``take`` gets each key's in the order of time and position, with what the key holds. ``take`` may name a
 time at which the key is woken, for what is due when nothing more comes. There is one timer a batch, for the lane's earliest row, and behind
 each call one for what comes next: as many calls as batches, however many rows come. State is what came within the
@@ -14,8 +14,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -31,13 +32,12 @@ LANES = 256
 ABSENT = "absent"
 
 
-def _plain(c: pd.Series, absent: np.ndarray | None = None) -> list:
-    """The values of a column as those of rows: NaN, NaT and what is ``absent`` as None."""
-    if absent is not None and absent.any():
-        return c.astype(object).where(~absent, None).tolist()
-    if c.dtype != object:
-        return c.astype(object).where(c.notna(), None).tolist()
-    return [v.tolist() if hasattr(v, "tolist") else None if not hasattr(v, "__len__") and pd.isna(v) else v for v in c]
+def _block(rows: pa.Table) -> tuple[int, int, bytes]:
+    """Rows as one element of a list state: first and last time, and the rows in compressed columns."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(rows)
+    return pc.min(rows["us"]).as_py(), pc.max(rows["us"]).as_py(), sink.getvalue().to_pybytes()
 
 
 class InOrder(StatefulProcessor):
@@ -50,13 +50,12 @@ class InOrder(StatefulProcessor):
         latest (microseconds)."""
         raise NotImplementedError
 
-    @classmethod
-    def names(cls) -> list[str]:
-        return ["us", "pos", "key", *(f.split()[0] for f in cls.fields.split(", "))]
+    def names(self) -> list[str]:
+        return ["us", "pos", "key", *(f.split()[0] for f in self.fields.split(", "))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"us long, pos long, key string, {self.fields}")
+        self.waiting = handle.getListState("waiting", "first long, last long, rows binary")
         self.dues = handle.getListState("dues", "us long, key string")
         self.state = handle.getMapState("held", "key string", self.held)
         self.columns = self.names()
@@ -64,15 +63,15 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         self.done.pop(key[0], None)
-        least = None
+        blocks = []
         for b in rows:
             if len(b):
                 gone = [b[ABSENT].to_numpy() >> i & 1 > 0 if ABSENT in b else None for i in range(len(self.columns))]
-                self.waiting.appendList(list(zip(*(_plain(b[c], g) for c, g in zip(self.columns, gone, strict=True)), strict=True)))
-                first = int(b["us"].min())
-                least = first if least is None else min(least, first)
-        if least is not None:
-            self.handle.registerTimer(-(-least // 1000))
+                gone = [g if g is not None and g.any() else None for g in gone]
+                blocks.append(_block(pa.table({c: pa.array(b[c], mask=g, from_pandas=True) for c, g in zip(self.columns, gone, strict=True)})))
+        if blocks:
+            self.waiting.appendList(blocks)
+            self.handle.registerTimer(-(-min(first for first, *_ in blocks) // 1000))
         return iter([])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -80,15 +79,19 @@ class InOrder(StatefulProcessor):
         if self.done.get(key[0]) == now:
             return
         self.done[key[0]] = now
-        waiting = [tuple(r) for r in self.waiting.get()]
         dues = {k: us for us, k in self.dues.get()}
         ready: dict[str | None, list[tuple]] = {k: [] for k, us in dues.items() if us <= now}
-        rest = []
-        for r in waiting:
-            if r[0] <= now:
-                ready.setdefault(r[2], []).append((*r[:2], *r[3:]))
-            else:
-                rest.append(r)
+        rest, changed = [], False
+        for first, last, data in self.waiting.get():
+            if first > now:
+                rest.append((first, last, bytes(data)))
+                continue
+            changed, rows = True, pa.ipc.open_stream(pa.py_buffer(bytes(data))).read_all()
+            if last > now:
+                rest.append(_block(rows.filter(pc.greater(rows["us"], now))))
+                rows = rows.filter(pc.less_equal(rows["us"], now))
+            for us, pos, k, *more in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+                ready.setdefault(k, []).append((us, pos, *more))
         out, before = [], dict(dues)
         for k, rows in ready.items():
             name = ("" if k is None else f"={k}",)
@@ -101,7 +104,7 @@ class InOrder(StatefulProcessor):
                 dues[k] = max(due, now + 1)
         if dues != before:
             self.dues.put([(us, k) for k, us in dues.items()]) if dues else self.dues.clear()
-        if len(rest) < len(waiting):
+        if changed:
             self.waiting.put(rest) if rest else self.waiting.clear()
         coming = [r[0] for r in rest] + list(dues.values())
         if coming:
