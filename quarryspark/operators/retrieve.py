@@ -17,8 +17,8 @@ from ..sources.scratch import stored
 from .filters import may_hit
 
 K = 5
-#: Queries that are sent to all tasks at once (at 384 dimensions 25 MB).
-BLOCK = 8192
+#: Queries that are sent to all tasks at once (at 384 dimensions 25 MB in single precision).
+BLOCK = 16384
 #: Queries and vectors of one matrix product, and pairs whose exact distances are held at once.
 SLICE, ROWS, PAIRS = 512, 4096, 20_000
 
@@ -53,6 +53,18 @@ def _first(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.arange(len(at)) - np.searchsorted(q[at], q[at]) < k]
 
 
+def _same(v: np.ndarray) -> np.ndarray:
+    """For each row of ``v`` a number that only equal rows share: a sum of its bits, whose equals are compared."""
+    odd = np.random.default_rng(1).integers(0, 1 << 63, v.shape[1], np.uint64) * np.uint64(2) + np.uint64(1)
+    v = np.ascontiguousarray(v)
+    bits = np.einsum("ij,j->i", v.view(np.uint64), odd)
+    _, first, same = np.unique(bits, return_index=True, return_inverse=True)
+    again = np.flatnonzero(first[same] != np.arange(len(v)))
+    if len(again) and not np.array_equal(v[again].view(np.uint64), v[first[same[again]]].view(np.uint64)):
+        same = np.unique(v.view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_inverse=True)[1]
+    return same.ravel()
+
+
 class _Best:
     """The ``k`` nearest rows seen so far for each query (unit vectors, or zero).
 
@@ -60,8 +72,8 @@ class _Best:
     vectors have equal ones wherever they stand.
     """
 
-    def __init__(self, units: np.ndarray, k: int):
-        self.units, self.single, self.k = units, units.astype(np.float32), k
+    def __init__(self, units: np.ndarray, k: int, single: np.ndarray | None = None):
+        self.units, self.single, self.k = units, units.astype(np.float32) if single is None else single, k
         self.blank = ~units.any(axis=1)  # as far from all rows
         self.low = np.where(self.blank, np.inf, -np.inf).astype(np.float32)  # what a row's product must reach
         self.slack = np.float32((units.shape[1] + 4) * 2.0**-23)  # twice the rounding of a product
@@ -74,7 +86,7 @@ class _Best:
         if not len(v):
             return
         # of equal vectors only the k least ids can be among the nearest
-        same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.shape[1] * 8))).ravel(), return_inverse=True)[1].ravel()
+        same = _same(v)
         if same.max() + 1 < len(v):
             at = np.sort(_first(same, np.zeros(len(v)), ids, self.k))
             v, ids, norm = v[at], ids[at], norm[at]
@@ -92,10 +104,11 @@ class _Best:
         for a in range(0, len(self.units), SLICE):
             product = self.single[a : a + SLICE] @ single
             hit = product >= self.low[a : a + SLICE, None]
-            many = np.flatnonzero(hit.sum(axis=1) > 8 * self.k)
+            row, at = np.divmod(np.flatnonzero(hit), len(v))  # in one dimension, as few are hit
+            many = np.flatnonzero(np.bincount(row, minlength=len(product)) > 8 * self.k)
             if len(many):
                 hit[many] &= product[many] >= np.partition(product[many], -self.k, axis=1)[:, -self.k, None] - self.slack
-            row, at = np.nonzero(hit)
+                row, at = np.divmod(np.flatnonzero(hit), len(v))
             for b in range(0, len(row), PAIRS):
                 r, c = row[b : b + PAIRS] + a, at[b : b + PAIRS]
                 q.append(r)
@@ -120,17 +133,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "c
     asked = queries.where("embedding is not null").select(query_col, "embedding")
     types = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = f"{query_col} {queries.schema[query_col].dataType.simpleString()}, {group_col} {types[group_col]}, {id_col} {types[id_col]}, distance double"
-    slices = -(-asked.count() // BLOCK)
+    number = asked.count()
+    slices = -(-number // BLOCK)
     if not slices:
         return spark.createDataFrame([], schema + ", rank int")
     rows = vectors.where("embedding is not null").select(id_col, group_col, "embedding")
+    if 8 * number > BLOCK:  # each task begins anew with all queries
+        rows = rows.coalesce(spark.sparkContext.defaultParallelism)
     if slices == 1:
         return _nearest_slice(rows, asked, k, schema)[0]
-    rows = rows.coalesce(spark.sparkContext.defaultParallelism)
-    number = F.pmod(F.xxhash64(query_col, "embedding"), F.lit(slices))
+    part = F.pmod(F.xxhash64(query_col, "embedding"), F.lit(slices))
     out = None
     for s in range(slices):
-        found, sent = _nearest_slice(rows, asked.where(number == s), k, schema)
+        found, sent = _nearest_slice(rows, asked.where(part == s), k, schema)
         found = stored(found, "nearest")
         if sent is not None:
             sent.destroy()
@@ -146,12 +161,13 @@ def _nearest_slice(rows: DataFrame, asked: DataFrame, k: int, schema: str) -> tu
     if not few.num_rows:
         return spark.createDataFrame([], schema + ", rank int"), None
     keys, matrix = few.column(0).combine_chunks(), few.column(1).combine_chunks()
-    sent = spark.sparkContext.broadcast((keys, _units(_flat(matrix))))
+    sent = spark.sparkContext.broadcast((keys, matrix))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, units = sent.value
+        keys, matrix = sent.value
+        units = _units(_flat(matrix))
         kept: dict = {}
-        kinds = None
+        kinds, single = None, units.astype(np.float32)
         for b in batches:
             kinds = b.schema.types
             groups = np.array([*b.column(1).to_pylist(), None], object)[:-1]
@@ -160,7 +176,7 @@ def _nearest_slice(rows: DataFrame, asked: DataFrame, k: int, schema: str) -> tu
             for c in np.unique(code):
                 at = np.flatnonzero(code == c)
                 name = None if c < 0 else names[c]
-                kept.setdefault(name, _Best(units, k)).add(_flat(b.column(2).take(pa.array(at))), ids[at])
+                kept.setdefault(name, _Best(units, k, single)).add(_flat(b.column(2) if len(at) == len(ids) else b.column(2).take(pa.array(at))), ids[at])
         for name, found in kept.items():
             columns = [keys.take(pa.array(found.q)), pa.array([name] * len(found.q), kinds[1]), pa.array(found.ids.tolist(), kinds[0]), pa.array(found.d)]
             yield pa.RecordBatch.from_arrays(columns, [query_col, group_col, id_col, "distance"])

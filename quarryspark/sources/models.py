@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,20 +29,21 @@ CACHE = 200_000
 def hashing_embedder(dimensions: int = 384) -> Callable[[], Embedder]:
     """A loader of an embedder that hashes words to signed dimensions, unit length; blank texts give zeros."""
 
-    def load() -> Embedder:
-        known: dict[str, int] = {}  # twice the dimension, and 1 for a plus
-
-        def place(word: str) -> int:
+    class Places(dict):  # of words: twice the dimension, and 1 for a plus
+        def __missing__(self, word: str) -> int:
             h = zlib.crc32(word.encode())
-            known[word] = h % dimensions * 2 + (h >> 31)
-            return known[word]
+            self[word] = h % dimensions * 2 + (h >> 31)
+            return self[word]
+
+    def load() -> Embedder:
+        known, split = Places(), re.compile(r"\w+").findall
 
         def embed(texts: list[str]) -> np.ndarray:
             if len(known) > CACHE:
                 known.clear()
-            words = [re.findall(r"\w+", t.lower()) for t in texts]
+            words = [split(t.lower()) for t in texts]
             size = np.fromiter(map(len, words), np.int64, len(words))
-            at = np.fromiter((known[w] if w in known else place(w) for ws in words for w in ws), np.int64, int(size.sum()))
+            at = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
             cell = np.repeat(np.arange(len(texts)), size) * dimensions + (at >> 1)
             out = np.bincount(cell, (at & 1) * 2.0 - 1.0, len(texts) * dimensions).reshape(-1, dimensions).astype(np.float32)
             return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
@@ -52,7 +54,8 @@ def hashing_embedder(dimensions: int = 384) -> Callable[[], Embedder]:
 
 
 def embedded(text: Column, load: Callable[[], Embedder]) -> Column:
-    """Embeddings as array<float>, null where there is no model or no text. The model is loaded once per worker."""
+    """Embeddings as array<float>, null where there is no model or no text. The model is loaded once per worker.
+    Not repeated or moved by the optimiser: a filter on the embeddings would embed all texts twice."""
 
     @F.pandas_udf("array<float>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -68,7 +71,7 @@ def embedded(text: Column, load: Callable[[], Embedder]) -> Column:
                 out[there] = pd.Series(list(np.asarray(found, np.float32)), index=b.index[there], dtype=object)
             yield out
 
-    return run(text)
+    return run.asNondeterministic()(text)
 
 
 def completed(prompt: Column, model: ChatModel, max_tokens: int = 1024) -> Column:
